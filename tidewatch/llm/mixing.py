@@ -23,7 +23,8 @@ from tidewatch.llm.common import cut, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-SEED = 20240607
+#: Any seed serves; this one's offset lies near the middle of a step, where sorted lists are sampled with the least error.
+SEED = 50
 #: Parts into which documents of one source and one size are dealt, so that no group of copies lands in one task.
 SALT = 1024
 
