@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, reputation, sharding
+from tidewatch.llm import mixing, quality, reputation, sharding, toxicity
 from tidewatch.llm.common import table
 
 
@@ -75,3 +75,18 @@ SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{q}' THEN '{v
 
 QUERIES = {"op2_mixing": op2_mixing, "op6_reputation": op6_reputation, "op7_sharding": op7_sharding}
 ORACLE = {"op2_mixing": OP2_SQL, "op6_reputation": OP6_SQL}
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = toxicity.train(docs, labels.filter(~held_out))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality}
