@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, quality, reputation, sharding, toxicity
+from tidewatch.llm import mixing, packing, quality, reputation, sharding, tokenfile, toxicity
 from tidewatch.llm.common import table
 
 
@@ -90,3 +91,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_toxicity": op1_toxicity, "op5_quality": op5_quality}
+
+
+def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read(segments).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES |= {"op4_tokenfile": op4_tokenfile, "op10_packing": op10_packing}
