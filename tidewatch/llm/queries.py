@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, packing, quality, reputation, sharding, tokenfile, toxicity
+from tidewatch.llm import extraction, mixing, packing, quality, reputation, sharding, syncmers, tokenfile, toxicity
 from tidewatch.llm.common import table
 
 
@@ -104,3 +104,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_tokenfile": op4_tokenfile, "op10_packing": op10_packing}
+
+
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES |= {"op8_syncmers": op8_syncmers, "op9_extraction": op9_extraction}
