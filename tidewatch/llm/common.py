@@ -60,3 +60,11 @@ def runs(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
             start, total = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet (names are compared as Spark does, whatever their case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

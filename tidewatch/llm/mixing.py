@@ -18,7 +18,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, word_count
+from tidewatch.llm.common import cut, fresh, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -84,8 +84,9 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs.
 
     Rows with the same doc_id are told apart by their place among those rows, ordered by source and text."""
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", F.crc32(F.col("text").cast("binary")), word_count(F.col("text")))).alias("_turn")
-    counts = mix(docs.select("doc_id", "source", "text", turn), more=("_turn",), **how).filter("copies > 0").select("doc_id", "_turn", "copies")
-    own = docs.select("*", turn)
-    both = own.join(counts, own["doc_id"].eqNullSafe(counts["doc_id"]) & (own["_turn"] == counts["_turn"]))
-    return both.select(*[own[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    turn, copy = fresh(docs, "turn"), fresh(docs, "copy")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", F.crc32(F.col("text").cast("binary")), word_count(F.col("text")))).alias(turn)
+    counts = mix(docs.select("doc_id", "source", "text", place), more=(turn,), **how).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col(turn).alias("nth"), "copies")
+    own = docs.select("*", place)
+    both = own.join(counts, own["doc_id"].eqNullSafe(counts["id"]) & (own[turn] == counts["nth"]))
+    return both.select(*[own[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), counts["copies"].cast("int"))).alias(copy)).drop(copy)

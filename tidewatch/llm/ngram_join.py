@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, small
+from tidewatch.llm.common import cut, fresh, small
 
 WORDS = 5
 PERCENT = 80
@@ -248,9 +248,10 @@ def keep_first(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
     Where doc_ids repeat, one row of each stays: the one whose text sorts first."""
     found = groups(docs, k)
-    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    out = docs.join(small(kept, IDS), docs["doc_id"].eqNullSafe(kept["doc_id"]), "inner").select(docs["*"], "_rows")
-    if not kept.filter("_rows > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-        out = out.withColumn("_rows", first).filter("_rows = 1")
-    return out.select(*docs.columns)
+    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("of")))
+    nth = fresh(docs, "nth")
+    out = docs.join(small(kept.select("id"), IDS), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
+    if not kept.filter("of > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")]))
+        out = out.withColumn(nth, place).filter(F.col(nth) == 1).drop(nth)
+    return out

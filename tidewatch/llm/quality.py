@@ -159,19 +159,44 @@ def estimate(rows: DataFrame) -> DataFrame:
     return now.join(scale, "group")
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, more: tuple[str, ...] = ()) -> DataFrame:
-    """Statistics, base_failed, distance (null where the base rules fail) and kept for every row of docs."""
-    stats = docs.select("doc_id", "lang", "source", F.pandas_udf(measured, STATS)("text").alias("m"), *more).select("doc_id", "lang", "source", "m.*", *more)
+def statistics(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, lang, source, the counts, base_failed and the vector of every row; `row` is carried as row."""
+    more = [] if row is None else [row.alias("row")]
+    stats = docs.select("doc_id", "lang", "source", F.pandas_udf(measured, STATS)("text").alias("m"), *more)
+    stats = stats.select("doc_id", "lang", "source", "m.*", *["row" for _ in more])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = cut(stats.select("*", failed.alias("base_failed"), *[v.alias(x) for v, x in zip(vector(), X, strict=True)]))
-    pair, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
-    sizes = rows.filter("not base_failed").groupBy(pair.alias("pair"), lang.alias("of")).agg(F.count("*").alias("n"))
+    return stats.select("*", failed.alias("base_failed"), *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """The estimate that holds for each language and source: pair, mean, whiten, scale. rows: written statistics."""
+    rows = rows.filter("not base_failed").select(pair().alias("pair"), F.to_json(F.struct("lang")).alias("of"), *X)
+    sizes = rows.groupBy("pair", "of").agg(F.count("*").alias("n"))
     by_lang = sizes.filter(F.col("n") < MIN_GROUP).groupBy("of").agg(F.sum("n").alias("pooled"))
-    groups = sizes.join(by_lang, "of", "left").select("pair", F.when(F.col("n") >= MIN_GROUP, F.col("pair")).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("any source of "), F.col("of"))).otherwise(F.lit("all")).alias("group"))
-    groups = small(cut(groups))
-    rows = rows.join(groups, pair == F.col("pair"), "left").drop("pair")
-    model = small(cut(estimate(rows.filter("not base_failed").select("group", *X))))
+    group = F.when(F.col("n") >= MIN_GROUP, F.col("pair")).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("any source of "), "of")).otherwise(F.lit("all"))
+    groups = small(cut(sizes.join(by_lang, "of", "left").select("pair", group.alias("group"))))
+    model = estimate(rows.join(groups, "pair").select("group", *X))
+    return cut(groups.join(model, "group").select("pair", "mean", "whiten", "scale"))
+
+
+def pair() -> Column:
+    return F.to_json(F.struct("lang", "source"))
+
+
+def decide(rows: DataFrame, model: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """rows with distance (null where the base rules fail) and kept."""
+    both = rows.withColumn("pair", pair()).join(small(model), "pair", "left")
     d = F.when(~F.col("base_failed"), distance() / F.col("scale"))
-    return rows.join(model, "group", "left").withColumn("distance", d).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"), *more
-    )
+    return both.withColumn("distance", d).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Statistics, base_failed, distance and kept for every row of docs."""
+    rows = cut(statistics(docs))
+    return decide(rows, fit(rows), cutoff).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def keep_regular(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """docs without those that the rules reject. The statistics are measured again, so that no text is written or moved."""
+    model = fit(cut(statistics(docs)))
+    return decide(statistics(docs, F.struct(*docs.columns)), model, cutoff).filter("kept").select("row.*")

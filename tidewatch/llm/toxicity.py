@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import runs
@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     return terms["key"].to_numpy(np.int64).view(np.uint64), terms["w"].to_numpy(), float(c.iloc[0]) if len(c) else float(np.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str = "score") -> DataFrame:
-    """docs with the probability of being toxic in column `out`."""
+def scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Column:
+    """The probability of being toxic, of column text."""
     keys, weights, c = model
 
     def scores(texts: pd.Series) -> pd.Series:
@@ -168,9 +168,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str
             margin[a:b] += np.bincount(doc[known], weights[at[known]], b - a)
         return pd.Series(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
 
-    return docs.withColumn(out, F.pandas_udf(scores, "double")("text"))
+    return F.pandas_udf(scores, "double")("text")
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str = "score") -> DataFrame:
+    """docs with the probability of being toxic in column `out`."""
+    return docs.withColumn(out, scorer(model))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those scored at or above the threshold."""
-    return score(docs, train(docs, labels), "_toxicity").filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    return docs.filter(scorer(train(docs, labels)) < threshold)
