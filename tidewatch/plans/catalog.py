@@ -1,17 +1,16 @@
-"""The registered queries over the event, sensor and archive operators, and their SQL."""
+"""The registered queries over the event, sensor and archive operators, and their SQL.
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+Names map to (query, SQL); SQL is None where only a test against a plain model can check the query."""
 
-FLAGSHIP = "feed_latest"
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def feed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", "ts", "user_id", "event_type", "value").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.plans import archive_queries, event_queries, sensor_queries
 
-QUERIES = {"feed_latest": feed_latest}
-ORACLE = {"feed_latest": "SELECT event_id, ts, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50"}
+FLAGSHIP = "linked_events"
+ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = event_queries.ENTRIES | sensor_queries.ENTRIES | archive_queries.ENTRIES
+QUERIES = {name: query for name, (query, _) in ENTRIES.items()}
+ORACLE = {name: sql for name, (_, sql) in ENTRIES.items() if sql}
