@@ -15,7 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows and bytes of whole texts that cross to Python at once, where the session leaves Spark's default.
+ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name. Texts are long: the session's Arrow batches are kept small, so that executors need little memory."""
+    for key, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if not spark.sparkContext.getConf().contains(f"spark.sql.execution.arrow.{key}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

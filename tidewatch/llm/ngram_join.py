@@ -5,11 +5,12 @@ n - ceil(t n) + 1 of each in any common order; the order here is by hash, with t
 last, so that passages which many documents share bring nobody together. The order decides cost alone, never the
 result. What shares such a token meets in two steps:
 
-1. Each token's smallest set is its leader; every other set with the token is compared with the leader.
+1. Each token has a leader, the set that shares the largest part of its prefix with others (an original rather than
+   one of its edited copies); every other set with the token is compared with the leader.
 2. Where the sets of a token still belong to different groups, the rest meet in tiles of (token, size band): a
-   band is a factor 1 / t of sizes, and each set looks into its own band and the two beside it. Hashed bitmap
-   signatures bound a pair's overlap from above, (n + m - differing bits) / 2, inside the join; only pairs that
-   pass are compared.
+   band is a factor t ** -SPAN of sizes, and a set looks into the one or two bands that sizes from t n to n / t
+   fall into. Hashed bitmap signatures bound a pair's overlap from above, (n + m - differing bits) / 2, inside the
+   join; only pairs that pass are compared.
 
 Comparison is the exact intersection of the sorted hash arrays. Pairs of one group are never listed: copies of one
 text link to their leader, so a group of any size costs as many comparisons as it has members. Groups are found
@@ -36,15 +37,26 @@ from tidewatch.llm.common import cut, fresh, small
 WORDS = 5
 PERCENT = 80
 #: Tokens that many documents of a task share are counted; the most frequent HOT of them come last in the order.
-LOCAL, HOT = 8, 65_536
-LONGS = 16
+LOCAL, HOT = 2, 500_000
+#: 64-bit words of a bitmap signature, and of the folded one that tiles carry.
+LONGS, FOLDED = 32, 16
+#: A size band spans this many times the factor of sizes that can link.
+SPAN = 4
 #: Ids of documents to compare may be broadcast up to this many.
 IDS = 1_000_000
 LOWEST = -(2**63)
 SLICE = 1000
 _MIX = np.random.default_rng(11).integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SEEN: dict[bytes, int] = {}
+
+
+class Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_SEEN = Hashes()
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -52,10 +64,8 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_SEEN) > 1_000_000:
+    if len(_SEEN) > 200_000:
         _SEEN.clear()
-    for w in set(words).difference(_SEEN):
-        _SEEN[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_SEEN.__getitem__, words), np.uint64, len(words))
     m = min(k, len(h))
     key = np.full(len(h) - m + 1, m, np.uint64)
@@ -95,18 +105,18 @@ def need(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
-    """doc_id, n, name (of the set), prefix (of the first such set in its task, else empty)."""
+    """doc_id, n, name (of the set), and of the first such set in its task prefix and bitmap (else null)."""
     order = np.argsort(hot)
     hot_key = hot[order]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        marked = np.zeros(1 << 20, bool)
-        marked[hot_key >> np.uint64(44)] = True
+        marked = np.zeros(1 << 24, bool)
+        marked[hot_key >> np.uint64(40)] = True
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 some = batch.slice(lo, SLICE)
-                sizes, names, firsts = [], [], []
+                sizes, names, firsts, bits = [], [], [], []
                 for text in some.column(1).to_pylist():
                     s = shingles(text, k)
                     name, n = name_of(s), len(s)
@@ -114,9 +124,11 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
                     names.append(name)
                     if not n or name in seen:
                         firsts.append(s[:0])
+                        bits.append(None)
                         continue
                     seen.add(name)
-                    last = np.flatnonzero(marked[s >> np.uint64(44)])
+                    bits.append(bitmap(s))
+                    last = np.flatnonzero(marked[s >> np.uint64(40)])
                     if len(last):
                         at = np.minimum(np.searchsorted(hot_key, s[last]), len(hot_key) - 1)
                         known = hot_key[at] == s[last]
@@ -128,10 +140,10 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["doc_id", "n", "name", "prefix"]
+                    [some.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "name", "prefix", "bits"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(listed, "doc_id long, n int, name long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(listed, "doc_id long, n int, name long, prefix array<long>, bits array<long>")
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -144,42 +156,46 @@ B = [f"b{i}" for i in range(LONGS)]
 
 
 def arrays(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """name, n, tokens (sorted), bitmap columns for every row of docs."""
+    """name and tokens (sorted) for every row of docs."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 sets = [shingles(t, k) for t in batch.column(0).slice(lo, SLICE).to_pylist()]
-                bits = np.array([bitmap(s) for s in sets], np.int64).reshape(len(sets), LONGS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(LONGS)]],
-                    names=["name", "n", "tokens", *B],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["name", "tokens"])
 
-    return docs.select("text").mapInArrow(built, "name long, n int, tokens array<long>, " + ", ".join(f"{b} long" for b in B))
+    return docs.select("text").mapInArrow(built, "name long, tokens array<long>")
 
 
 def sized(n: Column, m: Column) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
 
 
-def may_link(x: str, y: str) -> Column:
+def may_link(x: str, y: str, columns: list[str] | None = None) -> Column:
     """Whether the bound on the overlap of sets x and y, from sizes and bitmaps, reaches the threshold."""
     c = lambda side, b: F.col(f"{side}.{b}")
-    differ = sum((F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in B[1:]), F.bit_count(c(x, B[0]).bitwiseXOR(c(y, B[0]))))
+    differ = sum((F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in columns or B), F.lit(0))
     total = c(x, "n") + c(y, "n")
     # overlap <= (total - differ) / 2, and a link needs 100 overlap >= PERCENT (total - overlap)
     return sized(c(x, "n"), c(y, "n")) & ((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection."""
-    bits = sets.select("name", "n", *B)
-    passed = pairs.join(bits.alias("x"), F.col("a") == F.col("x.name")).join(bits.alias("y"), F.col("b") == F.col("y.name")).filter(may_link("x", "y")).select("a", "b")
-    tokens = sets.select("name", "tokens")
-    both = passed.join(tokens.alias("x"), F.col("a") == F.col("x.name")).select("a", "b", F.col("x.tokens").alias("s")).join(tokens.alias("y"), F.col("b") == F.col("y.name"))
+def passing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave a link possible. bits: name, n, bitmap columns, once each."""
+    n = bits.select("name", "n")
+    by_size = pairs.join(n.alias("x"), F.col("a") == F.col("x.name")).join(n.alias("y"), F.col("b") == F.col("y.name")).filter(sized(F.col("x.n"), F.col("y.n"))).select("a", "b")
+    return by_size.join(bits.alias("x"), F.col("a") == F.col("x.name")).join(bits.alias("y"), F.col("b") == F.col("y.name")).filter(may_link("x", "y")).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection. first: the document that shows each set (name, doc_id)."""
+    pairs = cut(pairs)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    ids = cut(names.join(first, "name").select("doc_id"))
+    tokens = cut(arrays(docs.join(small(ids, IDS), "doc_id", "left_semi"), k))
+    both = pairs.join(tokens.alias("x"), F.col("a") == F.col("x.name")).select("a", "b", F.col("x.tokens").alias("s")).join(tokens.alias("y"), F.col("b") == F.col("y.name"))
     shared = F.size(F.array_intersect("s", F.col("y.tokens")))
-    return both.filter(shared * (100 + PERCENT) >= PERCENT * (F.size("s") + F.size(F.col("y.tokens")))).select("a", "b").distinct()
+    return cut(both.filter(shared * (100 + PERCENT) >= PERCENT * (F.size("s") + F.size(F.col("y.tokens")))).select("a", "b").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,32 +224,39 @@ def groups(docs: DataFrame, k: int = WORDS) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), "text")
     sets = cut(prefixes(docs, frequent(docs, k), k))
     first = sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    shown = sets.filter("bits is not null").dropDuplicates(["name"])
+    bits = cut(shown.select("name", "n", F.size("prefix").alias("p"), *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(B)]))
 
     # Tokens that different sets share, each with its leader.
     by = Window.partitionBy("token")
-    tokens = sets.filter(F.size("prefix") > 0).select("name", "n", F.explode("prefix").alias("token"))
-    shared = cut(tokens.select("*", F.min("name").over(by).alias("leader"), F.max("name").over(by).alias("last")).filter("leader < last").drop("last"))
-    ids = cut(shared.select("name").distinct().join(first, "name").select("doc_id"))
-    held = cut(arrays(docs.join(small(ids, IDS), "doc_id", "left_semi"), k))
-    bits = held.select("name", *B)
-    links = cut(verified(shared.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct(), held))
+    tokens = sets.filter(F.size("prefix") > 0).select("name", F.explode("prefix").alias("token"))
+    shared = cut(tokens.select("*", F.min("name").over(by).alias("least"), F.max("name").over(by).alias("last")).filter("least < last").select("token", "name").distinct())
+    score = shared.groupBy("name").agg(F.count("*").alias("c")).join(bits.select("name", "p"), "name").select("name", (F.col("c") / F.col("p")).alias("score"))
+    lead = shared.join(score, "name").groupBy("token").agg(F.max_by("name", F.struct("score", "name")).alias("leader"))
+    shared = cut(shared.join(lead, "token"))
+    pairs = shared.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
+    links = verified(passing(pairs, bits), docs, first, k)
     comp = components(links)
 
     # Tokens whose sets are still in different groups: what is not in the leader's group meets the others.
-    inside = shared.filter("name <> leader").dropDuplicates(["token", "name"]).join(comp, "name", "left").select("token", "name", "n", "leader", F.coalesce("root", "name").alias("group"))
+    inside = shared.filter("name <> leader").join(comp, "name", "left").select("token", "name", "leader", F.coalesce("root", "name").alias("group"))
     home = comp.select(F.col("name").alias("leader"), F.col("root").alias("home"))
     inside = inside.join(home, "leader", "left").withColumn("home", F.coalesce("home", "leader")).drop("leader")
     kinds = inside.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").select("token")
-    open_ = cut(inside.join(kinds, "token", "left_semi").join(bits.dropDuplicates(["name"]), "name").withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")))
-    x = open_.filter(F.col("group") != F.col("home")).alias("x")
-    y = open_.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
+    band = lambda size: F.floor(F.log(size) / (SPAN * math.log(100 / PERCENT)) + 1e-9).cast("int")
+    folded = [F.col(b).bitwiseOR(F.col(B[i + FOLDED])).alias(b) for i, b in enumerate(B[:FOLDED])]
+    full = cut(inside.join(kinds, "token", "left_semi").join(bits.select("name", "n", *folded), "name"))
+    x = full.filter(F.col("group") != F.col("home")).withColumn("band", band(F.col("n"))).alias("x")
+    y = full.withColumn("band", F.explode(F.sequence(band(F.col("n") * PERCENT / 100 * 0.999), band(F.col("n") * 100 / PERCENT * 1.001)))).alias("y")
     meets = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.group") != F.col("y.group"))
-        & ((F.col("y.group") == F.col("y.home")) | (F.col("x.name") < F.col("y.name"))) & may_link("x", "y")
+        & ((F.col("y.group") == F.col("y.home")) | (F.col("x.name") < F.col("y.name"))) & may_link("x", "y", B[:FOLDED])
     )
-    more = cut(verified(x.join(y, meets).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), held))
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
+    rest = cut(passing(x.join(y, meets).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), bits))
+    if not rest.isEmpty():
+        more = verified(rest, docs, first, k)
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
 
     roots = first.join(comp, "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     label = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import cut, partitions
-from tidewatch.llm.tokens import encoder
+from tidewatch.llm.tokens import encoder, release
 
 BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 END = 2
 MAGIC = b"TWPF"
 LOWEST = -(2**63)
@@ -44,35 +44,49 @@ def quantiles(keys: DataFrame, n: int) -> list[int]:
     return sorted(set(got or []))
 
 
+_LENGTH = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def bits(x: np.ndarray) -> np.ndarray:
-    """Bit length of each value below 2 ** 52: the exponent that its double has."""
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    """Bit length of each value below 2 ** 32."""
+    if x.dtype == np.uint16:
+        return _LENGTH[x]
+    return np.where(x >> 16 > 0, 16 + _LENGTH[x >> 16], _LENGTH[x & 0xFFFF])
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
     n, count = len(ids), -(-len(ids) // BLOCK)
     if not n:
         return MAGIC + struct.pack("<II", 0, 0)
-    full = np.concatenate([ids.astype(np.int64), np.full(count * BLOCK - n, ids[-1], np.int64)]).reshape(count, BLOCK)
+    full = np.append(ids, np.full(count * BLOCK - n, ids[-1], ids.dtype)).reshape(count, BLOCK)
     low = full.min(1)
     rel = full - low[:, None]
+    word, unit = ("<u2", 16) if rel.max() < 65536 else ("<u4", 32)
+    rel = rel.astype(word)
+    ranks = sorted({int(p * BLOCK) - 1 for p in PERCENTILES})
+    length, ordered = bits(rel), np.partition(rel, ranks, axis=1)
     width, least = np.zeros(count, np.int64), np.full(count, np.inf)
-    length, ordered = bits(rel), np.sort(rel, axis=1)
-    for p in PERCENTILES:
-        w = bits(ordered[:, int(p * BLOCK) - 1])
-        cost = BLOCK // 8 * w + 5 * (length > w[:, None]).sum(1)
+    for r in ranks:
+        w = bits(ordered[:, r])
+        cost = BLOCK // 8 * w.astype(np.int64) + 5 * (length > w[:, None]).sum(1)
         width, least = np.where(cost < least, w, width), np.minimum(cost, least)
     over = length > width[:, None]
     extra = over.sum(1)
+    row, where = np.nonzero(over)
+    places, highs = where.astype(np.uint8).tobytes(), (rel[row, where].astype("<u4") >> width[row].astype(np.uint32)).tobytes()
+    ends = np.cumsum(extra).tolist()
     body: list[bytes] = [b""] * count
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
-        each = np.unpackbits(rel[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(each.reshape(len(at), -1), axis=1, bitorder="little")
-        for j, b in enumerate(at):
-            where = np.flatnonzero(over[b]) if extra[b] else ()
-            tail = np.asarray(where, np.uint8).tobytes() + (rel[b, where] >> w).astype("<u4").tobytes() if extra[b] else b""
-            body[b] = struct.pack("<IBB", low[b], w, extra[b]) + packed[j].tobytes() + tail
+        if w == unit:
+            packed = rel[at].view(np.uint8)
+        else:
+            each = np.unpackbits(rel[at].view(np.uint8).reshape(len(at), BLOCK, unit // 8), axis=2, bitorder="little")[:, :, :w]
+            packed = np.packbits(each.reshape(len(at), -1), axis=1, bitorder="little")
+        rows, step = packed.tobytes(), packed.shape[1]
+        for j, (b, start, n_extra) in enumerate(zip(at.tolist(), low[at].tolist(), extra[at].tolist(), strict=True)):
+            to = ends[b]
+            body[b] = struct.pack("<IBB", start, w, n_extra) + rows[j * step : (j + 1) * step] + places[to - n_extra : to] + highs[4 * (to - n_extra) : 4 * to]
     size = np.fromiter(map(len, body), np.int64, count)
     starts = 12 + 4 * count + np.cumsum(size) - size
     return MAGIC + struct.pack("<II", n, count) + starts.astype("<u4").tobytes() + b"".join(body)
@@ -89,22 +103,27 @@ def unpack_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarr
     raw = np.frombuffer(data, np.uint8)
     starts = np.frombuffer(data, "<u4", count, 12).astype(np.int64)[first:last]
     head = raw[starts[:, None] + np.arange(6)]
-    low = np.ascontiguousarray(head[:, :4]).view("<u4").ravel().astype(np.int64)
+    low = np.ascontiguousarray(head[:, :4]).view("<u4")
     width, extra = head[:, 4].astype(np.int64), head[:, 5].astype(np.int64)
-    out = np.zeros((last - first, BLOCK), np.int64)
-    for w in np.unique(width[width > 0]):
+    out = np.zeros((last - first, BLOCK), np.uint32)
+    for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
+        unit, word = (16, "<u2") if w <= 16 else (32, "<u4")
         packed = raw[starts[at][:, None] + 6 + np.arange(BLOCK // 8 * w)]
-        each = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        wide = np.zeros((len(at), BLOCK, 32), np.uint8)
-        wide[:, :, :w] = each
-        out[at] = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0]
-    for b in np.flatnonzero(extra):
-        p = starts[b] + 6 + BLOCK // 8 * width[b]
-        where = raw[p : p + extra[b]]
-        out[b, where] |= np.frombuffer(data, "<u4", extra[b], p + extra[b]).astype(np.int64) << width[b]
-    out += low[:, None]
-    return out.ravel()[: min(n, last * BLOCK) - first * BLOCK].astype(np.uint32)
+        if w != unit:
+            wide = np.zeros((len(at), BLOCK, unit), np.uint8)
+            wide[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(at), BLOCK, w)
+            packed = np.packbits(wide.reshape(len(at), -1), axis=1, bitorder="little")
+        out[at] = packed.view(word)
+    total = int(extra.sum())
+    if total:
+        block = np.repeat(np.arange(last - first), extra)
+        nth = np.arange(total) - np.repeat(np.cumsum(extra) - extra, extra)
+        tail = starts + 6 + BLOCK // 8 * width
+        high = raw[(tail + extra)[block][:, None] + 4 * nth[:, None] + np.arange(4)].view("<u4")[:, 0]
+        out[block, raw[tail[block] + nth]] |= high << width[block].astype(np.uint32)
+    out += low
+    return out.ravel()[: min(n, last * BLOCK) - first * BLOCK]
 
 
 SEGMENTS = "part int, start_in_part long, doc_ids array<long>, counts array<int>, payload binary"
@@ -118,13 +137,15 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END) -> D
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, spaced).encode
+        kind, wide = ("<u2", 2) if encoder(path, spaced).tokenizer.get_vocab_size() <= 65536 > end else ("<u4", 4)
+        last = np.array([end], kind).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 some = batch.slice(lo, 2000)
-                ids = [np.append(x, end).astype("<u2" if end < 65536 and (not len(x) or x.max() < 65536) else "<u4") for x in encode(some.column(2).to_pylist())]
+                ids = [x.astype(kind).tobytes() + last for x in encode(some.column(2).to_pylist())]
                 part = np.searchsorted(cuts, some.column(1).to_numpy(), "left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), some.column(1), some.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    [pa.array(part), some.column(1), some.column(0), pa.array([len(x) // wide for x in ids], pa.int32()), pa.array(ids, pa.binary())],
                     names=["part", "key", "doc_id", "count", "ids"],
                 )
 
@@ -132,6 +153,7 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END) -> D
         names: list = []
         held: list[np.ndarray] = []
         part, start, total = None, 0, 0
+        release()
 
         def flush() -> pa.RecordBatch:
             nonlocal start, total
@@ -171,13 +193,16 @@ def read(segments: DataFrame) -> DataFrame:
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 start, docs, counts, payload = (batch.column(c)[i].as_py() for c in range(4))
                 ids, counts = unpack_ids(payload), np.asarray(counts, np.int64)
                 to = np.cumsum(counts)
+                flat = ids.astype("<u4").tobytes()
+                each = [flat[4 * (b - n) : 4 * b] for b, n in zip(to.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(start + to - counts), pa.array(counts), pa.array([x.astype("<u4").tobytes() for x in np.split(ids, to[:-1])], pa.binary())],
+                    [pa.array(docs, pa.int64()), pa.array(start + to - counts), pa.array(counts), pa.array(each, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 

@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, with the pieces between white space remembered.
 
 The tokenizers used here never join characters across the pieces that PIECES finds (a word with at most one space
-before it, or white space), so the ids of a text are those of its pieces in turn. Pieces already met are not
-encoded again; the memory holds at most CACHE pieces. A text with a control or rare white-space character, where
-two regular-expression libraries may differ, is encoded as a whole.
+before it, or white space; letters and digits apart from other signs where nothing can bind them), so the ids of a
+text are those of its pieces in turn. Pieces already met are not encoded again; the memory holds about CACHE pieces, and when it is full those met but once are dropped. A text with a
+control or rare white-space character, where two regular-expression libraries may differ, is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -16,12 +16,34 @@ import numpy as np
 
 from tidewatch.llm.common import runs
 
-CACHE = 1_500_000
-RUN_CHARS = 1_000_000
-PIECES = {True: re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"), False: re.compile(r"[^ \t\n\r]+")}
+CACHE = 250_000
+RUN_CHARS = 400_000
+TOGETHER = 200
+_SPACE = r"[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
+#: By (spaced, fine): letters and digits apart from other signs where the text has no apostrophe and no underscore.
+PIECES = {
+    (True, False): re.compile(rf" ?[^ \t\n\r]+|{_SPACE}"),
+    (True, True): re.compile(rf" ?\w+| ?[^\w \t\n\r]+|{_SPACE}"),
+    (False, False): re.compile(r"[^ \t\n\r]+"),
+    (False, True): re.compile(r"\w+|[^\w \t\n\r]+"),
+}
+#: Letters beyond Latin, where lower case may depend on the neighbours.
+BEYOND = re.compile("[^\x00-\u024f]")
 ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad͏؜ ᠋-᠏ -‏ -  -⁯　﻿￰-￿]")
 
 
+class Numbers(dict):
+    """Numbers in the order of first sight; `new` holds the pieces not yet encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """spaced: whether white space is part of the ids (byte-level tokenizers), or dropped."""
 
@@ -31,34 +53,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = PIECES[spaced].findall
+        self.spaced = spaced
+        # What can stand between pieces in one call of the tokenizer: always a piece of its own with one known id.
+        self.between, self.never = ("\n", re.compile(r"[\s\d]*[\n\r\t]")) if spaced else (" 7 ", re.compile("[^7]*7"))
+        self.mark = self.raw([self.between])[0]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def thin(self) -> None:
+        """Drop the pieces met but once; forget all if too many are left."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > CACHE // 2:
+            self.forget()
+            return
+        names = list(self.number)
+        self.number = Numbers()
+        self.number.update((names[i], n) for n, i in enumerate(kept.tolist()))
+        size = self.size[kept]
+        to = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[kept] - to + size, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.met = to - size, size, np.zeros(len(kept), np.int64)
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece. Short pieces are encoded TOGETHER at a time, with marks between them."""
+        out: list = [None] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if len(p) < 100 and not self.never.match(p)]
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        for group, ids in zip(groups, self.raw([self.between.join([pieces[i] for i in g]) for g in groups]), strict=True):
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(self.mark) == 1 and len(ends) == len(group) - 1:
+                for i, a, b in zip(group, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.raw([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
-    def learn(self, pieces: list[str]) -> None:
-        got = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *got])
-        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+    def pieces(self, text: str) -> list[str]:
+        if ODD.search(text):
+            return [text]
+        if "<|" in text:  # perhaps the name of a token, which is matched as it is
+            return PIECES[self.spaced, False].findall(text)
+        if not self.spaced and not BEYOND.search(text):
+            text = text.lower()  # as this tokenizer does itself
+        return PIECES[self.spaced, "'" not in text and "_" not in text].findall(text)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         all_, out = [t or "" for t in texts], []
         for a, b in runs(all_, RUN_CHARS):
             if len(self.number) > CACHE:
-                self.forget()
-            parts = [[t] if ODD.search(t) else self.pieces(t) for t in all_[a:b]]
-            new = set(chain.from_iterable(parts)).difference(self.number)
-            if new:
-                self.learn(sorted(new))
+                self.thin()
+            parts = [self.pieces(t) for t in all_[a:b]]
             count = np.fromiter(map(len, parts), np.int64, b - a)
             at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
+            if new := self.number.new:
+                got = self.encoded(new)
+                size = np.fromiter(map(len, got), np.int64, len(got))
+                self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+                self.size = np.concatenate([self.size, size])
+                self.flat = np.concatenate([self.flat, *got])
+            self.met = np.bincount(at, minlength=len(self.size)) + np.append(self.met, np.zeros(len(self.size) - len(self.met), np.int64))
             size = self.size[at]
             to = np.cumsum(size)
             ids = self.flat[np.repeat(self.start[at] - to + size, size) + np.arange(int(size.sum()))]
@@ -66,6 +129,7 @@ class Encoder:
             out += np.split(ids, ends[:-1])
             if any(len(t) > 10_000 for t in new):  # whole texts are not kept
                 self.forget()
+            self.number.new = []
         return out
 
 
@@ -77,3 +141,8 @@ def encoder(path: str, spaced: bool) -> Encoder:
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = Encoder(path, spaced)
     return _ENCODERS[path, spaced]
+
+
+def release() -> None:
+    """Give up the encoders of this worker process; stages that need none begin with this."""
+    _ENCODERS.clear()
