@@ -10,7 +10,8 @@ result. What shares such a token meets in two steps:
 2. Where the sets of a token still belong to different groups, the rest meet in tiles of (token, size band): a
    band is a factor t ** -SPAN of sizes, and a set looks into the one or two bands that sizes from t n to n / t
    fall into. Hashed bitmap signatures bound a pair's overlap from above, (n + m - differing bits) / 2, inside the
-   join; only pairs that pass are compared.
+   join; only pairs that pass are compared. A signature of fixed size says nothing about a set that fills it, so sets
+   of more than WIDE_FROM tokens also have a wide one, of at least two bits a token.
 
 Comparison is the exact intersection of the sorted hash arrays. Pairs of one group are never listed: copies of one
 text link to their leader, so a group of any size costs as many comparisons as it has members. Groups are found
@@ -40,6 +41,8 @@ PERCENT = 80
 LOCAL, HOT = 2, 500_000
 #: 64-bit words of a bitmap signature, and of the folded one that tiles carry.
 LONGS, FOLDED = 32, 16
+#: Sets of more tokens than this have a wide signature too.
+WIDE_FROM = 1_000
 #: A size band spans this many times the factor of sizes that can link.
 SPAN = 4
 #: Ids of documents to compare may be broadcast up to this many.
@@ -105,7 +108,7 @@ def need(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
-    """doc_id, n, name (of the set), and of the first such set in its task prefix and bitmap (else null)."""
+    """doc_id, n, name (of the set), and of the first such set in its task prefix and bitmaps (else null)."""
     order = np.argsort(hot)
     hot_key = hot[order]
 
@@ -116,7 +119,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 some = batch.slice(lo, SLICE)
-                sizes, names, firsts, bits = [], [], [], []
+                sizes, names, firsts, bits, wide = [], [], [], [], []
                 for text in some.column(1).to_pylist():
                     s = shingles(text, k)
                     name, n = name_of(s), len(s)
@@ -125,9 +128,11 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
                     if not n or name in seen:
                         firsts.append(s[:0])
                         bits.append(None)
+                        wide.append(None)
                         continue
                     seen.add(name)
-                    bits.append(bitmap(s))
+                    bits.append(bitmap(s, LONGS))
+                    wide.append(bitmap(s, wide_longs(n)) if n > WIDE_FROM else None)
                     last = np.flatnonzero(marked[s >> np.uint64(40)])
                     if len(last):
                         at = np.minimum(np.searchsorted(hot_key, s[last]), len(hot_key) - 1)
@@ -140,18 +145,23 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "name", "prefix", "bits"]
+                    [some.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "n", "name", "prefix", "bits", "wide"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(listed, "doc_id long, n int, name long, prefix array<long>, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(listed, "doc_id long, n int, name long, prefix array<long>, bits array<long>, wide array<long>")
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    out = np.zeros(LONGS * 64, np.uint8)
-    out[(s >> np.uint64(20)) % np.uint64(LONGS * 64)] = 1
+def bitmap(s: np.ndarray, longs: int) -> np.ndarray:
+    out = np.zeros(longs * 64, np.uint8)
+    out[(s >> np.uint64(20)) % np.uint64(longs * 64)] = 1
     return np.packbits(out).view(np.int64)
 
 
+def wide_longs(n: int) -> int:
+    """Longs of a wide signature: the least power of two with at least two bits a token."""
+    return 1 << max(0, (2 * n - 1) // 64).bit_length()
+
+
 B = [f"b{i}" for i in range(LONGS)]
 
 
@@ -180,11 +190,24 @@ def may_link(x: str, y: str, columns: list[str] | None = None) -> Column:
     return sized(c(x, "n"), c(y, "n")) & ((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total)
 
 
+def may_link_wide(x: str, y: str) -> Column:
+    """The same bound from the wide bitmaps, where both sets have one. Sets that may link differ in size by a quarter,
+    so their bitmaps are of one length or of twice that; the longer is folded."""
+    p, q = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+    half = lambda w: (F.size(w) / 2).cast("int")
+    fold = lambda w: F.zip_with(F.slice(w, F.lit(1), half(w)), F.slice(w, half(w) + 1, half(w)), lambda i, j: i.bitwiseOR(j))
+    p, q = F.when(F.size(p) > F.size(q), fold(p)).otherwise(p), F.when(F.size(q) > F.size(p), fold(q)).otherwise(q)
+    differ = F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda total, i: total + i)
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return F.coalesce((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total, F.lit(True))
+
+
 def passing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and bitmaps leave a link possible. bits: name, n, bitmap columns, once each."""
-    n = bits.select("name", "n")
+    n, wide, bits = bits.select("name", "n"), bits.filter("wide is not null").select("name", "n", "wide"), bits.drop("wide")
     by_size = pairs.join(n.alias("x"), F.col("a") == F.col("x.name")).join(n.alias("y"), F.col("b") == F.col("y.name")).filter(sized(F.col("x.n"), F.col("y.n"))).select("a", "b")
-    return by_size.join(bits.alias("x"), F.col("a") == F.col("x.name")).join(bits.alias("y"), F.col("b") == F.col("y.name")).filter(may_link("x", "y")).select("a", "b")
+    narrow = by_size.join(bits.alias("x"), F.col("a") == F.col("x.name")).join(bits.alias("y"), F.col("b") == F.col("y.name")).filter(may_link("x", "y")).select("a", "b")
+    return narrow.join(wide.alias("x"), F.col("a") == F.col("x.name"), "left").join(wide.alias("y"), F.col("b") == F.col("y.name"), "left").filter(may_link_wide("x", "y")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int) -> DataFrame:
@@ -224,8 +247,8 @@ def groups(docs: DataFrame, k: int = WORDS) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), "text")
     sets = cut(prefixes(docs, frequent(docs, k), k))
     first = sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    shown = sets.filter("bits is not null").dropDuplicates(["name"])
-    bits = cut(shown.select("name", "n", F.size("prefix").alias("p"), *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(B)]))
+    shown = sets.filter("bits is not null").select("name", "n", F.size("prefix").alias("p"), "bits", "wide").dropDuplicates(["name"])
+    bits = cut(shown.select("name", "n", "p", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(B)], "wide"))
 
     # Tokens that different sets share, each with its leader.
     by = Window.partitionBy("token")
