@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions import text as T
 from tidewatch.functions import values as V
 from tidewatch.operators import guards, integrity, linking, outage, places, tracks
 from tidewatch.sources import feeds
@@ -162,6 +163,15 @@ def test_places(spark):
     assert got == {1: (None, None), 2: ("city", "partial"), 3: ("admin1", "directional-exact"), 4: (None, None), 5: (None, None), 6: ("city", "table-exact")}
 
 
+def test_spelled_looks_at_every_text_and_key(spark):
+    keys = spark.createDataFrame([("red old mill", 1), ("old mill", 22), ("İzmir desk", 3), ("a.b", 4), ("ſtone bridge", 5)], "key string, pos int")
+    texts = spark.createDataFrame([(1, "The RED old Mill; red old mill"), (2, "oldmill, an Old mill²"), (7, "the izmir desk"), (None, "red old\nmill, a.b"), (5, None), (6, "axb cold mill"), (8, "Stone Bridge")], "id int, text string")
+    got = {(r["id"], r["pos"], r["span"]) for r in places.spelled(texts, keys).collect()}
+    want = {(r["id"], r["pos"], r["span"]) for r in texts.crossJoin(keys).select("id", "pos", T.evidence_span(F.col("text"), F.col("key")).alias("span")).filter("span <> ''").collect()}
+    assert {(1, 1, "RED old Mill"), (1, 22, "old Mill"), (None, 4, "a.b")} <= got
+    assert got == want
+
+
 def test_readers(spark, tmp_path):
     rss = "<rss><channel><item><title>A &amp; B</title><link>http://x/1</link><pubDate>Tue, 01 Sep 2026 10:00:00 GMT</pubDate></item><item><title>no url</title></item></channel></rss>"
     atom = '<feed><entry><title>T</title><link href="http://x/2"/><updated>2026-09-01T10:00:00Z</updated></entry></feed>'

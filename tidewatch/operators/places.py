@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import values as V
 from tidewatch.functions.geo import TIERS, coarser
-from tidewatch.functions.text import quoted
+from tidewatch.functions.text import evidence_span, quoted
 
 #: A gazetteer of more keys than this is not broadcast for the containment join.
 BROADCAST_KEYS = 100_000
@@ -37,6 +37,24 @@ def longest_contained(texts: DataFrame, keys: DataFrame, whole_words: bool = Tru
     return found.groupBy("id").agg(F.max_by("key", F.struct(F.length("key"), -F.col("pos"))).alias("key"))
 
 
+def spelled(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, pos and span for every text and key that it spells as whole words. texts: id, text; keys: key, pos.
+
+    Words of the text, without the text, meet the first words of keys in an equi-join; only texts and keys with a common
+    word are looked at. Keys without a word are spelled nowhere."""
+    plain = lambda c: F.translate(c, "İ", "I")
+    # Patterns that ignore case bring letters together by upper and then lower case; most words have one form in both.
+    # The concat stands between them as the optimizer takes lower(upper(x)) for lower(x).
+    forms = lambda c: F.array_distinct(F.array(F.lower(plain(c)), F.lower(F.concat(F.upper(plain(c)), F.lit("")))))
+    words = lambda c: F.array_distinct(F.flatten(F.transform(forms(c), lambda x: F.split(x, r"(?U)\W+"))))
+    w = texts.select("id", F.explode(words("text")).alias("w")).filter("w <> ''")
+    firsts = F.transform(forms("key"), lambda x: F.regexp_extract(x, r"(?U)(\w+)", 1))
+    k = keys.select("key", "pos", F.explode(firsts).alias("w")).filter("w <> ''")
+    met = w.join(k, "w").select(F.col("id").alias("_id"), "key", "pos").distinct()
+    both = texts.select("id", "text").join(met, F.col("id").eqNullSafe(F.col("_id")))
+    return both.select("id", "pos", evidence_span(F.col("text"), F.col("key")).alias("span")).filter("span <> ''")
+
+
 def resolve(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """id, lat, lon, precision, uncertainty_m, method for names (id, name): exact in the directional table, exact in
     the known one, else the longest known and then directional key contained in the name, one tier coarser. Names

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import text as T
 from tidewatch.functions import values as V
 from tidewatch.functions.geo import is_located
-from tidewatch.operators import feed, guards, linking
+from tidewatch.operators import feed, guards, linking, places
 from tidewatch.plans import substrate as S
 from tidewatch.plans.substrate import EV, MSG, REP
 
@@ -32,6 +32,9 @@ def phrases(spark, d):
 
 PHR = "phr AS (SELECT key, min(pos) AS pos FROM (SELECT lower(regexp_extract(text, '^([A-Za-z]+ [A-Za-z]+ [A-Za-z]+)', 1)) AS key, item_id AS pos FROM benchmark) WHERE key <> '' GROUP BY key)"
 
+#: RE2's \b knows ASCII alone and would find "zu den" in "zu denüau".
+SPELLED = "'(?i)(?:^|[^\\p{L}\\p{M}\\p{N}_])(' || key || ')(?:$|[^\\p{L}\\p{M}\\p{N}_])'"
+
 
 def noise_flags(spark, d):
     return S.messages(spark, d).select("id", T.is_noise(F.col("text")).alias("noise"))
@@ -148,6 +151,10 @@ ENTRIES = {
         lambda s, d: S.messages(s, d).join(phrases(s, d).withColumn("m", F.col("pos") % 20), F.col("id") % 20 == F.col("m")).select("id", "pos", T.evidence_span(F.col("text"), F.col("key")).alias("span")),
         f"WITH {PHR} SELECT doc_id AS id, pos, coalesce(regexp_extract(text, '(?i)\\b' || key || '\\b'), '') AS span FROM documents JOIN phr ON doc_id % 20 = pos % 20",
     ),
+    "evidence_hits": (
+        lambda s, d: places.spelled(S.messages(s, d).select("id", "text"), phrases(s, d)),
+        f"WITH {PHR}, hit AS (SELECT doc_id AS id, pos, regexp_extract(text, {SPELLED}, 1) AS span FROM documents, phr) SELECT id, pos, span FROM hit WHERE span <> ''",
+    ),
     "severity_trend": (
         lambda s, d: feed.severity_trend(S.events(s, d), "event_type"),
         f"""WITH {EV}, t AS (SELECT event_type, id, round(avg(severity) OVER (PARTITION BY event_type ORDER BY ts, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS trend FROM ev)
