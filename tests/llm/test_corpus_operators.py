@@ -66,6 +66,20 @@ def test_ngram_join_against_brute_force(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in want})
 
 
+def test_keep_first_keeps_a_row_of_each_group(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(rng.choices(WORDS, k=60)) for _ in range(6))
+    near = a + " more"
+    rows = [(None, b, "en", "s"), (None, c, "en", "s"), (7, d, "en", "s"), (7, e, "en", "s"), (3, a, "en", "s"), (9, near, "en", "s"), (9, f, "en", "s"), (9, f, "en", "r")]
+    rows += [(None, None, "en", "s"), (None, None, "en", "s"), (7, " ", "en", "s"), (7, " ", "en", "s"), (7, "", "en", "s")]
+    want = [(None, b, "s"), (None, c, "s"), (7, d, "s"), (7, e, "s"), (3, a, "s"), (9, f, "r"), (None, None, "s"), (None, None, "s"), (7, " ", "s"), (7, " ", "s"), (7, "", "s")]
+    kept = ngram_join.keep_first(table(spark, rows))
+    assert kept.schema == table(spark, rows).schema
+    assert sorted(map(str, [(r["doc_id"], r["text"], r["source"]) for r in kept.collect()])) == sorted(map(str, want))
+    many = [(None, " ".join(rng.choices(WORDS, k=30)), "en", "s") for _ in range(40)]
+    assert ngram_join.keep_first(table(spark, many + many)).count() == 40
+
+
 def test_mixing(spark, corpus):
     rows = mixing.mix(table(spark, corpus)).toPandas()
     again = mixing.mix(table(spark, corpus).repartition(7)).toPandas()

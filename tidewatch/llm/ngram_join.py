@@ -108,7 +108,7 @@ def need(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
-    """doc_id, n, name (of the set), and of the first such set in its task prefix and bitmaps (else null)."""
+    """doc_id, mark, n, name (of the set), and of the first such set in its task prefix and bitmaps (else null)."""
     order = np.argsort(hot)
     hot_key = hot[order]
 
@@ -145,10 +145,10 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "n", "name", "prefix", "bits", "wide"]
+                    [some.column(0), some.column(2), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "mark", "n", "name", "prefix", "bits", "wide"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(listed, "doc_id long, n int, name long, prefix array<long>, bits array<long>, wide array<long>")
+    return docs.select("doc_id", "text", mark_of().alias("mark")).mapInArrow(listed, "doc_id long, mark long, n int, name long, prefix array<long>, bits array<long>, wide array<long>")
 
 
 def bitmap(s: np.ndarray, longs: int) -> np.ndarray:
@@ -242,9 +242,18 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "name")
 
 
-def groups(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), "text")
+def number(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST))
+
+
+def mark_of() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The set of every row of docs (doc_id, mark, n, name), and name and root of the sets that link."""
+    docs = docs.select(number(docs).alias("doc_id"), "text")
     sets = cut(prefixes(docs, frequent(docs, k), k))
     first = sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     shown = sets.filter("bits is not null").select("name", "n", F.size("prefix").alias("p"), "bits", "wide").dropDuplicates(["name"])
@@ -281,6 +290,13 @@ def groups(docs: DataFrame, k: int = WORDS) -> DataFrame:
         if not more.isEmpty():
             comp = components(links.unionByName(more))
 
+    return sets.select("doc_id", "mark", "n", "name"), comp
+
+
+def groups(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of docs."""
+    sets, comp = linked(docs, k)
+    first = sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     roots = first.join(comp, "name", "left").select("name", "doc_id", F.coalesce("root", "name").alias("root"))
     label = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(label, "root").select("name", "component_id")
@@ -290,14 +306,23 @@ def groups(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id.
-
-    Where doc_ids repeat, one row of each stays: the one whose text sorts first."""
-    found = groups(docs, k)
-    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("of")))
-    nth = fresh(docs, "nth")
-    out = docs.join(small(kept.select("id"), IDS), docs["doc_id"].eqNullSafe(F.col("id")), "left_semi")
-    if not kept.filter("of > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")]))
-        out = out.withColumn(nth, place).filter(F.col(nth) == 1).drop(nth)
+    """docs with one row of each group, and all rows without words.
+
+    The row of a group is that of the smallest doc_id; where rows of the group share it, of the smallest set name and
+    mark; of rows with one text too, the one whose other columns sort first. Rows of different groups may share a doc_id."""
+    sets, comp = linked(docs, k)
+    texts = sets.filter("n > 0").groupBy("name", "doc_id", "mark").agg(F.count("*").alias("of"))
+    least = texts.groupBy("name").agg(F.min(F.struct("doc_id", "mark", "of")).alias("r")).join(comp, "name", "left")
+    ruled = F.min(F.struct("r.doc_id", "name", "r.mark", "r.of")).alias("r")
+    heads = least.groupBy(F.coalesce("root", "name").alias("root")).agg(ruled).select("r.doc_id", "r.mark", "r.of")
+    at, mark = fresh(docs, "at"), fresh(docs, "mark")
+    kept = cut(heads.unionByName(sets.filter("n = 0").select("doc_id", "mark", F.lit(1).cast("long").alias("of")).distinct()).withColumnsRenamed({"doc_id": at, "mark": mark}))
+    rows = docs.select("*", number(docs).alias(at), mark_of().alias(mark))
+    once = kept.filter("of = 1").select(at, mark)
+    out = rows.join(small(once, IDS), [at, mark], "left_semi").select(*docs.columns)
+    more = kept.filter("of > 1").select(at, mark)
+    if not more.isEmpty():
+        order = F.struct("text", *[F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")])
+        same = rows.join(small(more, IDS), [at, mark], "left_semi").groupBy(at, mark)
+        out = out.unionByName(same.agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*"))
     return out
