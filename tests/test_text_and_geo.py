@@ -71,3 +71,15 @@ def test_feed_time(spark):
     assert str(one(spark, T.feed_time(F.col("t")), t="Tue, 01 Sep 2026 10:00:00 GMT")) == "2026-09-01 10:00:00"
     assert str(one(spark, T.feed_time(F.col("t")), t="2026-09-01T10:00:00Z")) == "2026-09-01 10:00:00"
     assert one(spark, T.feed_time(F.col("t")), t="yesterday") is None
+
+
+def test_stated_tolls(spark):
+    rows = [
+        ("12 Palestinians were killed", "count_then_kill", 12), ("at least 60 dead", "count_then_kill", 60), ("Killing at least 1,200", "kill_then_count", 1200), ("Fire kills one in the north", "kill_then_count", 1),
+        ("killed 3 days ago", "none", None), ("killed 7 October", "none", None), ("Death toll rises to 40", "death_toll_phrase", 40), ("A young paramedic was killed", "singular", 1),
+        ("No one was killed", "zero", 0), ("No casualties in the raid", "zero", 0), ("No casualties have been announced yet", "zero_unpublished", None), ("No one was reported killed", "zero_unpublished", None),
+        ("Over 200 injured", "wounded", None), ("Dozens killed", "none", None), ("\u0627\u0633\u062a\u0634\u0647\u0627\u062f 12", "arabic", None), ("quiet day", "none", None), (None, None, None), ("", None, None), ("seventeen reported dead", "count_then_kill", 17),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "id int, text string")
+    got = {r["id"]: (r["b"], r["n"]) for r in df.select("id", T.toll_bucket(F.col("text")).alias("b"), T.toll_count(F.col("text")).alias("n")).collect()}
+    assert {rows[i][0]: got[i] for i in got} == {t: (b, n) for t, b, n in rows}

@@ -24,6 +24,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value evaluated one time, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_of(text: Column, phrases) -> Column:
     """Whether text contains one of the phrases (plain substrings): an or of searches, which stops at the first hit."""
     out = F.lit(False)
@@ -34,16 +39,18 @@ def any_of(text: Column, phrases) -> Column:
 
 def is_noise(text: Column, severity: Column | None = None) -> Column:
     """Too short, a noise phrase, a short comment, or of measured low severity. An unmeasured severity never decides."""
-    stripped = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    noise = once(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), lambda s: once(F.lower(s), lambda low: _noisy(s, low)))
+    return noise if severity is None else noise | low_severity(severity)
+
+
+def _noisy(stripped: Column, low: Column) -> Column:
     words = F.split(stripped, r"(?U)\s+")
-    low = F.lower(stripped)
     first = F.regexp_replace(F.regexp_extract(low, r"(?U)^(\S+)", 1), "[.,!?]+$", "")
     two = F.regexp_replace(F.regexp_replace(F.regexp_extract(low, r"(?U)^(\S+(?:\s+\S+)?)", 1), r"(?U)\s+", " "), "[.,!?]+$", "")
     starts = F.lit(False)
     for s in V.COMMENTARY_STARTERS:
         starts = starts | (first == s) | two.startswith(s)
-    noise = (F.length(stripped) < V.MIN_CHARS) | (F.size(words) < V.MIN_WORDS) | any_of(low, V.NOISE_PHRASES) | ((F.size(words) <= V.SHORT_WORDS) & starts)
-    return noise if severity is None else noise | low_severity(severity)
+    return (F.length(stripped) < V.MIN_CHARS) | (F.size(words) < V.MIN_WORDS) | any_of(low, V.NOISE_PHRASES) | ((F.size(words) <= V.SHORT_WORDS) & starts)
 
 
 def low_severity(severity: Column) -> Column:
@@ -51,7 +58,7 @@ def low_severity(severity: Column) -> Column:
 
 
 def is_relevant(title: Column, description: Column) -> Column:
-    return any_of(F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))), V.CONFLICT_KEYWORDS)
+    return once(F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))), lambda low: any_of(low, V.CONFLICT_KEYWORDS))
 
 
 def quoted(name: Column) -> Column:
@@ -127,24 +134,28 @@ def window_of(text: Column, pattern: str, before: int = 60, after: int = 60) ->
     return F.when(at > 0, F.substr(text, F.greatest(at - before, F.lit(1)), F.lit(before + after)))
 
 
-# Phrasings of a death toll, in the order in which they decide.
-TOLL = (
-    ("zero", r"(?i)\b(?:no|zero)\s+(?:deaths|fatalities|casualties|one (?:was )?killed)\b"),
-    ("count", r"(?i)\b(\d{1,6})\s+(?:people\s+|civilians\s+|soldiers\s+)?(?:were\s+|was\s+|have been\s+)?(?:killed|dead|martyred)\b"),
-    ("count", r"(?i)\b(?:killed|killing)\s+(?:at least\s+|over\s+|more than\s+)?(\d{1,6})\b"),
-    ("singular", r"(?i)\b(?:one|a)\s+(?:person|man|woman|child|soldier)\s+(?:was\s+)?killed\b"),
-    ("wounded", r"(?i)\b\d{1,6}\s+(?:people\s+)?(?:were\s+)?(?:wounded|injured)\b"),
-)
-
-
 def toll_bucket(text: Column) -> Column:
-    out = F.when(~F.lower(text).rlike("kill|dead|death|fatal|casualt|martyr|wound|injur"), F.lit("none"))
-    for name, pattern in TOLL:
-        out = out.when(text.rlike(pattern), F.lit(name))
-    return out.otherwise("none")
+    """How a text states a death toll: by one of the counting phrases (the first that fits), near a number in Arabic, of
+    one described person, as zero, as not yet published, by the wounded alone, or not at all (none; null text: null).
+
+    That nobody was killed is a measurement; that no deaths were announced is none."""
+    low = F.lower(text)
+    english = any_of(low, V.TOLL_WORDS)
+    out = F.when(text.isNull() | (text == ""), F.lit(None))
+    for name, pattern in V.TOLL_COUNTS.items():
+        out = out.when(english & text.rlike(pattern), F.lit(name))
+    out = out.when(text.rlike(V.TOLL_ARABIC), F.lit("arabic"))
+    for name, pattern in (("singular", V.TOLL_SINGULAR), ("zero", V.TOLL_ZERO), ("zero_unpublished", V.TOLL_UNPUBLISHED)):
+        out = out.when(english & text.rlike(pattern), F.lit(name))
+    return out.when(text.rlike(V.TOLL_WOUNDED), F.lit("wounded")).otherwise(F.lit("none"))
 
 
 def toll_count(text: Column) -> Column:
-    """The stated number of deaths: 0 when none is said, null when nothing is."""
-    counts = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast("int") for n, p in TOLL if n == "count"]
-    return F.when(text.rlike(TOLL[0][1]), 0).otherwise(F.coalesce(*counts, F.when(text.rlike(TOLL[3][1]), 1)))
+    """The stated number of deaths: that of the counting phrase, 0 when it is said that there were none; else null."""
+    spelled = F.create_map(*[x for word, n in V.NUMERALS.items() for x in (F.lit(word), F.lit(n))])
+    out, bucket = F.lit(None).cast("int"), toll_bucket(text)
+    for name, pattern in V.TOLL_COUNTS.items():
+        found = F.lower(F.regexp_extract(text, pattern, 1))
+        out = F.when(bucket == name, F.coalesce(F.replace(found, F.lit(",")).try_cast("int"), F.try_element_at(spelled, found))).otherwise(out)
+    return F.when(bucket == "zero", 0).when(bucket == "singular", 1).otherwise(out)
+

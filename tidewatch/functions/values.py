@@ -71,3 +71,41 @@ EARTH_KM, EARTH_NM = 6371.0, 3440.065
 
 # The retired sentinel position.
 SENTINEL_LAT, SENTINEL_LON = -25.0, 80.0
+
+# How a death toll is put in words. Counts that can be copied, not "dozens" or "many"; the killed alone.
+TOLL_WORDS = ("kill", "dead", "death", "died", "martyr", "fatalit", "slain", "toll", "casualt", "murder", "execut", "lives of")
+NUMERALS = {
+    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
+    "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
+    "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
+}
+_COUNT = rf"(?:(?:\d{{1,3}}(?:,\d{{3}})+|\d{{1,6}})|{'|'.join(NUMERALS)})"
+_APPROX = r"(?:at least|more than|over|nearly|around|about|some|up to|no fewer than|a total of)\s+"
+_KILL = "(?:killed|dead|deaths|died|martyred|martyrs|fatalities|slain)"
+_VICTIM = (
+    "(?:people|persons?|civilians?|children|kids|women|men|palestinians?|israelis?|iranians?|lebanese|syrians?|yemenis?|iraqis?|americans?|"
+    "soldiers?|troops?|officers?|police(?:men)?|militants?|fighters?|members?|medics?|journalists?|workers?|students?|hostages?|victims?|"
+    "bodies|others?|more|additional)"
+)
+_FILLER = rf"(?:\s+(?:{_VICTIM}|were|was|are|is|have|has|had|been|reportedly|reported|said|confirmed|feared|also|now)){{0,3}}"
+_MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+TOLL_COUNTS = {
+    "count_then_kill": rf"(?iU)(?<!\bno\s)\b({_COUNT})\b{_FILLER}\s+{_KILL}\b",
+    "kill_then_count": rf"(?iU)\b(?:killed|killing|kills|kill|martyred|murdered|executed|claim(?:ed|ing)? the lives of)\s+(?:{_APPROX})?({_COUNT})\b(?!\s*(?:%|percent|years?|yrs?|months?|weeks?|days?|hours?|minutes?|{_MONTHS}))",
+    "death_toll_phrase": rf"(?iU)\b(?:death toll|toll of (?:the )?dead|number of (?:the )?(?:dead|deaths|killed|martyrs)|fatalities)\b[^.\n]{{0,40}}?\b({_COUNT})\b",
+}
+TOLL_SINGULAR = (
+    r"(?iU)\b(?:a|an|one)\s+(?:[\w-]+\s+){0,2}?(?:man|woman|child|boy|girl|person|soldier|officer|civilian|policeman|teenager|worker|journalist|medic|paramedic|driver|"
+    r"guard|farmer|student|doctor|nurse)\s+(?:was\s+|has\s+been\s+|were\s+|had\s+been\s+)?(?:killed|shot\s+dead|martyred)\b"
+)
+_ZERO = (
+    r"no\s+(?:one|body|\w+\s+)?(?:was\s+|were\s+|been\s+)?(?:killed|martyred)\b|nobody\s+(?:was\s+)?killed|no\s+(?:deaths|fatalities|casualties)\b|"
+    r"without\s+(?:any\s+)?(?:deaths|fatalities|casualties)|zero\s+(?:deaths|fatalities|casualties)"
+)
+_UNPUBLISHED = r"(?:\w+\s+){0,3}?(?:announced|reported|confirmed|released|published|yet)\b"
+TOLL_ZERO = rf"(?iU)\b(?:{_ZERO})(?!\s+{_UNPUBLISHED})"
+TOLL_UNPUBLISHED = rf"(?iU)\b(?:{_ZERO})\s+{_UNPUBLISHED}|\bno\s+(?:one|body)\s+(?:was\s+|were\s+|has\s+been\s+)?reported\s+(?:killed|dead|martyred)\b"
+TOLL_WOUNDED = r"(?iU)\b(?:wounded|injur\w+|hospitali[sz]\w+|casualt\w+|missing)\b"
+_AR_KILL = "(?:قتل|قتلى|قتيل|شهيد|شهداء|استشه|مقتل|وفاة|وفيات)"
+_AR_NUM = "(?:[0-9٠-٩][0-9٠-٩,]{0,6})"
+TOLL_ARABIC = rf"{_AR_KILL}[^.\n]{{0,30}}?{_AR_NUM}|{_AR_NUM}[^.\n]{{0,30}}?{_AR_KILL}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,30 +50,37 @@ def candidates(probes: DataFrame, stored: DataFrame, **how) -> DataFrame:
 
 def similar_pairs(messages: DataFrame, **how) -> DataFrame:
     """Pairs (probe_id, id, ts of id) of messages (near() columns and text) whose word sets are alike."""
-    words = messages.select("id", T.word_set(F.col("text")).alias("words"))
-    pairs = near(messages, messages, **how)
+    words = cut(messages.select("id", T.word_set(F.col("text")).alias("words")).filter(F.size("words") > 0))
+    sizes = words.select("id", F.size("words").alias("n"))
+    a, b = F.col("n"), F.col("m")
+    # The shared part is at most the smaller set: 5 shared > 2 (n + m - shared) needs 7 min(n, m) > 2 (n + m).
+    pairs = near(messages, messages, **how).join(sizes.withColumnRenamed("id", "probe_id"), "probe_id").join(sizes.withColumnRenamed("n", "m"), "id").filter(7 * F.least(a, b) > 2 * (a + b))
     both = pairs.join(words.select(F.col("id").alias("probe_id"), F.col("words").alias("a")), "probe_id").join(words.withColumnRenamed("words", "b"), "id")
-    return both.filter(T.similar(F.col("a"), F.col("b"))).select("probe_id", "id", "ts")
+    return both.filter(7 * F.size(F.array_intersect("a", "b")) > 2 * (a + b)).select("probe_id", "id", "ts")
 
 
 def leaders(messages: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """id, leader: each message, in order of id, joins the newest earlier leader that it is like, or leads itself.
 
-    Who leads depends on earlier decisions. Each round decides all messages whose earlier likes are decided: one
-    without a leading like leads, the others join. Rounds number the longest chain of likes; every round is one
-    join of the pairs with the decisions, so no group meets in one task."""
+    Who leads depends on earlier decisions. Each round decides the messages whose newest leading like is known: all that
+    are newer are decided and do not lead. One without a leading like leads, the others join. Rounds number the longest
+    chain of likes at most; a round joins the pairs still open with the last decisions, so no group meets in one task,
+    and what is decided is not read again."""
     pairs = cut(similar_pairs(messages) if pairs is None else pairs)
-    decided = cut(messages.select("id").join(pairs.select(F.col("probe_id").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads"), F.col("id").alias("leader")))
+    done = [messages.select("id").join(pairs.select(F.col("probe_id").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads"), F.col("id").alias("leader"))]
+    done[0] = cut(done[0])
+    open_ = pairs.withColumn("leads", F.lit(None).cast("boolean"))
     while True:
-        open_ = pairs.join(decided.select(F.col("id").alias("probe_id")), "probe_id", "left_anti")
-        state = open_.join(decided.select("id", "leads"), "id", "left")
-        newest = F.max(F.when(F.col("leads"), F.struct("ts", "id")))
-        rounds = state.groupBy("probe_id").agg(F.bool_or(F.col("leads").isNull()).alias("waiting"), newest.alias("best"))
-        ready = rounds.filter("not waiting").select(F.col("probe_id").alias("id"), F.col("best").isNull().alias("leads"), F.coalesce("best.id", "probe_id").alias("leader"))
-        ready = cut(ready)
+        last = done[-1].select("id", F.col("leads").alias("now"))
+        open_ = cut(open_.join(last, "id", "left").withColumn("leads", F.coalesce("leads", "now")).drop("now"))
+        place = F.struct("ts", "id")
+        best, waiting = F.max(F.when(F.col("leads"), place)), F.max(F.when(F.col("leads").isNull(), place))
+        rounds = open_.groupBy("probe_id").agg(best.alias("best"), waiting.alias("waiting")).filter("waiting is null or best > waiting")
+        ready = cut(rounds.select(F.col("probe_id").alias("id"), F.col("best").isNull().alias("leads"), F.coalesce("best.id", "probe_id").alias("leader")))
         if ready.isEmpty():
-            return decided.select("id", "leader")
-        decided = cut(decided.unionByName(ready))
+            return reduce(DataFrame.unionByName, done).select("id", "leader")
+        done.append(ready)
+        open_ = open_.join(ready.select(F.col("id").alias("probe_id")), "probe_id", "left_anti")
 
 
 def fold(reports: DataFrame) -> DataFrame:
@@ -93,12 +102,12 @@ def fold(reports: DataFrame) -> DataFrame:
 
 
 def channel_list(reports: DataFrame, compat: bool = True) -> DataFrame:
-    """event_id, channels: names in order of arrival, joined by commas. compat: a name contained in the text so far is
+    """event_id, channels: names in order of arrival, joined by comma and space. compat: a name contained in the text so far is
     left out even where it is only part of another name; else names are told apart."""
     seq = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("channel", F.lit("")).alias("c")))), lambda r: r["c"])  # the reports of one event
     if not compat:
-        return reports.groupBy("event_id").agg(F.array_join(F.array_distinct(F.filter(seq, lambda c: c != "")), ",").alias("channels"))
-    step = lambda acc, c: F.when((c == "") | F.contains(acc, c), acc).when(acc == "", c).otherwise(F.concat(acc, F.lit(","), c))
+        return reports.groupBy("event_id").agg(F.array_join(F.array_distinct(F.filter(seq, lambda c: c != "")), ", ").alias("channels"))
+    step = lambda acc, c: F.when((c == "") | F.contains(acc, c), acc).when(acc == "", c).otherwise(F.concat(acc, F.lit(", "), c))
     return reports.groupBy("event_id").agg(F.aggregate(seq, F.lit(""), step).alias("channels"))
 
 

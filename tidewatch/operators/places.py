@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import values as V
 from tidewatch.functions.geo import TIERS, coarser
 from tidewatch.functions.text import evidence_span, quoted
-
-#: A gazetteer of more keys than this is not broadcast for the containment join.
-BROADCAST_KEYS = 100_000
+from tidewatch.session import cut, small
 
 
 def tier_rank(tier: Column) -> Column:
@@ -23,17 +21,23 @@ def voted_tiers(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.groupBy("lat", "lon").agg(F.min_by("tier", tier_rank(F.col("tier"))).alias("tier"))
 
 
-def longest_contained(texts: DataFrame, keys: DataFrame, whole_words: bool = True) -> DataFrame:
-    """id and the longest key that text contains (ties: smallest pos). texts: id, text; keys: key, pos.
+def longest_contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """id and the longest key that text contains as whole words (ties: smallest pos). texts: id, text; keys: key, pos.
 
-    Words of the text meet the first words of keys in an equi-join, then the whole key is looked for: no pair of text and key
-    is formed without a common word."""
+    Single words and pairs of neighbouring words of the texts, without the texts, meet the first one or two words of the
+    keys in an equi-join; only the texts and keys that share such a beginning are looked at."""
     word = r"[^\p{L}\p{N}_]+"
-    lower = F.lower("text")
-    t = texts.select("id", lower.alias("low"), F.explode(F.array_distinct(F.split(lower, word))).alias("w")).filter("w <> ''")
-    k = keys.select(F.lower("key").alias("key"), "pos", F.regexp_extract(F.lower("key"), r"([\p{L}\p{N}_]+)", 1).alias("w")).filter("w <> ''")
-    hit = F.rlike("low", F.concat(F.lit(r"(?U)\b"), quoted(F.col("key")), F.lit(r"\b"))) if whole_words else F.contains("low", F.col("key"))
-    found = t.join(k, "w").filter(hit)
+    listed = lambda c: F.filter(F.split(c, word), lambda w: w != "")
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    k = keys.select(F.lower("key").alias("key"), "pos").withColumn("w", listed(F.col("key"))).filter(F.size("w") > 0)
+    k = cut(k.select("key", "pos", F.concat_ws(" ", F.slice("w", 1, 2)).alias("start"), F.size("w").alias("n")))
+    single = not k.filter("n = 1").isEmpty()
+    t = texts.select("id", F.lower("text").alias("low"))
+    words = t.select("id", listed(F.col("low")).alias("w"))
+    starts = F.concat(F.col("w"), pairs(F.col("w"))) if single else pairs(F.col("w"))
+    met = words.select("id", F.explode(F.array_distinct(starts)).alias("start")).join(small(k.drop("n")), "start").select(F.col("id").alias("_id"), "key", "pos")
+    hit = F.contains("low", F.col("key")) & F.rlike("low", F.concat(F.lit(r"(?U)\b"), quoted(F.col("key")), F.lit(r"\b")))
+    found = t.join(met, F.col("id").eqNullSafe(F.col("_id"))).filter(hit)
     return found.groupBy("id").agg(F.max_by("key", F.struct(F.length("key"), -F.col("pos"))).alias("key"))
 
 

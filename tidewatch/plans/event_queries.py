@@ -36,6 +36,10 @@ PHR = "phr AS (SELECT key, min(pos) AS pos FROM (SELECT lower(regexp_extract(tex
 SPELLED = "'(?i)(?:^|[^\\p{L}\\p{M}\\p{N}_])(' || key || ')(?:$|[^\\p{L}\\p{M}\\p{N}_])'"
 
 
+#: What a spelled phrase cannot do without, cheap to test: its letters, or one of the signs that fold to ASCII letters.
+NEAR = "(contains(lower(text), key) OR regexp_matches(text, '[İſK]'))"
+
+
 def noise_flags(spark, d):
     return S.messages(spark, d).select("id", T.is_noise(F.col("text")).alias("noise"))
 
@@ -65,6 +69,19 @@ l AS (SELECT event_id, arg_max(rel, seq) AS reliability, arg_max(len(names), seq
 g AS (SELECT event_id, count(*) AS report_count, max(CASE WHEN status = 'ok' OR seq = 0 THEN severity END) AS severity FROM rep GROUP BY event_id)
 SELECT event_id, report_count, severity, n_channels, reliability FROM g JOIN l USING (event_id)"""
 
+COMPAT_SQL = f"""WITH RECURSIVE {REP}, f AS (
+  SELECT event_id, seq, channel AS channels FROM rep WHERE seq = 0
+  UNION ALL SELECT r.event_id, r.seq, CASE WHEN r.channel = '' OR contains(f.channels, r.channel) THEN f.channels WHEN f.channels = '' THEN r.channel ELSE f.channels || ', ' || r.channel END
+  FROM f JOIN rep r ON r.event_id = f.event_id AND r.seq = f.seq + 1)
+SELECT event_id, arg_max(channels, seq) AS channels FROM f GROUP BY event_id"""
+
+#: Message after message in order of id, with the list of those that lead so far.
+LEAD_SQL = f"""{MSG}, {PAIRS_SQL}, m AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS n FROM msg), c AS MATERIALIZED (SELECT probe_id, list(id ORDER BY ts DESC, id DESC) AS likes FROM pr GROUP BY probe_id),
+ld AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS leader, []::BIGINT[] AS leads
+  UNION ALL SELECT n, id, coalesce(l, id), CASE WHEN l IS NULL THEN list_append(leads, id) ELSE leads END
+  FROM (SELECT m.n, m.id, ld.leads, list_filter(coalesce(c.likes, []::BIGINT[]), lambda x: list_contains(ld.leads, x))[1] AS l FROM ld JOIN m ON m.n = ld.n + 1 LEFT JOIN c ON c.probe_id = m.id))"""
+LINKED_SQL = FOLD_SQL.replace(REP, f"{LEAD_SQL}, rep AS (SELECT leader AS event_id, row_number() OVER (PARTITION BY leader ORDER BY ld.id) - 1 AS seq, channel, reliability, severity, status FROM ld JOIN msg ON msg.id = ld.id)")
+
 ENTRIES = {
     "feed_latest": (lambda s, d: feed.latest(S.events(s, d)).select(*COLS), f"WITH {EV} SELECT {SQLCOLS} FROM ev ORDER BY ts DESC, id DESC LIMIT 50"),
     "feed_by_type": (lambda s, d: feed.latest(S.events(s, d), 200, event_type="click").select(*COLS), f"WITH {EV} SELECT {SQLCOLS} FROM ev WHERE event_type = 'click' ORDER BY ts DESC, id DESC LIMIT 200"),
@@ -134,26 +151,26 @@ ENTRIES = {
         lambda s, d: linking.candidates(S.events(s, d), S.events(s, d)),
         f"WITH {EV}, {NEAR_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY ts DESC, id DESC) AS rank FROM nr) SELECT probe_id, id, rank::INT AS rank FROM rk WHERE rank <= CASE WHEN located THEN 20 ELSE 200 END",
     ),
-    "greedy_clusters": (greedy_clusters, None),
-    "linked_events": (lambda s, d: linking.linked_events(S.messages(s, d)), None),
+    "greedy_clusters": (greedy_clusters, f"WITH RECURSIVE {LEAD_SQL} SELECT id, leader FROM ld WHERE n > 0"),
+    "linked_events": (lambda s, d: linking.linked_events(S.messages(s, d)), LINKED_SQL),
     "merge_fold_reliability": (merge_fold, FOLD_SQL),
     "merge_fold_count_sev": (
         lambda s, d: linking.fold(S.reports(s, d)).select("event_id", "report_count", "severity"),
         f"WITH {REP} SELECT event_id, count(*) AS report_count, max(CASE WHEN status = 'ok' OR seq = 0 THEN severity END) AS severity FROM rep GROUP BY event_id",
     ),
     "distinct_named_channels": (lambda s, d: S.reports(s, d).filter("channel <> ''").groupBy("event_id").agg(F.countDistinct("channel").alias("n")), f"WITH {REP} SELECT event_id, count(DISTINCT channel) AS n FROM rep WHERE channel <> '' GROUP BY event_id"),
-    "channel_append_compat": (lambda s, d: linking.channel_list(S.reports(s, d)), None),
+    "channel_append_compat": (lambda s, d: linking.channel_list(S.reports(s, d)), COMPAT_SQL),
     "channel_append_set": (
         lambda s, d: linking.channel_list(S.reports(s, d), compat=False),
-        f"WITH {REP}, f AS (SELECT event_id, channel, min(seq) AS seq FROM rep WHERE channel <> '' GROUP BY 1, 2) SELECT e.event_id, coalesce(string_agg(channel, ',' ORDER BY f.seq), '') AS channels FROM (SELECT DISTINCT event_id FROM rep) e LEFT JOIN f ON f.event_id = e.event_id GROUP BY e.event_id",
+        f"WITH {REP}, f AS (SELECT event_id, channel, min(seq) AS seq FROM rep WHERE channel <> '' GROUP BY 1, 2) SELECT e.event_id, coalesce(string_agg(channel, ', ' ORDER BY f.seq), '') AS channels FROM (SELECT DISTINCT event_id FROM rep) e LEFT JOIN f ON f.event_id = e.event_id GROUP BY e.event_id",
     ),
     "evidence_span": (
-        lambda s, d: S.messages(s, d).join(phrases(s, d).withColumn("m", F.col("pos") % 20), F.col("id") % 20 == F.col("m")).select("id", "pos", T.evidence_span(F.col("text"), F.col("key")).alias("span")),
-        f"WITH {PHR} SELECT doc_id AS id, pos, coalesce(regexp_extract(text, '(?i)\\b' || key || '\\b'), '') AS span FROM documents JOIN phr ON doc_id % 20 = pos % 20",
+        lambda s, d: places.spelled(S.messages(s, d).select("id", "text"), phrases(s, d)),
+        f"WITH {PHR}, hit AS (SELECT doc_id AS id, pos, CASE WHEN {NEAR} THEN regexp_extract(text, {SPELLED}, 1) ELSE '' END AS span FROM documents, phr) SELECT id, pos, span FROM hit WHERE span <> ''",
     ),
     "evidence_hits": (
-        lambda s, d: places.spelled(S.messages(s, d).select("id", "text"), phrases(s, d)),
-        f"WITH {PHR}, hit AS (SELECT doc_id AS id, pos, regexp_extract(text, {SPELLED}, 1) AS span FROM documents, phr) SELECT id, pos, span FROM hit WHERE span <> ''",
+        lambda s, d: places.spelled(S.messages(s, d).select("id", "text"), phrases(s, d)).groupBy("id").agg(F.count("*").alias("spans"), F.countDistinct("pos").alias("phrases")),
+        f"WITH {PHR}, hit AS (SELECT doc_id AS id, pos, CASE WHEN {NEAR} THEN regexp_extract(text, {SPELLED}, 1) ELSE '' END AS span FROM documents, phr) SELECT id, count(*) AS spans, count(DISTINCT pos) AS phrases FROM hit WHERE span <> '' GROUP BY id",
     ),
     "severity_trend": (
         lambda s, d: feed.severity_trend(S.events(s, d), "event_type"),

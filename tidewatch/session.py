@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of so many rows at most, counted, may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def build(name: str = "tidewatch", **settings: str) -> SparkSession:
@@ -21,11 +26,13 @@ def build(name: str = "tidewatch", **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share. Only a session of one machine may do without and get a folder of its own (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -36,3 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark df for broadcast when its counted rows are within the bound, else leave it to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
