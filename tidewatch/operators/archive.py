@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import values as V
+from tidewatch.session import cut, small
 
 Z = 1.96
+#: Bands that a key's range of values is cut into for ranks.
+BANDS = 1024
 
 
 def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
@@ -70,10 +73,18 @@ def sentinel_census(rows: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: total, upper-middle median, the value at place floor(0.95 n), largest. Ranks come from a window sort."""
-    by = Window.partitionBy(key)
-    r = rows.select(key, value, F.row_number().over(by.orderBy(value)).alias("i"), F.count("*").over(by).alias("n"))
-    at = lambda i: F.max(F.when(F.col("i") == i + 1, F.col(value)))
+    """Per key: total, upper-middle median, the value at place floor(0.95 n), largest; nulls come first. Rows without a key are left out.
+
+    A window runs over the distinct values of BANDS bands of a key, and another over the bands: no task holds a key's rows."""
+    n = rows.groupBy(key, value).agg(F.count("*").alias("c"))
+    ends = n.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    n = n.join(ends, key).withColumn("_band", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / span * BANDS), F.lit(-1)))
+    before = n.groupBy(key, "_band").agg(F.sum("c").alias("_n"))
+    before = before.select(key, "_band", (F.sum("_n").over(Window.partitionBy(key).orderBy("_band")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(key)).alias("n"))
+    to = F.col("_before") + F.sum("c").over(Window.partitionBy(key, "_band").orderBy(value))
+    r = n.join(before, [key, "_band"]).select(key, value, "c", "n", to.alias("_to"))
+    at = lambda i: F.max(F.when((F.col("_to") > i) & (F.col("_to") - F.col("c") <= i), F.col(value)))
     return r.groupBy(key).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("median"), at(F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)).alias("p95"), F.max(value).alias("largest"))
 
 
@@ -94,8 +105,16 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed:
     """The allocated number of rows of each stratum, those of the smallest seeded hash: reruns agree."""
     pool = pooled(rows, stratum)
     draw = allocation(pool.groupBy(stratum).agg(F.count("*").alias("n")), size).select(stratum, "draw")
-    by = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return pool.withColumn("_i", F.row_number().over(by)).join(F.broadcast(draw), stratum).filter("_i <= draw").drop("_i", "draw")
+    n = cut(draw)
+    # Only rows whose hash lies under a bound that leaves twice what is drawn, and 20 more, are ranked; a stratum whose bound lets too few pass (hardly ever) is ranked whole.
+    sizes = pool.groupBy(stratum).agg(F.count("*").alias("_n")).join(n, stratum)
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    hashed = pool.withColumn("_h", place)
+    bound = sizes.select(stratum, "draw", ((2 * F.col("draw") + 20) / F.col("_n") * 2.0**32).alias("_most"))
+    passed = hashed.join(bound, stratum).filter("_h < _most").groupBy(stratum).agg(F.count("*").alias("_c"))
+    bound = small(cut(bound.join(passed, stratum, "left").select(stratum, "draw", F.when(F.coalesce("_c", F.lit(0)) >= F.col("draw"), F.col("_most")).otherwise(2.0**32).alias("_most"))))
+    by = Window.partitionBy(stratum).orderBy("_h", key)
+    return hashed.join(bound, stratum).filter("_h < _most").withColumn("_i", F.row_number().over(by)).filter("_i <= draw").drop("_i", "draw", "_h", "_most")
 
 
 def reservoir(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:

@@ -90,7 +90,14 @@ v AS (SELECT *, CASE WHEN m > 1 THEN w * w * (1 - m::DOUBLE / n) * p * (1 - p) /
         lambda s, d: archive.coverage(S.events(s, d), S.events(s, d).filter("k = 5"), "user_id", 2),
         f"WITH {EV}, n AS (SELECT user_id, count(*) FILTER (k = 5) AS n FROM ev GROUP BY 1) SELECT count(*) FILTER (n >= 1) AS some, count(*) FILTER (n = 0) AS none, count(*) FILTER (n = 1) AS one, count(*) FILTER (n <= 2) AS at_floor FROM n",
     ),
-    "stratified_sample": (lambda s, d: archive.stratified_sample(S.read(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 500), None),
+    "stratified_sample": (
+        lambda s, d: archive.stratified_sample(S.read(s, d, "documents").select("doc_id", "source"), "source", "doc_id", 500),
+        """WITH n AS (SELECT source, count(*) AS c FROM documents GROUP BY source),
+p AS (SELECT doc_id, CASE WHEN c < 0.01 * (SELECT count(*) FROM documents) THEN '(small)' ELSE d.source END AS source FROM documents d JOIN n ON n.source = d.source),
+b AS (SELECT source, least(greatest(20, round_even(500 * count(*)::DOUBLE / (SELECT count(*) FROM p), 0)), count(*))::BIGINT AS draw FROM p GROUP BY source),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(md5('0:' || doc_id), 1, 8), doc_id) AS i FROM p)
+SELECT doc_id, r.source FROM r JOIN b ON b.source = r.source WHERE i <= draw""",
+    ),
     "title_extract": (lambda s, d: S.read(s, d, "pages").select("page_id", pages.title(F.col("html")).alias("title")), "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), NULL) AS title FROM pages"),
     "url_parts": (
         lambda s, d: S.read(s, d, "pages").select("page_id", *pages.url_parts(F.col("url"))),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.functions.geo import truthy
+from tidewatch.session import small
 
 ITEM = "title STRING, description STRING, summary STRING, link STRING, guid STRING, pubDate STRING, published STRING, updated STRING"
 
@@ -101,7 +102,7 @@ def annotations(payloads: DataFrame) -> DataFrame:
 def by_watchlist(annotated: DataFrame, watched: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
     """Annotations per watched code (code, ongoing, n), and the newest others: ongoing first, then by start."""
     each = annotated.select("*", F.explode("locations").alias("code"))
-    hit = each.join(F.broadcast(watched), "code", "left_semi")
+    hit = each.join(small(watched), "code", "left_semi")
     per = hit.groupBy("code").agg(F.bool_or("ongoing").alias("ongoing"), F.count("*").alias("n"))
     others = annotated.join(hit.select("id").distinct(), "id", "left_anti").orderBy(F.desc("ongoing"), F.desc(F.coalesce("start", F.lit(""))), "id").limit(limit)
     return per, others
