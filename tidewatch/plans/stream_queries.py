@@ -3,34 +3,58 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.plans import substrate as S
 from tidewatch.session import shared_dir
 from tidewatch.streaming import pipelines
 
 
-def run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], steps: int = 4, replay: bool = False) -> DataFrame:
+    """What a stream over the events gives when they arrive in so many steps in order of time, with a stop and a restart from the
+    checkpoint after each. replay: everything arrives once more at the end."""
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    pipelines.run_available(stream, f"{base}/out", f"{base}/checkpoint")
+    events = S.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    us = F.unix_micros("ts")
+    cuts = events.agg(F.percentile_approx(us, [i / steps for i in range(1, steps)], 1000)).first()[0] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    parts = [events.filter((F.lit(True) if lo is None else us > lo) & (F.lit(True) if hi is None else us <= hi)) for lo, hi in zip(bounds, bounds[1:])]
+    stream = None
+    for part in parts + [events] * replay:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = stream or make(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
+        pipelines.run_available(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def stream_dedup(spark, d):
-    return run(spark, pipelines.guarded(pipelines.event_files(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"))
+    return run(spark, d, lambda events: pipelines.guarded(events, ["event_id"]).select("event_id", "user_id", "event_type"), replay=True)
 
 
-def stream_tracks(spark, d):
+def points(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    points = pipelines.event_files(spark, d).filter(k % 5 != 0).select(F.col("user_id").alias("entity"), "ts", F.col("event_id").alias("id"), F.floor(k / 25).cast("double").alias("lat"), F.floor(F.col("value") / 200).cast("double").alias("lon"))
-    return run(spark, pipelines.tracked(points, ttl_s=10**9))
+    return events.filter(k % 5 != 0).select(F.col("user_id").alias("entity"), "ts", F.col("event_id").alias("id"), F.floor(k / 50).cast("double").alias("lat"), F.floor(F.col("value") / 400).cast("double").alias("lon"))
+
+
+#: Tracks of the events table go on for a day: its users are seen every few hours.
+TTL_S = 86_400
+
+
+def stream_tracks(spark, d):
+    return run(spark, d, lambda events: pipelines.tracked(points(events), ttl_s=TTL_S))
 
 
-TRACKS_SQL = """WITH p AS (SELECT user_id AS entity, ts, event_id AS id, CAST(floor(CAST(json_extract_string(props, '$.k') AS INT) / 25) AS DOUBLE) AS lat, floor(value / 200) AS lon FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) % 5 <> 0),
-l AS (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS b FROM p WINDOW w AS (PARTITION BY entity ORDER BY ts, id)) SELECT entity, ts, id, lat, lon FROM l WHERE a IS NULL OR a <> lat OR b <> lon"""
+TRACKS_SQL = f"""WITH RECURSIVE p AS (SELECT user_id AS entity, ts, event_id AS id, CAST(floor(CAST(json_extract_string(props, '$.k') AS INT) / 50) AS DOUBLE) AS lat, floor(value / 400) AS lon,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) % 5 <> 0),
+t AS (SELECT entity, n, ts, id, lat, lon, ts AS last, lat AS a, lon AS b, true AS kept FROM p WHERE n = 1
+  UNION ALL SELECT p.entity, p.n, p.ts, p.id, p.lat, p.lon, CASE WHEN k THEN p.ts ELSE t.last END, CASE WHEN k THEN p.lat ELSE t.a END, CASE WHEN k THEN p.lon ELSE t.b END, k
+  FROM t JOIN p ON p.entity = t.entity AND p.n = t.n + 1, LATERAL (SELECT p.lat <> t.a OR p.lon <> t.b OR epoch_us(p.ts) - epoch_us(t.last) > {TTL_S * 1_000_000} AS k))
+SELECT entity, ts, id, lat, lon FROM t WHERE kept"""
 
 ENTRIES = {
-    "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_dedup": (stream_dedup, "SELECT event_id, user_id, event_type FROM events"),
     "stream_tracks": (stream_tracks, TRACKS_SQL),
 }

@@ -32,8 +32,9 @@ TRACK_STATE = "lat double, lon double, last_us long"
 
 
 def tracked(points: DataFrame, ttl_s: int = V.TRACK_TTL_S, delay: str = "10 minutes") -> DataFrame:
-    """Recorded points of each entity (entity, ts, id, lat, lon): a point equal to the last recorded one is skipped and
-    does not renew the track; state is dropped when the watermark passes the last recorded point by ttl_s."""
+    """Recorded points of each entity (entity, ts, id, lat, lon): a point equal to the last recorded one, and at most
+    ttl_s younger, is skipped and does not renew the track. State is dropped when the watermark passes the last recorded
+    point by ttl_s: no later point can be equal in time, so batches do not matter."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -44,7 +45,7 @@ def tracked(points: DataFrame, ttl_s: int = V.TRACK_TTL_S, delay: str = "10 minu
         out = []
         for r in rows.itertuples(index=False):
             us = int(r.ts.timestamp() * 1_000_000)
-            if (lat, lon) != (r.lat, r.lon):
+            if (lat, lon) != (r.lat, r.lon) or us - last > ttl_s * 1_000_000:
                 out.append((key[0], r.ts, r.id, r.lat, r.lon))
                 lat, lon, last = r.lat, r.lon, us
         state.update((lat, lon, last))
