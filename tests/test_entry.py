@@ -1,9 +1,12 @@
 """The driver's contract, with and without the corpus subpackage."""
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -14,9 +17,24 @@ def test_contract(spark, data):
     assert e.entry(spark).count() > 0
 
 
-def test_the_rest_works_without_the_corpus_operators(tmp_path):
-    for p in ("tidewatch", "__spark_entry__.py"):
-        subprocess.run(["cp", "-r", ROOT / p, tmp_path / p], check=True)
-    subprocess.run(["rm", "-rf", tmp_path / "tidewatch" / "llm"], check=True)
+@pytest.mark.parametrize("left", [False, True])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, left):
+    shutil.copytree(ROOT / "tidewatch", tmp_path / "tidewatch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if left:  # the pipeline's file may stay behind
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True, text=True)
     assert said.stdout.split()[1:] == ["False"], said.stderr
+    collected = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True, text=True)
+    assert collected.returncode == 0, collected.stdout[-2000:]
+
+
+def test_a_broken_corpus_package_is_reported(tmp_path):
+    shutil.copytree(ROOT / "tidewatch", tmp_path / "tidewatch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "tidewatch" / "llm").mkdir()
+    (tmp_path / "tidewatch" / "llm" / "__init__.py").touch()
+    (tmp_path / "tidewatch" / "llm" / "queries.py").write_text("import no_such_module_here")
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True, text=True)
+    assert said.returncode != 0 and "no_such_module_here" in said.stderr
