@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 #: Rows and bytes of whole texts that cross to Python at once, where the session leaves Spark's default.
-ARROW_ROWS, ARROW_BYTES = 1_000, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,3 +61,21 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def lean() -> None:
+    """Called at the start of a Python task that needs no tokenizer: a worker process is used again by later stages,
+    and what an earlier one remembered would stay beside the JVM for the rest of the job."""
+    for module, forget in (("tokens", "release"), ("ngram_join", "forget")):
+        if loaded := sys.modules.get(f"{__package__}.{module}"):
+            getattr(loaded, forget)()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

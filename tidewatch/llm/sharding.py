@@ -6,8 +6,9 @@ totalled, the totals are summed over the partitions (a table of one row per part
 partition's start plus its place inside. Shards are cut at equal byte targets: a row belongs to the shard that
 holds its middle byte. The result depends on the order alone, not on where the ranges were cut.
 
-Defined cases: null text has no bytes and checksum 0; repeated rows are interchangeable; more shards than rows
-leaves shards empty; an empty table gives no rows; extra columns are ignored.
+Defined cases: null text has no bytes and checksum 0; rows tie only where checksum, size and doc_id are the same, and
+those are interchangeable; a very long text is one row and may fill a shard alone; copies of one text stand together
+but for groups that a cut falls into; more shards than rows leaves shards empty; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,10 +6,11 @@ they stand, and any window of 2 K - S - 1 characters holds one. A fingerprint li
 text order (hexadecimal); an anchor equal to the one before it is listed once, so that a character repeated for
 pages is one anchor. Likeness is Dice's: twice the distinct anchors shared over the sum of both.
 
-Defined cases: a null text is empty and has the empty fingerprint; a text shorter than K, or without anchors, is
+Defined cases: a null text is empty and has the empty fingerprint; very long texts are read whole; a text shorter than K, or without anchors, is
 one anchor as a whole; two empty fingerprints are alike (1), an empty and another are not (0). A document's next is
 the one before it in ascending doc_id (the first's is the last); rows that share a doc_id stand in the order of
-their texts; null doc_ids come last in descending order; a single row is its own next.
+their texts; null doc_ids come last in descending order; a single row is its own next; an empty table gives no rows; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import partitions
+from tidewatch.llm.common import lean, partitions
 from tidewatch.llm.tokenfile import LOWEST, quantiles
 
 K, S = 32, 8
@@ -109,10 +110,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(key.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ahead = rows.join(F.broadcast(heads), "key").select("part", F.lit(True).alias("ahead"), "key", "doc_id", "text")
     dealt = rows.select(part("key").alias("part"), F.lit(False).alias("ahead"), "key", "doc_id", "text").unionByName(ahead)
-    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "ahead", F.desc("key"), "text")
+    ordered = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ahead", F.desc("key"), "text")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held = None  # the document whose next is still to come: part, doc_id, text, anchors, distinct anchors
         out: list[tuple] = []
 

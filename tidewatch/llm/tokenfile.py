@@ -12,8 +12,9 @@ The block starts let a reader decode any span of ids alone. Documents are dealt
 approximate quantiles over all of them; a segment row names its range and its start within the range, so only one
 total per range has to be summed over the ranges.
 
-Defined cases: null text is empty and has the end id alone; null doc_id sorts first; rows that share a doc_id
-follow each other in the order of their ids; an empty table gives no segments; extra columns are ignored.
+Defined cases: null text is empty and has the end id alone; very long texts are encoded whole, and a segment holds
+one longer than it; null doc_id sorts first; rows that share a doc_id follow each other in the order of their ids, so
+repeated rows tie without effect; an empty table gives no segments; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, partitions
-from tidewatch.llm.tokens import encoder, release
+from tidewatch.llm.common import cut, lean, partitions
+from tidewatch.llm.tokens import encoder
 
 BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
@@ -129,15 +130,15 @@ def unpack_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarr
 SEGMENTS = "part int, start_in_part long, doc_ids array<long>, counts array<int>, payload binary"
 
 
-def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END) -> DataFrame:
+def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END, added: bool = True) -> DataFrame:
     """Segments of the ids of docs, as a written table: part, start_in_part, doc_ids, counts, payload."""
     n = partitions(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     cuts = np.array(quantiles(docs.select(key.alias("key")), n), np.int64)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced).encode
-        kind, wide = ("<u2", 2) if encoder(path, spaced).tokenizer.get_vocab_size() <= 65536 > end else ("<u4", 4)
+        encode = encoder(path, spaced, added).encode
+        kind, wide = ("<u2", 2) if encoder(path, spaced, added).tokenizer.get_vocab_size() <= 65536 > end else ("<u4", 4)
         last = np.array([end], kind).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
@@ -153,7 +154,7 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END) -> D
         names: list = []
         held: list[np.ndarray] = []
         part, start, total = None, 0, 0
-        release()
+        lean()
 
         def flush() -> pa.RecordBatch:
             nonlocal start, total
@@ -183,7 +184,7 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END) -> D
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(encoded, "part int, key long, doc_id long, count int, ids binary")
-    ordered = rows.repartition(n, "part").sortWithinPartitions("part", "key", "ids")
+    ordered = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "ids")
     return cut(ordered.mapInArrow(segments, SEGMENTS))
 
 
@@ -193,7 +194,7 @@ def read(segments: DataFrame) -> DataFrame:
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        lean()
         for batch in batches:
             for i in range(batch.num_rows):
                 start, docs, counts, payload = (batch.column(c)[i].as_py() for c in range(4))

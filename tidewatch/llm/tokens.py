@@ -2,8 +2,10 @@
 
 The tokenizers used here never join characters across the pieces that PIECES finds (a word with at most one space
 before it, or white space; letters and digits apart from other signs where nothing can bind them), so the ids of a
-text are those of its pieces in turn. Pieces already met are not encoded again; the memory holds about CACHE pieces, and when it is full those met but once are dropped. A text with a
-control or rare white-space character, where two regular-expression libraries may differ, is encoded as a whole.
+text are those of its pieces in turn. That holds for texts of ASCII and Latin-1 letters, where no normalisation joins
+or changes characters by their neighbours; any other text, and one that spells an added token, goes to the library
+as a whole. Pieces already met are not encoded again; the memory holds about CACHE pieces, and when it is full those
+met but once are dropped.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 
 from tidewatch.llm.common import runs
 
-CACHE = 250_000
+CACHE = 150_000
 RUN_CHARS = 400_000
 TOGETHER = 200
 _SPACE = r"[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
@@ -27,9 +29,8 @@ PIECES = {
     (False, False): re.compile(r"[^ \t\n\r]+"),
     (False, True): re.compile(r"\w+|[^\w \t\n\r]+"),
 }
-#: Letters beyond Latin, where lower case may depend on the neighbours.
-BEYOND = re.compile("[^\x00-\u024f]")
-ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad͏؜ ᠋-᠏ -‏ -  -⁯　﻿￰-￿]")
+#: What a text must not hold for its pieces to be encoded apart: all but ASCII signs and Latin-1 letters.
+OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
 
 
 class Numbers(dict):
@@ -45,14 +46,16 @@ class Numbers(dict):
 
 
 class Encoder:
-    """spaced: whether white space is part of the ids (byte-level tokenizers), or dropped."""
+    """spaced: whether white space is part of the ids (byte-level tokenizers), or dropped. added: whether the name of
+    an added token in a text stands for that token, as in the library's plain call, or is text like any other."""
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, added: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         # What can stand between pieces in one call of the tokenizer: always a piece of its own with one known id.
         self.between, self.never = ("\n", re.compile(r"[\s\d]*[\n\r\t]")) if spaced else (" 7 ", re.compile("[^7]*7"))
@@ -98,12 +101,11 @@ class Encoder:
             out[i] = ids
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        if ODD.search(text):
-            return [text]
-        if "<|" in text:  # perhaps the name of a token, which is matched as it is
-            return PIECES[self.spaced, False].findall(text)
-        if not self.spaced and not BEYOND.search(text):
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None where it has to be encoded as a whole."""
+        if OTHER.search(text) or any(name in text for name in self.names):
+            return None
+        if not self.spaced:
             text = text.lower()  # as this tokenizer does itself
         return PIECES[self.spaced, "'" not in text and "_" not in text].findall(text)
 
@@ -113,6 +115,8 @@ class Encoder:
             if len(self.number) > CACHE:
                 self.thin()
             parts = [self.pieces(t) for t in all_[a:b]]
+            whole = [i for i, p in enumerate(parts) if p is None]
+            parts = [p or [] for p in parts]
             count = np.fromiter(map(len, parts), np.int64, b - a)
             at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
             if new := self.number.new:
@@ -126,23 +130,26 @@ class Encoder:
             to = np.cumsum(size)
             ids = self.flat[np.repeat(self.start[at] - to + size, size) + np.arange(int(size.sum()))]
             ends = np.concatenate([[0], to])[np.cumsum(count)]
-            out += np.split(ids, ends[:-1])
-            if any(len(t) > 10_000 for t in new):  # whole texts are not kept
+            each = np.split(ids, ends[:-1])
+            for i in whole:
+                each[i] = self.raw([all_[a + i]])[0]
+            out += each
+            if any(len(t) > 10_000 for t in new):  # runs without a space are not kept
                 self.forget()
             self.number.new = []
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, added: bool = True) -> Encoder:
     """One encoder for each worker process; tasks that it runs later find the pieces already met."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    if (path, spaced, added) not in _ENCODERS:
+        _ENCODERS[path, spaced, added] = Encoder(path, spaced, added)
+    return _ENCODERS[path, spaced, added]
 
 
 def release() -> None:
-    """Give up the encoders of this worker process; stages that need none begin with this."""
+    """Give up the encoders of this worker process."""
     _ENCODERS.clear()
