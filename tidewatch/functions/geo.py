@@ -98,3 +98,19 @@ def degraded(nic: Column, nac_p: Column) -> Column:
 def unit_vector(lat: Column, lon: Column) -> Column:
     la, lo = F.radians(lat), F.radians(lon)
     return F.struct((F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z"))
+
+
+def key_tier(key: Column) -> Column:
+    """The tier that the words of a place's name speak for: a strait or bay, open water, a built facility, else a city."""
+    low = F.lower(key)
+    return F.when(low.rlike(V.CHOKEPOINT), F.lit("region_named")).when(low.rlike(V.OPEN_WATER), F.lit("country_centroid")).when(low.rlike(V.FACILITY), F.lit("facility")).otherwise(F.lit("city"))
+
+
+def tier_of(key: Column, declared: Column, voted: Column) -> Column:
+    """What was declared of a name outranks what its position's other names vote for; a name alone speaks for itself."""
+    return F.coalesce(declared, voted, key_tier(key))
+
+
+def uncertainty_of(key: Column, by_tier: Column) -> Column:
+    """The measured extent of a place, where there is one, outranks that of its tier."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in V.KEY_UNCERTAINTY_M.items() for x in kv]), F.lower(key)), by_tier)

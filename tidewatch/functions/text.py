@@ -159,3 +159,15 @@ def toll_count(text: Column) -> Column:
         out = F.when(bucket == name, F.coalesce(F.replace(found, F.lit(",")).try_cast("int"), F.try_element_at(spelled, found))).otherwise(out)
     return F.when(bucket == "zero", 0).when(bucket == "singular", 1).otherwise(out)
 
+
+def flags(text: Column) -> Column:
+    """Places whose flag stands among the first twenty characters, in the fixed order."""
+    start = F.substring(text, 1, 20)
+    return F.array_compact(F.array(*[F.when(F.contains(start, F.lit(flag)), F.lit(place)) for flag, place in V.FLAGS.items()]))
+
+
+def fallback(text: Column, status: Column, keyword: Column | None = None) -> Column:
+    """The record that stands for a reading when no model gave one: the place by keyword, else by flag. It measures no
+    severity and no toll, so it has neither."""
+    place = F.coalesce(*([keyword] if keyword is not None else []), F.try_element_at(flags(text), F.lit(1)), F.lit("Unknown"))
+    return F.struct(F.lit("military").alias("event_type"), place.alias("location_name"), F.substring(text, 1, 200).alias("summary"), status.alias("extraction_status"))

@@ -109,3 +109,16 @@ TOLL_WOUNDED = r"(?iU)\b(?:wounded|injur\w+|hospitali[sz]\w+|casualt\w+|missing)
 _AR_KILL = "(?:قتل|قتلى|قتيل|شهيد|شهداء|استشه|مقتل|وفاة|وفيات)"
 _AR_NUM = "(?:[0-9٠-٩][0-9٠-٩,]{0,6})"
 TOLL_ARABIC = rf"{_AR_KILL}[^.\n]{{0,30}}?{_AR_NUM}|{_AR_NUM}[^.\n]{{0,30}}?{_AR_KILL}"
+
+# Words of a place's name that tell its scale, in the order in which they decide.
+CHOKEPOINT = r"\b(strait|straits|bab|mandeb|mandab|hormuz|channel|canal|bay)\b"
+OPEN_WATER = r"\b(sea|gulf|ocean|waters)\b|mediterranean"
+FACILITY = r"\b(airbase|air base|afb|base|facility|enrichment|port|refinery|terminal|plant|reactor|airport|field|complex|hq|mosque)\b"
+# Places whose extent was measured, in metres; it outranks that of their tier.
+KEY_UNCERTAINTY_M = {"anbar": 352_000, "al-anbar": 352_000, "ben gurion airport": 3_265, "ben gurion international airport": 3_265}
+# Flags and the places they stand for, in order.
+FLAGS = {
+    "🇮🇷": "Iran", "🇮🇱": "Israel", "🇺🇸": "United States", "🇱🇧": "Lebanon", "🇾🇪": "Yemen", "🇸🇾": "Syria", "🇮🇶": "Iraq", "🇸🇦": "Saudi Arabia",
+    "🇯🇴": "Jordan", "🇪🇬": "Egypt", "🇹🇷": "Turkey", "🇷🇺": "Russia", "🇬🇧": "United Kingdom", "🇫🇷": "France", "🇩🇪": "Germany", "🇨🇳": "China",
+    "🇵🇸": "Gaza", "🇰🇼": "Kuwait", "🇶🇦": "Qatar", "🇦🇪": "UAE", "🇴🇲": "Oman", "🇧🇭": "Bahrain", "🇵🇰": "Pakistan",
+}
