@@ -3,23 +3,28 @@
 Texts with the same set count as one. Two sets can only reach the threshold if they share a token among the first
 n - ceil(t n) + 1 of each in any common order; the order here is by hash, with the corpus's most frequent tokens
 last, so that passages which many documents share bring nobody together. The order decides cost alone, never the
-result. What shares such a token meets in two steps:
+result. Tokens that exactly the same sets show bring the same pairs together, so one of them stands for all (a
+passage that two documents share is one token then, not forty). What shares such a token meets in two steps:
 
 1. Each token has a leader, the set that shares the largest part of its prefix with others (an original rather than
-   one of its edited copies); every other set with the token is compared with the leader.
+   one of its edited copies); every set that has enough tokens with one leader is compared with it.
 2. Where the sets of a token still belong to different groups, the rest meet in tiles of (token, size band): a
    band is a factor t ** -SPAN of sizes, and a set looks into the one or two bands that sizes from t n to n / t
    fall into. Hashed bitmap signatures bound a pair's overlap from above, (n + m - differing bits) / 2, inside the
-   join; only pairs that pass are compared. A signature of fixed size says nothing about a set that fills it, so sets
-   of more than WIDE_FROM tokens also have a wide one, of at least two bits a token.
+   join; only pairs that pass leave it, and of those only pairs with enough tokens in common are compared.
+
+What is enough follows from the order: past the end of the prefix that ends first, sets of n and m tokens share at most
+max(ceil(t n), ceil(t m)) - 1 tokens, so a link's prefixes share the rest of what it needs.
 
 Comparison is the exact intersection of the sorted hash arrays. Pairs of one group are never listed: copies of one
-text link to their leader, so a group of any size costs as many comparisons as it has members. Groups are found
-by alternating large and small stars over the links.
+text link to their leader, so a group of any size costs as many comparisons as it has members; the pairs of a leader
+that has many are dealt out, its set going along with each part. Groups are found by alternating large and small
+stars over the links.
 
 Defined cases: null texts and texts without words have size 0 and link with nothing; fewer words than five are one
-shingle; repeated rows and equal texts share a group; ties cannot arise, as the smallest doc_id names a group;
-null doc_ids rank below all others; an empty table gives no rows; extra columns are ignored.
+shingle; very long texts have sets of their size, nothing is cut, and signatures that bound less; repeated rows and equal texts share
+a group; ties cannot arise, as the smallest doc_id names a group; null doc_ids rank below all others; an empty table
+gives no rows; extra columns are ignored by `groups` and kept by `keep_first`.
 """
 
 from __future__ import annotations
@@ -30,19 +35,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, fresh, small
+from tidewatch.llm.common import columns, cut, fresh, lean, small
 
 WORDS = 5
 PERCENT = 80
 #: Tokens that many documents of a task share are counted; the most frequent HOT of them come last in the order.
 LOCAL, HOT = 2, 500_000
-#: 64-bit words of a bitmap signature, and of the folded one that tiles carry.
-LONGS, FOLDED = 32, 16
-#: Sets of more tokens than this have a wide signature too.
-WIDE_FROM = 1_000
+#: Tokens of a task are counted when so many have gathered.
+GATHERED = 1_000_000
+#: 64-bit words of a bitmap signature.
+LONGS = 32
+#: Pairs of one set that meet in one task at most, about: with more, they are dealt out.
+SPREAD = 200
 #: A size band spans this many times the factor of sizes that can link.
 SPAN = 4
 #: Ids of documents to compare may be broadcast up to this many.
@@ -62,12 +70,16 @@ class Hashes(dict):
 _SEEN = Hashes()
 
 
+def forget() -> None:
+    _SEEN.clear()
+
+
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a text; words are lower-cased A-Z and split at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_SEEN) > 200_000:
+    if len(_SEEN) > 60_000:
         _SEEN.clear()
     h = np.fromiter(map(_SEEN.__getitem__, words), np.uint64, len(words))
     m = min(k, len(h))
@@ -88,14 +100,27 @@ def frequent(docs: DataFrame, k: int = WORDS) -> np.ndarray:
     """The most frequent shingles over all documents (different texts of a task counted once), rarest first."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        sets: dict[int, np.ndarray] = {}
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal total
+            token, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+            sets.clear()
+            total = 0
+            return pa.RecordBatch.from_arrays([pa.array(token[n >= LOCAL].view(np.int64)), pa.array(n[n >= LOCAL])], names=["token", "n"])
+
         for batch in batches:
-            sets = {}
-            for lo in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(lo, SLICE).to_pylist():
-                    s = shingles(text, k)
-                    sets[name_of(s)] = s
-            token, n = np.unique(np.concatenate(list(sets.values())), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(token[n >= LOCAL].view(np.int64)), pa.array(n[n >= LOCAL])], names=["token", "n"])
+            for text in batch.column(0).to_pylist():
+                s = shingles(text, k)
+                if (name := name_of(s)) not in sets:
+                    sets[name] = s
+                    total += len(s)
+                if total >= GATHERED:
+                    yield flush()
+        if sets:
+            yield flush()
 
     top = docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HOT)
     got = top.select("token").toPandas()["token"].to_numpy(np.int64)
@@ -108,18 +133,20 @@ def need(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
-    """doc_id, mark, n, name (of the set), and of the first such set in its task prefix and bitmaps (else null)."""
+    """doc_id, mark, part (the task), n, name (of the set), and of the first such set in its task prefix and sig (else null)."""
     order = np.argsort(hot)
     hot_key = hot[order]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         seen: set[int] = set()
-        marked = np.zeros(1 << 24, bool)
-        marked[hot_key >> np.uint64(40)] = True
+        part = TaskContext.get().partitionId()
+        marked = np.zeros(1 << 22, bool)
+        marked[hot_key >> np.uint64(42)] = True
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 some = batch.slice(lo, SLICE)
-                sizes, names, firsts, bits, wide = [], [], [], [], []
+                sizes, names, firsts, sigs = [], [], [], []
                 for text in some.column(1).to_pylist():
                     s = shingles(text, k)
                     name, n = name_of(s), len(s)
@@ -127,13 +154,11 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
                     names.append(name)
                     if not n or name in seen:
                         firsts.append(s[:0])
-                        bits.append(None)
-                        wide.append(None)
+                        sigs.append(None)
                         continue
                     seen.add(name)
-                    bits.append(bitmap(s, LONGS))
-                    wide.append(bitmap(s, wide_longs(n)) if n > WIDE_FROM else None)
-                    last = np.flatnonzero(marked[s >> np.uint64(40)])
+                    sigs.append(bitmap(s))
+                    last = np.flatnonzero(marked[s >> np.uint64(42)])
                     if len(last):
                         at = np.minimum(np.searchsorted(hot_key, s[last]), len(hot_key) - 1)
                         known = hot_key[at] == s[last]
@@ -144,35 +169,37 @@ def prefixes(docs: DataFrame, hot: np.ndarray, k: int = WORDS) -> DataFrame:
                     firsts.append(s[: n - need(n) + 1])
                 flat = np.concatenate(firsts) if firsts else np.zeros(0, np.uint64)
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(2), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "mark", "n", "name", "prefix", "bits", "wide"]
-                )
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+                columns = [some.column(0), some.column(2), pa.array([part] * len(names), pa.int32()), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), prefix, pa.array(sigs, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "part", "n", "name", "prefix", "sig"])
 
-    return docs.select("doc_id", "text", mark_of().alias("mark")).mapInArrow(listed, "doc_id long, mark long, n int, name long, prefix array<long>, bits array<long>, wide array<long>")
+    return docs.select("doc_id", "text", mark_of().alias("mark")).mapInArrow(listed, "doc_id long, mark long, part int, n int, name long, prefix array<long>, sig array<long>")
 
 
-def bitmap(s: np.ndarray, longs: int) -> np.ndarray:
-    out = np.zeros(longs * 64, np.uint8)
-    out[(s >> np.uint64(20)) % np.uint64(longs * 64)] = 1
+def bitmap(s: np.ndarray) -> np.ndarray:
+    out = np.zeros(LONGS * 64, np.uint8)
+    out[(s >> np.uint64(20)) % np.uint64(LONGS * 64)] = 1
     return np.packbits(out).view(np.int64)
 
 
-def wide_longs(n: int) -> int:
-    """Longs of a wide signature: the least power of two with at least two bits a token."""
-    return 1 << max(0, (2 * n - 1) // 64).bit_length()
-
-
 B = [f"b{i}" for i in range(LONGS)]
 
 
 def arrays(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """name and tokens (sorted) for every row of docs."""
+    """name and tokens (sorted) of the sets of docs, each set once for each task that meets it."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
-                sets = [shingles(t, k) for t in batch.column(0).slice(lo, SLICE).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["name", "tokens"])
+                sets = {}
+                for text in batch.column(0).slice(lo, SLICE).to_pylist():
+                    s = shingles(text, k)
+                    if (name := name_of(s)) not in seen:
+                        sets[name] = s.view(np.int64)
+                seen.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], names=["name", "tokens"])
 
     return docs.select("text").mapInArrow(built, "name long, tokens array<long>")
 
@@ -181,44 +208,45 @@ def sized(n: Column, m: Column) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
 
 
-def may_link(x: str, y: str, columns: list[str] | None = None) -> Column:
-    """Whether the bound on the overlap of sets x and y, from sizes and bitmaps, reaches the threshold."""
-    c = lambda side, b: F.col(f"{side}.{b}")
-    differ = sum((F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in columns or B), F.lit(0))
-    total = c(x, "n") + c(y, "n")
-    # overlap <= (total - differ) / 2, and a link needs 100 overlap >= PERCENT (total - overlap)
-    return sized(c(x, "n"), c(y, "n")) & ((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total)
+def may_link(x: str, y: str) -> Column:
+    """Whether sets x and y can reach the threshold, by their sizes and the differing bits of their signatures."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in B), F.lit(0))
+    # overlap <= (n + m - differ) / 2, and a link needs 100 overlap >= PERCENT (n + m - overlap)
+    return sized(n, m) & ((n + m - differ) * (100 + PERCENT) >= 2 * PERCENT * (n + m))
+
+
+def enough(n: Column, m: Column, shared: Column) -> Column:
+    """Whether sets of n and m tokens whose prefixes share so many tokens can link."""
+    need = lambda size: F.ceil(PERCENT * size / 100)
+    return shared >= F.ceil(PERCENT * (n + m) / (100 + PERCENT)) - F.greatest(need(n), need(m)) + 1
 
 
-def may_link_wide(x: str, y: str) -> Column:
-    """The same bound from the wide bitmaps, where both sets have one. Sets that may link differ in size by a quarter,
-    so their bitmaps are of one length or of twice that; the longer is folded."""
-    p, q = F.col(f"{x}.wide"), F.col(f"{y}.wide")
-    half = lambda w: (F.size(w) / 2).cast("int")
-    fold = lambda w: F.zip_with(F.slice(w, F.lit(1), half(w)), F.slice(w, half(w) + 1, half(w)), lambda i, j: i.bitwiseOR(j))
-    p, q = F.when(F.size(p) > F.size(q), fold(p)).otherwise(p), F.when(F.size(q) > F.size(p), fold(q)).otherwise(q)
-    differ = F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda total, i: total + i)
-    total = F.col(f"{x}.n") + F.col(f"{y}.n")
-    return F.coalesce((total - differ) * (100 + PERCENT) >= 2 * PERCENT * total, F.lit(True))
+def hot_names(pairs: DataFrame) -> DataFrame:
+    """The names b of more than SPREAD pairs (a, b), with the number of parts that their pairs are dealt into."""
+    many = pairs.groupBy(F.col("b").alias("name")).agg(F.count("*").alias("n")).filter(F.col("n") > SPREAD)
+    return cut(many.select("name", F.ceil(F.col("n") / SPREAD).cast("int").alias("parts")))
 
 
-def passing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps leave a link possible. bits: name, n, bitmap columns, once each."""
-    n, wide, bits = bits.select("name", "n"), bits.filter("wide is not null").select("name", "n", "wide"), bits.drop("wide")
-    by_size = pairs.join(n.alias("x"), F.col("a") == F.col("x.name")).join(n.alias("y"), F.col("b") == F.col("y.name")).filter(sized(F.col("x.n"), F.col("y.n"))).select("a", "b")
-    narrow = by_size.join(bits.alias("x"), F.col("a") == F.col("x.name")).join(bits.alias("y"), F.col("b") == F.col("y.name")).filter(may_link("x", "y")).select("a", "b")
-    return narrow.join(wide.alias("x"), F.col("a") == F.col("x.name"), "left").join(wide.alias("y"), F.col("b") == F.col("y.name"), "left").filter(may_link_wide("x", "y")).select("a", "b")
+def with_both(pairs: DataFrame, side: DataFrame, hot: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with x and y, `column` of both sets from side (name, `column`). The pairs of a hot b are dealt into parts
+    by a, and b's row goes to each."""
+    hot = small(hot)
+    left = pairs.join(hot.withColumnRenamed("name", "b"), "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts").cast("long")), F.lit(0).cast("long")).alias("part"))
+    left = left.join(side.select(F.col("name").alias("a"), F.col(column).alias("x")), "a")
+    right = side.select("name", column).join(hot, "name", "left").select(F.col("name").alias("b"), F.col(column).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)).cast("long") - 1)).alias("part"))
+    return left.join(right, ["b", "part"]).select("a", "b", "x", "y")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int) -> DataFrame:
+def verified(pairs: DataFrame, hot: DataFrame, docs: DataFrame, first: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection. first: the document that shows each set (name, doc_id)."""
-    pairs = cut(pairs)
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     ids = cut(names.join(first, "name").select("doc_id"))
-    tokens = cut(arrays(docs.join(small(ids, IDS), "doc_id", "left_semi"), k))
-    both = pairs.join(tokens.alias("x"), F.col("a") == F.col("x.name")).select("a", "b", F.col("x.tokens").alias("s")).join(tokens.alias("y"), F.col("b") == F.col("y.name"))
-    shared = F.size(F.array_intersect("s", F.col("y.tokens")))
-    return cut(both.filter(shared * (100 + PERCENT) >= PERCENT * (F.size("s") + F.size(F.col("y.tokens")))).select("a", "b").distinct())
+    tokens = arrays(docs.join(small(ids, IDS), "doc_id", "left_semi"), k)
+    tokens = cut(tokens.join(small(cut(names), IDS), "name", "left_semi"))
+    shared = F.size(F.array_intersect("x", "y"))
+    links = with_both(pairs, tokens, hot, "tokens").filter(shared * (100 + PERCENT) >= PERCENT * (F.size("x") + F.size("y")))
+    return cut(links.select("a", "b").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,44 +279,69 @@ def mark_of() -> Column:
     return F.xxhash64("text")
 
 
+def owners(sets: DataFrame) -> DataFrame:
+    """One row for each set: of the tasks that met it, the first's."""
+    shown = sets.filter("sig is not null").select("name", "part", "n", "prefix", "sig")
+    tasks = shown.groupBy("name").agg(F.min("part").alias("own"), F.count("*").alias("c")).filter("c > 1")
+    later = cut(shown.select("name", "part").join(tasks, "name").filter("part > own").select("name", "part"))
+    return shown.join(small(later), ["name", "part"], "left_anti")
+
+
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """token, times, name, n, and score for the tokens that different sets show; of tokens that the same sets show, one,
+    and how many they are (times).
+
+    score: the part of the set's prefix that it shares with others."""
+    tokens = sets.select("name", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
+    same = tokens.groupBy("token").agg(F.count("*").cast("int").alias("c"), F.bit_xor(F.xxhash64("name")).alias("x")).filter("c > 1")
+    kept = cut(same.groupBy("c", "x").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "times"))
+    shared = cut(tokens.join(small(kept), "token"))
+    score = shared.groupBy("name", "p").agg(F.sum("times").alias("c")).select("name", (F.col("c") / F.col("p")).alias("score"))
+    return shared.join(score, "name").select("token", "times", "name", "n", "score")
+
+
 def linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """The set of every row of docs (doc_id, mark, n, name), and name and root of the sets that link."""
     docs = docs.select(number(docs).alias("doc_id"), "text")
     sets = cut(prefixes(docs, frequent(docs, k), k))
     first = sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    shown = sets.filter("bits is not null").select("name", "n", F.size("prefix").alias("p"), "bits", "wide").dropDuplicates(["name"])
-    bits = cut(shown.select("name", "n", "p", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(B)], "wide"))
-
-    # Tokens that different sets share, each with its leader.
-    by = Window.partitionBy("token")
-    tokens = sets.filter(F.size("prefix") > 0).select("name", F.explode("prefix").alias("token"))
-    shared = cut(tokens.select("*", F.min("name").over(by).alias("least"), F.max("name").over(by).alias("last")).filter("least < last").select("token", "name").distinct())
-    score = shared.groupBy("name").agg(F.count("*").alias("c")).join(bits.select("name", "p"), "name").select("name", (F.col("c") / F.col("p")).alias("score"))
-    lead = shared.join(score, "name").groupBy("token").agg(F.max_by("name", F.struct("score", "name")).alias("leader"))
-    shared = cut(shared.join(lead, "token"))
-    pairs = shared.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
-    links = verified(passing(pairs, bits), docs, first, k)
-    comp = components(links)
+    shown = owners(sets)
+    shared = cut(shared_tokens(shown))
+
+    # Every set with its tokens' leaders.
+    lead = shared.groupBy("token").agg(F.max_by(F.struct(F.col("name").alias("leader"), F.col("n").alias("m")), F.struct("score", "name")).alias("l")).select("token", "l.*")
+    shared = cut(shared.join(lead, "token").select("token", "times", "name", "n", "leader", "m"))
+    n, m = F.col("n"), F.col("m")
+    met = shared.filter((F.col("name") != F.col("leader")) & sized(n, m)).groupBy(F.col("name").alias("a"), F.col("leader").alias("b"), "n", "m")
+    pairs = cut(met.agg(F.sum("times").alias("c")).filter(enough(n, m, F.col("c"))).select("a", "b"))
+    links = verified(pairs, hot_names(pairs), docs, first, k)
+    comp = cut(components(links))
 
     # Tokens whose sets are still in different groups: what is not in the leader's group meets the others.
-    inside = shared.filter("name <> leader").join(comp, "name", "left").select("token", "name", "leader", F.coalesce("root", "name").alias("group"))
-    home = comp.select(F.col("name").alias("leader"), F.col("root").alias("home"))
-    inside = inside.join(home, "leader", "left").withColumn("home", F.coalesce("home", "leader")).drop("leader")
-    kinds = inside.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").select("token")
+    inside = shared.join(comp, "name", "left").select("token", "times", "name", "n", F.coalesce("root", "name").alias("group"))
+    leaders = shared.select("leader").distinct().join(comp.select(F.col("name").alias("leader"), "root"), "leader", "left").select("leader", F.coalesce("root", "leader").alias("home"))
+    homes = lead.join(leaders, "leader").select("token", "home")
+    kinds = small(cut(inside.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").join(homes, "token").select("token", "home")))
+    open_ = cut(inside.join(kinds, "token").select("token", "times", "name", "n", "group", "home"))
+    if open_.isEmpty():
+        return sets.select("doc_id", "mark", "n", "name"), comp
+    bits = cut(shown.join(open_.select("name").distinct(), "name", "left_semi").select("name", *[F.get("sig", F.lit(i)).alias(b) for i, b in enumerate(B)]))
+    full = open_.join(bits, "name")
     band = lambda size: F.floor(F.log(size) / (SPAN * math.log(100 / PERCENT)) + 1e-9).cast("int")
-    folded = [F.col(b).bitwiseOR(F.col(B[i + FOLDED])).alias(b) for i, b in enumerate(B[:FOLDED])]
-    full = cut(inside.join(kinds, "token", "left_semi").join(bits.select("name", "n", *folded), "name"))
-    x = full.filter(F.col("group") != F.col("home")).withColumn("band", band(F.col("n"))).alias("x")
-    y = full.withColumn("band", F.explode(F.sequence(band(F.col("n") * PERCENT / 100 * 0.999), band(F.col("n") * 100 / PERCENT * 1.001)))).alias("y")
+    y = full.withColumn("band", band(F.col("n"))).alias("y")
+    x = full.filter(F.col("group") != F.col("home")).withColumn("band", F.explode(F.sequence(band(F.col("n") * PERCENT / 100 * 0.999), band(F.col("n") * 100 / PERCENT * 1.001)))).alias("x")
+    n, m = F.col("x.n"), F.col("y.n")
     meets = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.group") != F.col("y.group"))
-        & ((F.col("y.group") == F.col("y.home")) | (F.col("x.name") < F.col("y.name"))) & may_link("x", "y", B[:FOLDED])
+        & ((F.col("y.group") == F.col("y.home")) | (F.col("x.name") < F.col("y.name")))
+        & may_link("x", "y")
     )
-    rest = cut(passing(x.join(y, meets).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), bits))
+    found = x.join(y, meets).groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b"), n.alias("n"), m.alias("m")).agg(F.sum("x.times").alias("c"))
+    rest = cut(found.filter(enough(F.col("n"), F.col("m"), F.col("c"))).select("a", "b"))
     if not rest.isEmpty():
-        more = verified(rest, docs, first, k)
+        more = verified(rest, hot_names(rest), docs, first, k)
         if not more.isEmpty():
-            comp = components(links.unionByName(more))
+            comp = cut(components(links.unionByName(more)))
 
     return sets.select("doc_id", "mark", "n", "name"), comp
 
@@ -319,10 +372,10 @@ def keep_first(docs: DataFrame, k: int = WORDS) -> DataFrame:
     kept = cut(heads.unionByName(sets.filter("n = 0").select("doc_id", "mark", F.lit(1).cast("long").alias("of")).distinct()).withColumnsRenamed({"doc_id": at, "mark": mark}))
     rows = docs.select("*", number(docs).alias(at), mark_of().alias(mark))
     once = kept.filter("of = 1").select(at, mark)
-    out = rows.join(small(once, IDS), [at, mark], "left_semi").select(*docs.columns)
+    out = rows.join(small(once, IDS), [at, mark], "left_semi").select(*columns(docs))
     more = kept.filter("of > 1").select(at, mark)
     if not more.isEmpty():
-        order = F.struct("text", *[F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")])
+        order = F.struct("text", *[F.to_json(F.struct(c)) for c, name in zip(columns(docs), docs.columns, strict=True) if name not in ("doc_id", "text")])
         same = rows.join(small(more, IDS), [at, mark], "left_semi").groupBy(at, mark)
-        out = out.unionByName(same.agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*"))
+        out = out.unionByName(same.agg(F.min_by(F.struct(*columns(docs)), order).alias("r")).select("r.*"))
     return out
