@@ -3,14 +3,18 @@
 A page becomes a sequence of tags and words. Every word and tag has a score, and the contiguous run of greatest
 total score is the content region; one linear scan finds it. Scores are log odds of lying inside the content,
 learnt from labelled pages: pages whose markup names the region itself (an article or main element). A word's
-score depends on the kind of block it stands in (the nearest block element, and whether it is a link); a tag's on
-its name and class. At most SAMPLE labelled pages are read for this. Kinds that were never seen take the prior:
-words positive, tags negative. Elements that are never content (scripts, forms, menus and the like, by element name or by
-the words of class, id and role) score BOILERPLATE per word and are dropped from the region.
+score depends on the kinds (element name and first class word) of the blocks around it: the block it stands in, with
+the element's name alone where the kind was never seen, and the worst of the blocks around that; a tag's on its own
+kind. At most SAMPLE labelled pages are read for this. What was seen weighs against a prior of PRIOR words: kinds that
+the lists NEVER and NAMES call boilerplate, or that are hidden, start at -BOUND, others positive for words, negative for tags. So
+the lists speak only where the labelled pages don't. Inside an element that names the content, only kinds on the
+lists can score below zero. Blocks of the region that score below zero themselves are left out.
 
 The text: character references decoded, white space inside a block made one space, trimmed, blocks joined by one
-space. Defined cases: null or empty html gives empty text; text without any tag is content; unclosed elements end
-with their parents; repeated rows are extracted each; pages without a positive run give empty text.
+space. Defined cases: null or empty html gives empty text; text without any tag is content; very long pages are read
+whole; of runs of equal score the first counts; unclosed elements end with their parents; repeated rows are extracted
+each; pages without a positive run give empty text; an empty table gives no rows; extra columns pass through, but
+for one named text, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import lean
+
 #: Labelled pages that the scores are learnt from at most (those of the smallest hash of page_id).
 SAMPLE = 2000
-WORD, TAG, BOILERPLATE = 1.0, -0.5, -0.1
+WORD, TAG = 1.0, -0.5
 #: Log odds are kept within this; a kind counts PRIOR pseudo-observations at its prior score.
 BOUND, PRIOR = 3.0, 20.0
+#: What an element's name says of a kind never seen counts so much.
+NAME = 0.5
 
 #: Elements by role.
 CONTENT = {"article", "main"}
@@ -50,122 +58,161 @@ SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
-def kind_of(name: str, attributes: str) -> tuple[str, bool]:
-    """(name and class of a start tag, whether it opens what is never content)."""
+def kind_of(name: str, attributes: str) -> str:
+    """Name and first class word of a start tag, after "!" if a list calls it boilerplate."""
     words: list[str] = []
     if "=" in attributes:
         for value in NAMED.findall(attributes):
             words += [w for w in SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", html.unescape(value.strip("\"'"))).lower()) if w]
-    never = name in NEVER or (name not in CONTENT and name not in ("body", "html") and not NAMES.isdisjoint(words)) or (" hidden" in attributes or "none" in attributes or "aria-hidden" in attributes) and bool(HIDDEN.search(attributes))
-    return name + ("." + words[0] if words else ""), never
+    listed = name in NEVER or (name not in CONTENT and name not in ("body", "html") and not NAMES.isdisjoint(words)) or (" hidden" in attributes or "none" in attributes or "aria-hidden" in attributes) and bool(HIDDEN.search(attributes))
+    return "!" * bool(listed) + name + ("." + words[0] if words else "")
+
+
+#: The blocks around a text: kinds from the outermost to the nearest, after the last that names the content or the
+#: body; whether the text is in a link; whether it is inside an article or main element.
+Around = tuple[tuple[str, ...], bool, bool]
 
 
-def parts(page: str) -> Iterator[tuple[str, str, str, bool, bool, bool]]:
-    """(what, kind, text, breaks, never, inside): tags (what = tag) and stretches of text (what = text) in page order.
+def parts(page: str) -> Iterator[tuple[str, str | Around, str, bool, bool]]:
+    """(what, kind, text, breaks, inside): tags (what = tag) and stretches of text (what = text, kind = the blocks around it)
+    in page order. breaks: a block starts or ends; inside: in an article or main element."""
+    stack: list[tuple[str, str]] = []
+
+    def around() -> Around:
+        from_ = next((i + 1 for i in range(len(stack) - 1, -1, -1) if stack[i][0] in CONTENT or stack[i][0] in ("body", "html")), 0)
+        return tuple(k for n, k in stack[from_:] if n not in INLINE), any(n == "a" for n, _ in stack[-4:]), inside()
+
+    def inside() -> bool:
+        return any(n in CONTENT for n, _ in stack)
 
-    kind: of the tag, or of the block a text stands in; breaks: a block starts or ends; never: in what is never
-    content; inside: in an article or main element."""
-    stack: list[tuple[str, str, bool]] = []
-    never = inside = 0
     at = 0
     for m in PARTS.finditer(page):
         if m.start() < at:
             continue
         slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if m.start() > at:
-            yield "text", next((k for n, k, _ in reversed(stack) if n not in INLINE), "") + ("/a" if any(n == "a" for n, _, _ in stack[-4:]) else ""), page[at : m.start()], False, never > 0, inside > 0
+            yield "text", around(), page[at : m.start()], False, inside()
         at = m.end()
         if not name:  # comments, declarations
             continue
         name = name.lower()
         if slash:
-            if any(n == name for n, _, _ in stack):
-                while True:
-                    n, k, bad = stack.pop()
-                    never -= bad
-                    inside -= n in CONTENT
-                    if n == name:
-                        break
-            yield "tag", "/" + name, "", name not in INLINE, never > 0, inside > 0
+            if any(n == name for n, _ in stack):
+                while stack.pop()[0] != name:
+                    pass
+            yield "tag", "/" + name, "", name not in INLINE, inside()
             continue
-        kind, bad = kind_of(name, attributes or "")
+        kind = kind_of(name, attributes or "")
         if name in RAW and not (attributes or "").rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            yield "tag", kind, "", name not in INLINE, never > 0, inside > 0
+            yield "tag", kind, "", name not in INLINE, inside()
             continue
         if name == "p":  # a paragraph ends the one before it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    for n, _, b in stack[i:]:
-                        never -= b
-                        inside -= n in CONTENT
                     del stack[i:]
                     break
                 if stack[i][0] not in INLINE:
                     break
         if name == "li" and stack and stack[-1][0] == "li":
-            never -= stack.pop()[2]
+            stack.pop()
         if name == "body":
-            while stack:
-                n, _, b = stack.pop()
-                never -= b
-                inside -= n in CONTENT
+            stack.clear()
         if name not in VOID and not (attributes or "").rstrip().endswith("/"):
-            stack.append((name, kind, bad))
-            never += bad
-            inside += name in CONTENT
-        yield "tag", kind, "", name not in INLINE, never > 0, inside > 0
+            stack.append((name, kind))
+        yield "tag", kind, "", name not in INLINE, inside()
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[/a-zA-Z!?][^<>]*\Z", rest)  # a tag cut off by the end of the page
-        yield "text", next((k for n, k, _ in reversed(stack) if n not in INLINE), ""), rest[: cut.start()] if cut else rest, False, never > 0, inside > 0
+        yield "text", around(), rest[: cut.start()] if cut else rest, False, inside()
+
+
+def nearest(blocks: tuple[str, ...], link: bool) -> str:
+    return (blocks[-1] if blocks else "") + ("/a" if link else "")
+
+
+def name_of(kind: str) -> str:
+    return re.split(r"[./]", kind.lstrip("!"), maxsplit=1)[0]
 
 
 def learn(pages: pd.DataFrame) -> pd.DataFrame:
-    """Per kind: words or tags inside and outside the content of the labelled pages."""
+    """Words or tags inside and outside the content of the labelled pages: by the nearest block (word), by its name
+    alone (name), by each block around (block), and by tag."""
     seen: Counter = Counter()
     for page in pages["html"]:
-        for what, kind, text, _, never, inside in parts(page or ""):
-            n = len(text.split()) if what == "text" else 1
-            if n and not never:
-                seen[what, kind, inside] += n
+        for what, kind, text, _, inside in parts(page or ""):
+            if what == "tag":
+                seen["tag", kind, inside] += 1
+                continue
+            blocks, link, _ = kind
+            if n := len(text.split()):
+                seen["word", nearest(blocks, link), inside] += n
+                seen["name", name_of(nearest(blocks, link)), inside] += n
+                for k in set(blocks):
+                    seen["block", k, inside] += n
     return pd.DataFrame([(w, k, i, n) for (w, k, i), n in seen.items()], columns=["what", "kind", "inside", "n"])
 
 
-def weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str, float]]:
-    """Scores by kind from a bounded sample of labelled pages: log odds of lying inside, shrunk to the prior."""
+Scores = dict[str, dict[str, tuple[float, int]]]
+
+
+def weights(pages: DataFrame, sample: int = SAMPLE) -> Scores:
+    """(log odds of lying inside, count) of what a bounded sample of labelled pages shows; the sample bounds the kinds too."""
     labelled = pages.select("page_id", "html").filter(F.lower("html").rlike("<(article|main)[ >]"))
     some = labelled.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     counts = labelled.join(F.broadcast(some), "page_id", "left_semi").select("html").mapInPandas(lambda it: map(learn, it), "what string, kind string, inside boolean, n long")
-    table = counts.groupBy("what", "kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n")).orderBy(F.desc("n"), "what", "kind").limit(10_000)
-    out: dict[str, dict[str, float]] = {"text": {}, "tag": {}}
+    table = counts.groupBy("what", "kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
+    out: Scores = {"word": {}, "name": {}, "block": {}, "tag": {}}
     for r in table.collect():
-        prior = WORD if r["what"] == "text" else TAG
-        odds = max(-BOUND, min(BOUND, math.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5))))
-        score = (r["n"] * odds + PRIOR * prior) / (r["n"] + PRIOR)
-        out[r["what"]][r["kind"]] = score if r["what"] == "text" else min(TAG / 10, score)
+        out[r["what"]][r["kind"]] = max(-BOUND, min(BOUND, math.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)))), r["n"]
     return out
 
 
-def extract(page: str | None, scores: dict[str, dict[str, float]]) -> str:
-    seq = list(parts(page or ""))
+def shrunk(seen: tuple[float, int] | None, prior: float) -> float:
+    odds, n = seen or (0.0, 0)
+    return (n * odds + PRIOR * prior) / (n + PRIOR)
+
+
+def word_score(around: Around, scores: Scores) -> float:
+    """The score of a word by the blocks around it."""
+    blocks, link, inside = around
+    listed = [shrunk(scores["block"].get(k), -BOUND) for k in set(blocks) if k[0] == "!"]
+    if inside:
+        return min([BOUND, *listed])
+    kind = nearest(blocks, link)
+    own = shrunk(scores["word"].get(kind), NAME * shrunk(scores["name"].get(name_of(kind)), WORD))
+    return min([own, *listed, *(x for k in set(blocks) if k[0] != "!" and (x := shrunk(scores["block"].get(k), 0.0)) < 0)])
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The run (from, to) of the greatest total, the first of equals; empty where no score is positive."""
     best, run, start, region = 0.0, 0.0, 0, (0, 0)
+    for i, score in enumerate(scores):
+        if run <= 0:
+            run, start = 0.0, i
+        run += score
+        if run > best:
+            best, region = run, (start, i + 1)
+    return region
+
+
+def extract(page: str | None, scores: Scores) -> str:
+    seq = list(parts(page or ""))
+    known: dict[Around, float] = {}
     if not any(x[0] == "tag" for x in seq):
         region = (0, len(seq))
+        known = dict.fromkeys([x[1] for x in seq], WORD)
     else:
-        words, tags = scores["text"], scores["tag"]
-        for i, (what, kind, text, _, never, _) in enumerate(seq):
+        each = []
+        for what, kind, text, _, _ in seq:
             if what == "tag":
-                score = tags.get(kind, TAG) if not never else TAG
+                each.append(min(TAG / 10, shrunk(scores["tag"].get(kind), TAG)))
             else:
-                n = len(text.split())
-                score = n * (BOILERPLATE if never else words.get(kind, WORD))
-            if run <= 0:
-                run, start = 0.0, i
-            run += score
-            if run > best:
-                best, region = run, (start, i + 1)
+                if kind not in known:
+                    known[kind] = word_score(kind, scores)
+                each.append(len(text.split()) * known[kind])
+        region = best_run(each)
     # The region may begin or end inside a block: take in what the block holds besides.
     lo, hi = region
     while 0 < lo < len(seq) and not seq[lo - 1][3]:
@@ -173,9 +220,9 @@ def extract(page: str | None, scores: dict[str, dict[str, float]]) -> str:
     while 0 < hi < len(seq) and not seq[hi][3]:
         hi += 1
     blocks, now = [], []
-    for what, kind, text, breaks, never, _ in seq[lo:hi]:
+    for what, kind, text, breaks, _ in seq[lo:hi]:
         if what == "text":
-            if not never:
+            if known[kind] > 0:
                 now.append(text)
         elif breaks or kind == "br":
             blocks.append("".join(now))
@@ -184,7 +231,13 @@ def extract(page: str | None, scores: dict[str, dict[str, float]]) -> str:
     return " ".join(filter(None, (" ".join(html.unescape(b).split()) for b in blocks)))
 
 
-def main_text(pages: DataFrame, scores: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def main_text(pages: DataFrame, scores: Scores | None = None) -> DataFrame:
     """pages with column `text`, the main text of `html`."""
     scores = scores or weights(pages)
-    return pages.withColumn("text", F.pandas_udf(lambda s: pd.Series([extract(p, scores) for p in s], dtype=object), "string")("html"))
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lean()
+        for some in batches:
+            yield pd.Series([extract(p, scores) for p in some], dtype=object)
+
+    return pages.withColumn("text", F.pandas_udf(each, "string")("html"))
