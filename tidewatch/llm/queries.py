@@ -40,9 +40,10 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVE
   / sum(w) OVER (ORDER BY most / w, rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(most, max(level) OVER () * w) AS target FROM l),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id % {mixing.SALT}, d.doc_id) AS nth FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id % {mixing.SALT}, d.doc_id) AS rank, count(*) OVER (PARTITION BY d.source) AS documents FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE documents - rank // 2 + 1 END AS nth FROM r)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-  (size * least(floor(nth * rate + {mixing.offset(mixing.SEED)}::DOUBLE) - floor((nth - 1) * rate + {mixing.offset(mixing.SEED)}::DOUBLE), ceil(rate)))::BIGINT AS taken FROM r
+  (size * least(floor(nth * rate + {mixing.offset(mixing.SEED)}::DOUBLE) - floor((nth - 1) * rate + {mixing.offset(mixing.SEED)}::DOUBLE), ceil(rate)))::BIGINT AS taken FROM p
 """
 
 _SUFFIX = "CASE WHEN len(parts) >= 3 AND len(parts[-1]) = 2 AND parts[-2] IN (" + ", ".join(f"'{x}'" for x in reputation.SECOND_LEVEL) + ") THEN 2 ELSE 1 END"
