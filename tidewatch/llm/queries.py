@@ -69,10 +69,10 @@ g AS (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS pr
 su AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior FROM h, g GROUP BY suffix),{_level("su", "s", "suffix")},
 du AS (SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.k) AS k, any_value(s.mean) AS prior FROM h JOIN s USING (suffix) GROUP BY h.suffix, h.domain),{_level("du", "d", "suffix, domain")},
 hu AS (SELECT h.host, h.n, h.k, d.mean AS prior FROM h JOIN d USING (suffix, domain)),{_level("hu", "post", "host")},
-r AS (SELECT p.page_id, p.host, p.path, a / (a + b) - {reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower, CASE
+r AS (SELECT p.page_id, p.host, p.path, (SELECT {reputation.LIFT}::DOUBLE * prior / (1 - prior + {reputation.LIFT}::DOUBLE * prior) FROM g) AS threshold, a / (a + b) - {reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower, CASE
   {" ".join(f"WHEN (p.host = '{h}' OR p.host LIKE '%.{h}') AND starts_with(p.path, '{q}') THEN '{h}{q}'" for _, h, q in sorted(reputation.RULES, key=lambda r: (-len(r[1] + r[2]), r)))} END AS rule
   FROM p LEFT JOIN post USING (host))
-SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{q}' THEN '{v}'" for v, h, q in reputation.RULES)} WHEN lower > {reputation.THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict FROM r
+SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{h}{q}' THEN '{v}'" for v, h, q in reputation.RULES)} WHEN lower > threshold THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
 QUERIES = {"op2_mixing": op2_mixing, "op6_reputation": op6_reputation, "op7_sharding": op7_sharding}

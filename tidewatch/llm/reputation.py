@@ -4,11 +4,13 @@ Labelled pages give each host its bad outcomes k of n. A beta-binomial prior lin
 the prior mean of a suffix (com), the suffix's posterior mean that of a registered domain (example.com), and the
 domain's that of a host. The strength of a prior is estimated at its level from the spread of the units around
 their prior means (moments of the beta-binomial). A host is blocked when the lower bound of its posterior bad
-rate passes the threshold: a host with few labelled pages stays near its domain and is allowed.
+rate shows odds of more than LIFT times the corpus's: a host with few labelled pages stays near its domain and is allowed.
 
 Defined cases: null urls and urls without :// have empty host and path; hosts without labelled pages take their
 domain's mean; labels repeated for a page count once, the worst outcome holds; without any labels every host has
-the mean 1/2 and none passes the bound; rules always win over the reputation, the longest first.
+the mean 1/2 and none passes the bound; a bound equal to the threshold is allowed; rules always win over the
+reputation, the longest first; very long urls are read whole; repeated rows are judged each; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: A host is blocked when its bad rate exceeds this with the confidence of Z standard deviations of its posterior.
-THRESHOLD = 0.5
+#: A host is blocked when the odds of a bad page exceed LIFT times those of the whole corpus with the confidence of
+#: Z standard deviations of its posterior.
+LIFT = 2.0
 Z = 1.645
 #: Second-level labels that belong to the suffix when a two-letter label follows (co.uk).
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -73,7 +76,7 @@ def strength(units: DataFrame, mean: str) -> float:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """host, n, k, posterior_mean, lower (bound of the bad rate) for every host.
+    """host, n, k, posterior_mean, lower (bound of the bad rate), corpus (the mean over all) for every host.
 
     pages: page_id, host. outcomes: page_id, bad (0 or 1)."""
     worst = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
@@ -95,14 +98,15 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
     m = strength(hosts, "prior")
     a, b = F.col("k") + m * F.col("prior"), F.col("n") - F.col("k") + m * (1 - F.col("prior"))
     post = a / (a + b)
-    return hosts.select("host", "n", "k", post.alias("posterior_mean"), (post - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"))
+    return hosts.select("host", "n", "k", post.alias("posterior_mean"), F.lit(mean).alias("corpus"), (post - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, lift: float = LIFT, z: float = Z) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's lower bound, for every page."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    known = reputation(parsed.select("page_id", "host"), outcomes, z).select("host", "lower")
+    known = reputation(parsed.select("page_id", "host"), outcomes, z).select("host", "lower", "corpus")
+    threshold = lift * F.col("corpus") / (1 - F.col("corpus") + lift * F.col("corpus"))
     verdict = F.coalesce(said, F.when(F.col("lower") > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return parsed.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "lower")
