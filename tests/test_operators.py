@@ -80,7 +80,7 @@ def test_fold(spark):
 def test_channel_list_keeps_the_substring_rule(spark):
     df = spark.createDataFrame([(1, 0, "abc"), (1, 1, "b"), (1, 2, "x")], "event_id int, seq int, channel string")
     assert linking.channel_list(df).first()["channels"] == "abc, x"
-    assert linking.channel_list(df, compat=False).first()["channels"] == "abc,b,x"
+    assert linking.channel_list(df, compat=False).first()["channels"] == "abc, b, x"
 
 
 def test_sentinel_and_guards(spark):
