@@ -7,8 +7,9 @@ the sequence of lowest cost that has room for them. When none has room for all o
 cheapest sequences with room. So a pool leaves less than one sequence of padding. Every task packs its own split:
 nothing is shuffled and no group meets.
 
-Defined cases: null text is empty and has the end id alone; repeated rows are packed each; very long texts are cut
-into full sequences; an empty table gives no rows; extra columns are ignored.
+Defined cases: null text is empty and has the end id alone; a null doc_id stays null; repeated rows are packed each;
+rests that tie in length go in the order of the split, sequences that tie in cost by their number; very long texts
+are cut into full sequences; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import lean
 from tidewatch.llm.tokens import encoder
 
 CAPACITY = 1024
 POOL = 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 END = 0
-ROWS = 20_000
+#: Pieces that go back to Spark at once.
+ROWS = 2_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -56,13 +59,16 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = LINEAR
     return out
 
 
-def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = END, capacity: int = CAPACITY, pool: int = POOL) -> DataFrame:
+def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = END, capacity: int = CAPACITY, pool: int = POOL, added: bool = True, spare: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit).
 
-    path: the tokenizer's file, present on every executor."""
+    path: the tokenizer's file, present on every executor. added: see tokens.Encoder. spare: whether a task
+    gives back the tokenizer and the pieces that it met, for executors with little memory beside other stages; the next
+    task then meets them again."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced).encode
+        lean(keep="tokens")
+        encode = encoder(path, spaced, added).encode
         number = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         rests: list[tuple[int, int, np.ndarray, int]] = []
@@ -106,5 +112,8 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = END, capaci
             settle()
         if rows:
             yield flush()
+        if spare:
+            del encode
+            lean()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, SCHEMA)

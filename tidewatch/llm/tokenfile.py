@@ -137,6 +137,7 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END, adde
     cuts = np.array(quantiles(docs.select(key.alias("key")), n), np.int64)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean(keep="tokens")
         encode = encoder(path, spaced, added).encode
         kind, wide = ("<u2", 2) if encoder(path, spaced, added).tokenizer.get_vocab_size() <= 65536 > end else ("<u4", 4)
         last = np.array([end], kind).tobytes()

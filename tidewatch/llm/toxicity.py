@@ -6,9 +6,11 @@ Logistic regression with a ridge penalty weighs these values. Training takes a s
 TRAIN_ROWS of each class (those of the smallest hash of doc_id); the classes' true sizes weigh the loss, so scores
 keep the base rate. Scoring reads whole texts, in runs of bounded size.
 
-Defined cases: null and empty texts get the score of the intercept alone; labels repeated for a document count
-once, toxic if any is; without labels of both classes every text gets the smoothed base rate; rows whose doc_id
-repeats are each scored; extra columns pass through.
+Defined cases: null and empty texts get the score of the intercept alone; very long texts are read whole, in runs;
+labels repeated for a document count once, toxic if any is; without labels of both classes every text gets
+PRESUMED, below the threshold; rows whose doc_id repeats are each scored, equal texts alike; a score equal to the threshold is
+toxic; of n-grams that tie for the last place among FEATURES, those of the smaller hash stay; an empty table gives no
+rows; extra columns pass through, but for one of the name of the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import runs
+from tidewatch.llm.common import lean, runs
 
 TRAIN_ROWS = 3000
 GRAMS = (3, 4, 5, 6, 7)
@@ -29,8 +31,10 @@ MIN_DOCS = 4
 RIDGE = 0.02
 STEPS = 300
 THRESHOLD = 0.3
+#: The score of any text where there is nothing to learn from.
+PRESUMED = 0.1
 BITS = 22
-RUN_CHARS = 1_000_000
+RUN_CHARS = 250_000
 _P, _ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _CLASS = np.arange(128, dtype=np.uint32)
 _CLASS[[i for i in range(128) if not chr(i).isalnum()]] = 32
@@ -73,7 +77,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     """Hashes of the chosen n-grams (ascending), their weights (ratio times coefficient), the intercept."""
     pos, neg = int(toxic.sum()), int((1 - toxic).sum())
     base = float(np.log((weight[toxic == 1].sum() + 1) / (weight[toxic == 0].sum() + 1)))
-    none = np.zeros(0, np.uint64), np.zeros(0), base
+    none = np.zeros(0, np.uint64), np.zeros(0), float(np.log(PRESUMED / (1 - PRESUMED)))
     if not pos or not neg:
         return none
 
@@ -82,15 +86,18 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.nda
         return np.abs(a / pos - b / neg) / np.sqrt(mean * (1 - mean) * (1 / pos + 1 / neg))
 
     # Which buckets of n-grams tell the classes apart at all, then which n-grams in them.
-    count = np.zeros((2, 1 << BITS), np.int32)
+    count = np.zeros((2, 1 << BITS), np.uint16 if len(texts) < 65536 else np.int32)
     for i, t in enumerate(texts):
         parts = [h[: e[0]] >> np.uint64(64 - BITS) for h, _, e in grams([t])]
         if parts:
             count[int(toxic[i]), np.unique(np.concatenate(parts))] += 1
-    score = np.where(count.sum(0) >= MIN_DOCS, z(count[1], count[0]), 0)
-    table = np.zeros(1 << BITS, bool)
-    table[np.argpartition(-score, 2 * FEATURES)[: 2 * FEATURES]] = True
-    table &= score > 0
+    score = np.zeros(1 << BITS, np.float32)
+    for lo in range(0, 1 << BITS, 1 << 18):
+        some = count[:, lo : lo + (1 << 18)].astype(np.float64)
+        score[lo : lo + (1 << 18)] = np.where(some.sum(0) >= MIN_DOCS, z(some[1], some[0]), 0)
+    del count
+    least = -np.partition(-score, 2 * FEATURES)[2 * FEATURES]
+    table = score > max(least, 0)
     docs, keys = [], []
     for a, b in runs(texts, RUN_CHARS):
         d, k = hits(texts[a:b], table)
@@ -137,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce(F.col("text"), F.lit(""))).alias("text"), F.max("_toxic").alias("_toxic"))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lean()
         got = list(batches)
         if not got:
             return
@@ -149,16 +157,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     model = texts.repartition(1).mapInPandas(one, "key long, w double, intercept boolean").toPandas()
     terms = model[~model["intercept"]]
     c = model.loc[model["intercept"], "w"]
-    return terms["key"].to_numpy(np.int64).view(np.uint64), terms["w"].to_numpy(), float(c.iloc[0]) if len(c) else float(np.log((sizes.get(1, 0) + 1) / (sizes.get(0, 0) + 1)))
+    return terms["key"].to_numpy(np.int64).view(np.uint64), terms["w"].to_numpy(), float(c.iloc[0]) if len(c) else float(np.log(PRESUMED / (1 - PRESUMED)))
 
 
 def scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Column:
     """The probability of being toxic, of column text."""
     keys, weights, c = model
 
-    def scores(texts: pd.Series) -> pd.Series:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lean()
         table = np.zeros(1 << BITS, bool)
         table[keys >> np.uint64(64 - BITS)] = True
+        for texts in batches:
+            yield scores(texts, table)
+
+    def scores(texts: pd.Series, table: np.ndarray) -> pd.Series:
         all_ = [t if t is not None else "" for t in texts]
         margin = np.full(len(all_), c)
         for a, b in runs(all_, RUN_CHARS):
@@ -168,11 +181,11 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Column:
             margin[a:b] += np.bincount(doc[known], weights[at[known]], b - a)
         return pd.Series(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
 
-    return F.pandas_udf(scores, "double")("text")
+    return F.pandas_udf(each, "double")("text")
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], out: str = "score") -> DataFrame:
-    """docs with the probability of being toxic in column `out`."""
+    """docs with the probability of being toxic in column `out`, in place of a column of that name."""
     return docs.withColumn(out, scorer(model))
 
 
