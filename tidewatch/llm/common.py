@@ -67,7 +67,7 @@ def lean(keep: str = "") -> None:
     """Called at the start of a Python task, and at the end of some: a worker process is used again by later stages, and what an
     earlier one remembered (but for the module `keep`), or gave back to the C library alone, would stay beside the JVM
     for the rest of the job."""
-    for module, forget in (("tokens", "release"), ("ngram_join", "forget")):
+    for module, forget in (("tokens", "release"), ("ngram_join", "forget"), ("substrings", "forget")):
         if module != keep and (loaded := sys.modules.get(f"{__package__}.{module}")):
             getattr(loaded, forget)()
     pa.default_memory_pool().release_unused()

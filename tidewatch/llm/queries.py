@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import extraction, mixing, ngram_join, packing, quality, reputation, sharding, syncmers, tokenfile, toxicity
+from tidewatch.llm import extraction, mixing, ngram_join, packing, quality, reputation, sharding, substrings, syncmers, tokenfile, toxicity
 from tidewatch.llm.common import table
 
 
@@ -137,3 +137,21 @@ SELECT r.a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b
 
 QUERIES |= {"op3_ngram_join": op3_ngram_join}
 ORACLE |= {"op3_ngram_join": OP3_SQL}
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - {substrings.LENGTH} + 2)) AS i, unnest(list_transform(range(1, len(ws) - {substrings.LENGTH} + 2), lambda i: array_to_string(ws[i:i + {substrings.LENGTH - 1}], ' '))) AS win FROM d),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS c FROM w) WHERE c > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substrings.LENGTH})) AS at FROM r),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM d),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.at) FILTER (WHERE g.at IS NULL) AS kept, count(g.at) AS n_removed FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.at = g.at GROUP BY p.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+QUERIES |= {"op12_substrings": op12_substrings}
+ORACLE |= {"op12_substrings": OP12_SQL}
