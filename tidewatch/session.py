@@ -45,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spent(df: DataFrame) -> None:
+    """Delete the files of a table that `cut` wrote and that nothing reads any more. Other tables are left alone."""
+    top = re.escape(f"{shared_dir(df.sparkSession)}/tables/".split(":", 1)[-1].replace("//", "/"))
+    jvm = df.sparkSession.sparkContext._jvm
+    for found in {m[1] for f in df.inputFiles() if (m := re.match(rf"((?:\w+:/*)?{top}[0-9a-f]{{32}})/", f))}:
+        path = jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast when its counted rows are within the bound, else leave it to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
