@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut  # noqa: F401
+from tidewatch.session import cut, spent  # noqa: F401
 
 #: A word: a run of characters that are neither the space nor tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import extraction, mixing, ngram_join, packing, quality, reputation, sharding, substrings, syncmers, tokenfile, toxicity
+from tidewatch.llm import centroids, extraction, mixing, ngram_join, packing, quality, reputation, sharding, substrings, syncmers, tokenfile, toxicity, whitening
 from tidewatch.llm.common import table
 
 
@@ -153,5 +153,46 @@ k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.at) FILTER (WHERE g.at IS
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op11_whitening": op11_whitening}
 QUERIES |= {"op12_substrings": op12_substrings}
 ORACLE |= {"op12_substrings": OP12_SQL}
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.described(table(spark, sf_dir, "embeddings"))
+
+
+def _distance(v: str, c: str) -> str:
+    return f"list_sum(list_transform(list_zip({v}, {c}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _nearest(n: int) -> str:
+    """SQL for the n-th assignment: vec_id, v, cluster, distance."""
+    return f"a{n} AS MATERIALIZED (SELECT vec_id, any_value(x.v) AS v, min(struct_pack(d := {_distance('x.v', 'c.v')}, j := c.j)) AS b FROM x, c{n} c GROUP BY vec_id)"
+
+
+def _means(n: int) -> str:
+    """SQL for the centroids after the n-th assignment: j, v."""
+    return f"""s{n} AS (SELECT b.j AS j, unnest(range(1, {centroids.DIMENSIONS + 1})) AS i, unnest(v) AS y FROM a{n}),
+m{n} AS (SELECT j, i, floor(sum(y) / count(*))::BIGINT AS y FROM s{n} GROUP BY j, i),
+l{n} AS (SELECT j, list(y ORDER BY i) AS v FROM m{n} GROUP BY j),
+c{n + 1} AS MATERIALIZED (SELECT c.j, coalesce(l.v, c.v) AS v FROM c{n} c LEFT JOIN l{n} l USING (j))"""
+
+
+OP13_SQL = f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor({centroids.SCALE} * e::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, v FROM (SELECT v, sha256('{centroids.SEED}:' || vec_id) AS h FROM x ORDER BY h LIMIT {centroids.K})),
+{", ".join(f"{_nearest(n)}, {_means(n)}" for n in range(centroids.ROUNDS))},
+{_nearest(centroids.ROUNDS)},
+z AS (SELECT vec_id, b.j AS j, b.d::BIGINT AS distance FROM a{centroids.ROUNDS})
+SELECT vec_id, z.j::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY z.j)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM z JOIN c{centroids.ROUNDS} c ON c.j = z.j
+"""
+
+QUERIES |= {"op13_centroids": op13_centroids}
+ORACLE |= {"op13_centroids": OP13_SQL}
