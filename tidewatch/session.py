@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Tables of so many rows at most, counted, may be broadcast.
 BROADCAST_ROWS = 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build(name: str = "tidewatch", **settings: str) -> SparkSession:
@@ -39,9 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages start from files, not from lineage."""
+    """Write df to the shared folder and read it back: later stages start from files, not from lineage. The shuffle files of the
+    write are removed when it ends, not only when the driver collects its garbage."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, was = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
