@@ -45,8 +45,8 @@ LOWEST = -(2**63)
 SLICE = 200
 #: Anchors whose surroundings are hashed at once.
 AT_ONCE = 20_000
-#: Rows of the small side of a join that may be broadcast, where each is a hash or two.
-HASHES = 500_000
+#: Ids of documents to read again may be broadcast up to this many.
+IDS = 1_000_000
 _ODD = np.random.default_rng(12).integers(1, 2**63, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HALF = np.uint64(32)
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -194,10 +194,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
-def listed(df: DataFrame, column: str) -> DataFrame:
-    """Mark df for broadcast when its lists hold few entries together."""
-    held = df.agg(F.sum(F.size(column))).first()[0] or 0
-    return F.broadcast(df) if held <= HASHES else df
+def texts_with(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """docs with what places (written: doc_id, mark and a list) has of them. Where the keys are few enough, other texts are not moved."""
+    some = docs.join(small(places.select("doc_id", "mark"), IDS), ["doc_id", "mark"], "left_semi")
+    return some.join(places, ["doc_id", "mark"])
 
 
 def spans(seen: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -206,22 +206,22 @@ def spans(seen: DataFrame, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     each = seen.select("doc_id", "mark", "n", "copied", F.explode(F.arrays_zip("at", "anchor", "c1", "c2")).alias("s"), "h1", "h2")
     each = each.select("doc_id", "mark", "n", "copied", "s.*", F.xxhash64("h1", "h2", "s.at").alias("who"))
     shared = cut(each.groupBy("anchor").agg(F.min("who").alias("a"), F.max("who").alias("b")).filter("a <> b").select("anchor"))
-    seeds = cut(each.join(small(shared, HASHES), "anchor", "left_semi"))
+    seeds = cut(each.join(shared, "anchor", "left_semi"))
 
     # Occurrences with the same surroundings; "sure" if more than one.
     least = F.min(F.struct("who", "doc_id", "mark", "at")).alias("lo")
     classes = seeds.groupBy("anchor", "c1", "c2").agg(least, F.max("who").alias("hi"), F.max("copied").alias("copied"))
     classes = cut(classes.select("anchor", "c1", "c2", "lo.doc_id", "lo.mark", "lo.at", (F.col("copied") | (F.col("lo.who") < F.col("hi"))).alias("sure")))
-    whole = seeds.filter("not copied").join(small(cut(classes.filter("sure").select("c1", "c2")), HASHES), ["c1", "c2"], "left_semi")
+    whole = seeds.filter("not copied").join(classes.filter("sure").select("c1", "c2"), ["c1", "c2"], "left_semi")
     extended = whole.select("doc_id", "mark", F.greatest(F.col("at") - reach, F.lit(0)).alias("start"), F.least(F.col("at") + length, "n").alias("stop"))
 
     # Where surroundings differ: word by word, one occurrence of each class.
     open_ = cut(classes.groupBy("anchor").agg(F.count("*").alias("c"), F.min("sure").alias("all_sure")).filter("c > 1 and not all_sure").select("anchor"))
-    places = classes.join(small(open_, HASHES), "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "sure")).alias("seeds"))
-    at = cut(windows(docs.join(listed(cut(places), "seeds"), ["doc_id", "mark"]), length))
+    places = classes.join(open_, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "sure")).alias("seeds"))
+    at = cut(windows(texts_with(docs, cut(places)), length))
     who = F.xxhash64("doc_id", "mark", "start")
     twice = at.groupBy("w1", "w2").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.max("sure").alias("sure")).filter("sure or a <> b").select("w1", "w2")
-    more = at.filter("not sure").join(small(cut(twice), HASHES), ["w1", "w2"], "left_semi")
+    more = at.filter("not sure").join(cut(twice), ["w1", "w2"], "left_semi")
     return extended.filter(F.col("stop") - F.col("start") >= length).unionByName(more.select("doc_id", "mark", "start", (F.col("start") + length).alias("stop")))
 
 
@@ -260,9 +260,9 @@ def parts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     docs = keyed(docs)
     seen = cut(prints(docs, length))
     copies = cut(seen.filter(F.col("n") >= length).groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2", F.lit(True).alias("copied")))
-    seen = seen.join(small(copies, HASHES), ["h1", "h2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    seen = seen.join(copies, ["h1", "h2"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
     found = spans(seen, docs, length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    partly = cut(without(docs.join(listed(cut(found), "found"), ["doc_id", "mark"])))
+    partly = cut(without(texts_with(docs, cut(found))))
     return seen.select("doc_id", "mark", "n", "sha", "copied"), partly
 
 
