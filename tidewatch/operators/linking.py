@@ -48,13 +48,14 @@ def candidates(probes: DataFrame, stored: DataFrame, **how) -> DataFrame:
     return near(probes, stored, **how).withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= cap).select("probe_id", "id", "rank")
 
 
-def similar_pairs(messages: DataFrame, **how) -> DataFrame:
-    """Pairs (probe_id, id, ts of id) of messages (near() columns and text) whose word sets are alike."""
+def similar_pairs(messages: DataFrame, probes: DataFrame | None = None, **how) -> DataFrame:
+    """Pairs (probe_id, id, ts of id) of messages (near() columns and text) whose word sets are alike. probes: those of the
+    messages that look for earlier ones (all)."""
     words = cut(messages.select("id", T.word_set(F.col("text")).alias("words")).filter(F.size("words") > 0))
     sizes = words.select("id", F.size("words").alias("n"))
     a, b = F.col("n"), F.col("m")
     # The shared part is at most the smaller set: 5 shared > 2 (n + m - shared) needs 7 min(n, m) > 2 (n + m).
-    pairs = near(messages, messages, **how).join(sizes.withColumnRenamed("id", "probe_id"), "probe_id").join(sizes.withColumnRenamed("n", "m"), "id").filter(7 * F.least(a, b) > 2 * (a + b))
+    pairs = near(messages if probes is None else probes, messages, **how).join(sizes.withColumnRenamed("id", "probe_id"), "probe_id").join(sizes.withColumnRenamed("n", "m"), "id").filter(7 * F.least(a, b) > 2 * (a + b))
     both = pairs.join(words.select(F.col("id").alias("probe_id"), F.col("words").alias("a")), "probe_id").join(words.withColumnRenamed("words", "b"), "id")
     return both.filter(7 * F.size(F.array_intersect("a", "b")) > 2 * (a + b)).select("probe_id", "id", "ts")
 
@@ -83,39 +84,45 @@ def leaders(messages: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         open_ = open_.join(ready.select(F.col("id").alias("probe_id")), "probe_id", "left_anti")
 
 
+def first_seen(reports: DataFrame) -> DataFrame:
+    """event_id, channel, seq of each named channel's first report."""
+    return reports.filter("channel <> ''").groupBy("event_id", "channel").agg(F.min("seq").alias("seq"))
+
+
 def fold(reports: DataFrame) -> DataFrame:
-    """reports: event_id, seq (0 is the event's own), channel, reliability, severity, status. Per event: report_count,
-    severity (largest measured by an ok reading), n_channels (named, distinct), reliability.
-
-    Each merge takes the larger of the current reliability and its own (null counts as 1), then adds 1 once three
-    distinct named channels reported, up to 5. Written out over all merges that is
-    min(5, max over j of (value j + additions from merge j on)): sums over a window, not a loop."""
-    order = Window.partitionBy("event_id").orderBy("seq")
-    named = F.col("channel").isNotNull() & (F.col("channel") != "")
-    first = F.row_number().over(Window.partitionBy("event_id", F.when(named, F.col("channel")).otherwise(F.lit(""))).orderBy("seq")) == 1
-    rows = reports.withColumn("new", (named & first).cast("int")).withColumn("known", F.sum("new").over(order))
-    rows = rows.withColumn("plus", F.when((F.col("seq") > 0) & (F.col("known") >= 3), 1).otherwise(0))
-    later = F.sum("plus").over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("gain", F.coalesce("reliability", F.lit(1)) + later)
-    ok = F.when(F.col("status").eqNullSafe("ok") | (F.col("seq") == 0), F.col("severity"))
-    return rows.groupBy("event_id").agg(F.count("*").alias("report_count"), F.max(ok).alias("severity"), F.sum("new").alias("n_channels"), F.least(F.max("gain"), F.lit(5)).alias("reliability"))
+    """reports: event_id, seq (the event's own has the least), channel, reliability, severity, status. Per event: report_count, severity
+    (its own; the largest of all where its own reading is ok), n_channels (named, distinct), reliability.
+
+    Each merge takes the larger of the current reliability and its own (null counts as 1), then adds 1 once three distinct
+    named channels reported, up to 5. Written out over all merges that is min(5, max over j of (value j + additions from
+    merge j on)). Four additions reach 5 from any value, so what counts is how many reports came from the third channel's first one
+    on, and which those are where they are three at most. So an event's reports are only ever added up, and never meet in one task."""
+    third = first_seen(reports).groupBy("event_id").agg(F.count("*").alias("n_channels"), F.get(F.array_sort(F.collect_list("seq")), F.lit(2)).alias("third"))  # one entry per channel
+    rows = reports.join(third, "event_id", "left").withColumn("late", F.coalesce(F.col("seq") >= F.col("third"), F.lit(False))).withColumn("value", F.coalesce("reliability", F.lit(1)))
+    sums = rows.groupBy("event_id").agg(
+        F.count("*").alias("report_count"), F.min_by(F.struct("status", "severity"), "seq").alias("own"), F.max("severity").alias("most"), F.max("n_channels").alias("n_channels"),
+        F.max("value").alias("top"), F.max(F.when(~F.col("late"), F.col("value"))).alias("before"), F.count_if("late").alias("plus"),
+    )
+    few = sums.filter("plus between 1 and 3").select("event_id", F.col("plus"), F.col("before"))
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("seq")))  # three rows at most
+    last = rows.filter("late").select("event_id", "seq", "value").join(few, "event_id").withColumn("gain", F.col("value") + place).groupBy("event_id").agg(F.greatest(F.max("gain"), F.max(F.col("before") + F.col("plus"))).alias("gained"))
+    reliability = F.when(F.col("plus") == 0, F.least("top", F.lit(5))).when(F.col("plus") > 3, 5).otherwise(F.least("gained", F.lit(5)))
+    severity = F.when(F.col("own.status").eqNullSafe("ok"), F.col("most")).otherwise(F.col("own.severity"))
+    return sums.join(last, "event_id", "left").select("event_id", "report_count", severity.alias("severity"), F.coalesce("n_channels", F.lit(0)).cast("long").alias("n_channels"), reliability.cast("int").alias("reliability"))
 
 
 def channel_list(reports: DataFrame, compat: bool = True) -> DataFrame:
     """event_id, channels: names in order of arrival, joined by comma and space. compat: a name contained in the text so far is
-    left out even where it is only part of another name; else names are told apart."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("channel", F.lit("")).alias("c")))), lambda r: r["c"])  # the reports of one event
-    if not compat:
-        return reports.groupBy("event_id").agg(F.array_join(F.array_distinct(F.filter(seq, lambda c: c != "")), ", ").alias("channels"))
-    step = lambda acc, c: F.when((c == "") | F.contains(acc, c), acc).when(acc == "", c).otherwise(F.concat(acc, F.lit(", "), c))
-    return reports.groupBy("event_id").agg(F.aggregate(seq, F.lit(""), step).alias("channels"))
+    left out even where it is only part of another name; else names are told apart. (A name already seen is contained, so
+    first reports are enough.)"""
+    names = first_seen(reports).groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "channel"))), lambda r: r["channel"]).alias("names"))  # one entry per channel
+    step = lambda acc, c: F.when(F.contains(acc, c), acc).when(acc == "", c).otherwise(F.concat(acc, F.lit(", "), c))
+    text = F.aggregate("names", F.lit(""), step) if compat else F.array_join("names", ", ")
+    return reports.select("event_id").distinct().join(names, "event_id", "left").select("event_id", F.coalesce(text, F.lit("")).alias("channels"))
 
 
 def linked_events(messages: DataFrame) -> DataFrame:
     """The flagship: messages (id, event_type, ts, lat, lon, text, channel, reliability, severity, status) linked to
     leaders, each leader with its folded evidence."""
     lead = leaders(messages)
-    rows = messages.join(lead, "id").select(
-        F.col("leader").alias("event_id"), "id", "channel", "reliability", "severity", "status", F.row_number().over(Window.partitionBy("leader").orderBy("id")).alias("seq")
-    )
-    return fold(rows.withColumn("seq", F.col("seq") - 1))
+    return fold(messages.join(lead, "id").select(F.col("leader").alias("event_id"), F.col("id").alias("seq"), "channel", "reliability", "severity", "status"))

@@ -66,7 +66,7 @@ FOLD_SQL = f"""WITH RECURSIVE {REP}, f AS (
   UNION ALL SELECT r.event_id, r.seq, n.names, least(5, greatest(f.rel, coalesce(r.reliability, 1)) + CASE WHEN len(n.names) >= 3 THEN 1 ELSE 0 END)
   FROM f JOIN rep r ON r.event_id = f.event_id AND r.seq = f.seq + 1, LATERAL (SELECT CASE WHEN r.channel <> '' THEN list_distinct(list_append(f.names, r.channel)) ELSE f.names END AS names) n),
 l AS (SELECT event_id, arg_max(rel, seq) AS reliability, arg_max(len(names), seq) AS n_channels FROM f GROUP BY event_id),
-g AS (SELECT event_id, count(*) AS report_count, max(CASE WHEN status = 'ok' OR seq = 0 THEN severity END) AS severity FROM rep GROUP BY event_id)
+g AS (SELECT event_id, count(*) AS report_count, CASE WHEN arg_min(coalesce(status, ''), seq) = 'ok' THEN max(severity) ELSE max(severity) FILTER (seq = 0) END AS severity FROM rep GROUP BY event_id)
 SELECT event_id, report_count, severity, n_channels, reliability FROM g JOIN l USING (event_id)"""
 
 COMPAT_SQL = f"""WITH RECURSIVE {REP}, f AS (
@@ -156,7 +156,7 @@ ENTRIES = {
     "merge_fold_reliability": (merge_fold, FOLD_SQL),
     "merge_fold_count_sev": (
         lambda s, d: linking.fold(S.reports(s, d)).select("event_id", "report_count", "severity"),
-        f"WITH {REP} SELECT event_id, count(*) AS report_count, max(CASE WHEN status = 'ok' OR seq = 0 THEN severity END) AS severity FROM rep GROUP BY event_id",
+        f"WITH {REP} SELECT event_id, count(*) AS report_count, CASE WHEN arg_min(coalesce(status, ''), seq) = 'ok' THEN max(severity) ELSE max(severity) FILTER (seq = 0) END AS severity FROM rep GROUP BY event_id",
     ),
     "distinct_named_channels": (lambda s, d: S.reports(s, d).filter("channel <> ''").groupBy("event_id").agg(F.countDistinct("channel").alias("n")), f"WITH {REP} SELECT event_id, count(DISTINCT channel) AS n FROM rep WHERE channel <> '' GROUP BY event_id"),
     "channel_append_compat": (lambda s, d: linking.channel_list(S.reports(s, d)), COMPAT_SQL),
