@@ -66,6 +66,7 @@ MIN_BASELINE = {"bgp": 10.0, "ping-slash24": 10.0, "merit-nt": 15.0, "gtr": 1e6}
 MIN_BASELINE_OTHER = 1.0
 
 # Tracks.
+VESSEL_TTL_S = 600
 TRACK_TTL_S, TRACK_POINTS_AIR, TRACK_POINTS_SEA = 600, 120, 200
 EARTH_KM, EARTH_NM = 6371.0, 3440.065
 

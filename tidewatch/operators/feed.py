@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut
+
 
 def latest(events: DataFrame, limit: int = 50, event_type: str | None = None, after=None, before=None, min_reliability: int | None = None) -> DataFrame:
     """The newest events that pass all given filters; bounds are inclusive, ties go to the larger id."""
@@ -47,10 +49,25 @@ def counts(events: DataFrame, value: Column, name: str = "value") -> DataFrame:
 
 
 def severity_trend(events: DataFrame, key: str, span: int = 20) -> DataFrame:
-    """Mean severity over the last `span` events of each key, with its band."""
-    mean = F.avg("severity").over(Window.partitionBy(key).orderBy("ts", "id").rowsBetween(1 - span, 0))
+    """Mean severity over the last `span` events of each key, with its band.
+
+    Keys may be few and large, so windows run over ranges of (ts, id), whatever the key: each range also gets the last span - 1 events of every
+    key before it. Those come from the ranges' own last ones, a slim table of span - 1 rows per range and key."""
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = cut(events.select(key, "id", "ts", "severity").repartitionByRange(parts, "ts", "id").withColumn("part", F.spark_partition_id()))
+    last = Window.partitionBy("part", key).orderBy(F.desc("ts"), F.desc("id"))
+    ends = cut(slim.withColumn("n", F.row_number().over(last)).filter(F.col("n") < span).drop("n"))
+    # For each key and range: the newest span - 1 of the ends of all ranges before. A range that has enough of its own ends the search.
+    held = ends.groupBy(key, "part").agg(F.count("*").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = held.withColumn("before", before)  # a row per range and key
+    place = ends.withColumn("n", F.row_number().over(Window.partitionBy("part", key).orderBy("ts", "id"))).join(totals, [key, "part"]).select(key, "id", "ts", "severity", (F.col("before") + F.col("n")).alias("nth"), F.col("part").alias("from"))
+    wanted = totals.filter("before > 0").select(key, "part", F.explode(F.sequence(F.greatest(F.col("before") - (span - 2), F.lit(1)), F.col("before"))).alias("nth"))
+    carried = place.join(wanted, [key, "nth"]).select(key, "id", "ts", "severity", "part", F.lit(False).alias("own"))
+    mean = F.avg("severity").over(Window.partitionBy("part", key).orderBy("ts", "id").rowsBetween(1 - span, 0))
     band = F.when(F.col("trend").isNull(), F.lit("UNMEASURED")).when(F.col("trend") <= 3, "LOW").when(F.col("trend") <= 6, "ELEVATED").when(F.col("trend") <= 8, "HIGH").otherwise("CRITICAL")
-    return events.select(key, "id", F.round(mean, 6).alias("trend")).withColumn("band", band)
+    rows = slim.withColumn("own", F.lit(True)).unionByName(carried).withColumn("trend", F.round(mean, 6)).filter("own")
+    return rows.select(key, "id", "trend").withColumn("band", band)
 
 
 def currency(feeds: DataFrame, now: Column, fresh_s: int = 300, stale_s: int = 900) -> DataFrame:

@@ -170,9 +170,6 @@ def status(rows: DataFrame) -> DataFrame:
 
 def last_good(polls: DataFrame) -> DataFrame:
     """polls: branch, ts, ok, value. The last good value and time of each branch, and whether the newest poll failed."""
-    by = Window.partitionBy("branch").orderBy("ts")
-    good = F.when(F.col("ok"), F.struct("value", "ts"))
-    rows = polls.withColumn("good", F.last(good, ignorenulls=True).over(by))
-    newest = rows.groupBy("branch").agg(F.max_by(F.struct("ok", "good"), "ts").alias("r"))
-    state = F.when(F.col("r.ok"), "ok").when(F.col("r.good").isNotNull(), "stale").otherwise("error")
-    return newest.select("branch", state.alias("status"), F.col("r.good.value").alias("value"), F.col("r.good.ts").alias("as_of"))
+    newest = polls.groupBy("branch").agg(F.max_by("ok", "ts").alias("ok"), F.max_by(F.struct("value", "ts"), F.when(F.col("ok"), F.col("ts"))).alias("good"))
+    state = F.when(F.col("ok"), "ok").when(F.col("good").isNotNull(), "stale").otherwise("error")
+    return newest.select("branch", state.alias("status"), F.col("good.value").alias("value"), F.col("good.ts").alias("as_of"))

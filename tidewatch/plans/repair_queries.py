@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo as G
@@ -11,7 +13,9 @@ from tidewatch.operators import feed, guards, tracks
 from tidewatch.plans import substrate as S
 from tidewatch.plans.event_queries import NOISE_SQL, STRIPPED
 from tidewatch.plans.substrate import EV, MSG
-from tidewatch.sources import feeds
+from tidewatch.session import shared_dir
+from tidewatch.sources import dumps, feeds
+from tidewatch.streaming import ingest
 
 #: What names are put together from, to meet every tier.
 ENDINGS = (" strait", " sea", " air base", " port", "", " bay of gulf", " mediterranean coast", " mosque")
@@ -86,7 +90,25 @@ w AS (SELECT * FROM v WHERE NOT (lat = 0 AND lon = 0)), o AS (SELECT *, row_numb
 SELECT mmsi, max(ts) AS last_ts, arg_max(lat, n) FILTER (NOT st) AS lat, arg_max(lon, n) FILTER (NOT st) AS lon, arg_max(value, n) FILTER (NOT st) AS sog, arg_max(k % 8, n) FILTER (NOT st) AS nav_status, arg_max(k, n) FILTER (st) AS type,
   arg_max('P' || k, n) FILTER (st) AS destination, arg_max(nm, n) FILTER (st OR nm <> '') AS name, arg_max(k + 5, n) FILTER (st) AS length FROM o GROUP BY mmsi"""
 
+#: Every so many rows of the dump lack a cell.
+BROKEN = 97
+
+
+def dump(s, d) -> str:
+    """Documents as a dump in several files, with the escapes of the format and some damaged rows; its folder."""
+    path = f"{shared_dir(s)}/dumps/{uuid.uuid4().hex}"
+    docs = S.read(s, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("channel_name"), F.col("text").alias("raw_text"))
+    broken = F.when(F.col("at") % BROKEN == 0, F.substring_index("line", "\t", 3)).otherwise(F.col("line"))
+    dumps.write_blocks(dumps.copy_lines(docs, "id").withColumn("line", broken), docs.columns, path, "public.events")
+    return path
+
+
 ENTRIES = {
+    "dump_rows": (
+        lambda s, d: dumps.copy_rows(s, dump(s, d), "public.events").select(*[F.col("row")[c].alias(c) for c in ("id", "source", "channel_name", "raw_text")]),
+        f"SELECT CAST(doc_id AS VARCHAR) AS id, source, lang AS channel_name, text AS raw_text FROM documents WHERE doc_id % {BROKEN} <> 0",
+    ),
+    "dump_counts": (lambda s, d: dumps.copy_counts(s, dump(s, d), "public.events"), f"SELECT count(*) FILTER (doc_id % {BROKEN} <> 0) AS rows, count(*) FILTER (doc_id % {BROKEN} = 0) AS short FROM documents"),
     "key_tiers": (lambda s, d: named_parts(s, d).select("id", G.key_tier(F.col("key")).alias("tier")), f"WITH {NAMED} SELECT id, {TIER_SQL} AS tier FROM np"),
     "flag_locations": (
         lambda s, d: flagged(s, d).select("id", F.array_join(T.flags(F.col("text")), "|").alias("places")),
@@ -131,7 +153,7 @@ SELECT *, CASE WHEN silent = feeds THEN 'silent' WHEN stale > 0 OR silent > 0 TH
   CASE WHEN k % 4 > 0 AND k <> 0 THEN k * 3.0::DOUBLE ELSE k * 2.0::DOUBLE END AS heading, k % 19 = 0 AS on_ground, nac_p, nic FROM ev WHERE lat IS NOT NULL""",
     ),
     "gated_messages": (
-        lambda s, d: S.messages(s, d).filter("text is not null and text <> ''").filter(~T.is_noise(F.col("text"), F.col("severity"))).select("id"),
+        lambda s, d: ingest.accepted(S.messages(s, d), None).select("id"),
         f"WITH {MSG}, m AS (SELECT id, severity, {STRIPPED} AS s, lower({STRIPPED}) AS low FROM msg WHERE text IS NOT NULL AND text <> '') SELECT id FROM m WHERE NOT ({NOISE_SQL} OR coalesce(severity < 3, false))",
     ),
 }

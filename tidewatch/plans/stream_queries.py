@@ -13,25 +13,59 @@ from tidewatch.session import shared_dir
 from tidewatch.streaming import pipelines
 
 
-def run(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], steps: int = 4, replay: bool = False) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame], steps: int = 4, again_s: int = 0, replay: bool = False, mode: str = "append", reports: list | None = None) -> DataFrame:
     """What a stream over the events gives when they arrive in so many steps in order of time, with a stop and a restart from the
-    checkpoint after each. replay: everything arrives once more at the end."""
+    checkpoint after each. again_s: each later step also brings the events of that many seconds before it once more. replay: everything
+    arrives once more at the end. reports: gets what the batches report. In update mode rows have the `epoch` that made them."""
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     events = S.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     us = F.unix_micros("ts")
     cuts = events.agg(F.percentile_approx(us, [i / steps for i in range(1, steps)], 1000)).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
-    parts = [events.filter((F.lit(True) if lo is None else us > lo) & (F.lit(True) if hi is None else us <= hi)) for lo, hi in zip(bounds, bounds[1:])]
+    after = lambda lo, s: F.lit(True) if lo is None else us > lo - s * 1_000_000
+    part = lambda lo, hi, s: events.filter(after(lo, s) & (F.lit(True) if hi is None else us <= hi))
+    parts = [part(lo, hi, 0) if lo is None or not again_s else part(lo, hi, 0).unionByName(part(lo, lo, again_s)) for lo, hi in zip(bounds, bounds[1:])]
     stream = None
-    for part in parts + [events] * replay:
-        part.write.mode("append").parquet(f"{base}/in")
+
+    def body(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
+    for part_ in parts + [events] * replay:
+        part_.write.mode("append").parquet(f"{base}/in")
         stream = stream or make(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
-        pipelines.run_available(stream, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+        said = pipelines.run_available(stream, f"{base}/out", f"{base}/checkpoint", None if mode == "append" else body, mode)
+        if reports is not None:
+            reports += said
+    out = spark.read.option("basePath", f"{base}/out")
+    return out.schema(stream.schema).parquet(f"{base}/out") if mode == "append" else out.schema(stream.schema.add("epoch", "long")).parquet(f"{base}/out")
+
+
+#: Seconds of events that come twice: within the delay that the guard waits for.
+AGAIN_S = 1_500
+
 
+def stream_dedup(spark, d, reports: list | None = None):
+    """Events come twice within the guard's delay, in the next step, where the guard's state finds them; what comes again when all is over is late."""
+    return run(spark, d, lambda events: pipelines.guarded(events, ["event_id"]).select("event_id", "user_id", "event_type"), again_s=AGAIN_S, replay=True, reports=reports)
 
-def stream_dedup(spark, d):
-    return run(spark, d, lambda events: pipelines.guarded(events, ["event_id"]).select("event_id", "user_id", "event_type"), replay=True)
+
+def vessel_messages(events: DataFrame) -> DataFrame:
+    """Events as vessel messages: every third is a static one."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return events.select(
+        F.col("user_id").cast("string").alias("mmsi"), F.when(k % 3 == 0, "ShipStaticData").otherwise("PositionReport").alias("msg_type"), F.when(k % 5 > 0, F.concat(F.lit("S"), k.cast("string"))).otherwise("").alias("ship_name"), "ts", F.col("event_id").alias("id"),
+        (29 + k / 100.0).alias("lat"), (45 + (F.col("user_id") % 90) / 10.0).alias("lon"), F.col("value").alias("sog"), F.when(k % 4 > 0, k.cast("double")).alias("true_heading"), k.cast("double").alias("cog"), (k % 8).alias("nav_status"),
+        k.alias("type"), F.when(k % 2 == 0, F.concat(F.lit("P"), k.cast("string"))).alias("destination"), k.alias("dim_a"), F.lit(5).alias("dim_b"),
+    )
+
+
+def stream_vessels(spark, d, reports: list | None = None):
+    """Vessels that are there at the end: the newest state of each, unless it ended or its last position is too old."""
+    states = run(spark, d, lambda events: pipelines.vessels(vessel_messages(events), ttl_s=TTL_S), mode="update", reports=reports)
+    newest = states.groupBy("mmsi").agg(F.max_by(F.struct(*[c for c in states.columns if c not in ("mmsi", "epoch")]), F.struct("epoch", ~F.col("expired"))).alias("r")).select("mmsi", "r.*")
+    end = F.broadcast(S.read(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("end")))  # one row
+    live = newest.join(end).filter(f"not expired and lat is not null and unix_micros(end) - unix_micros(seen) <= {TTL_S * 1_000_000}")
+    return live.select("mmsi", F.unix_micros("last_ts").alias("last_us"), "lat", "lon", "sog", "true_heading", "nav_status", "type", "destination", "length", "name")
 
 
 def points(events: DataFrame) -> DataFrame:
@@ -54,7 +88,19 @@ t AS (SELECT entity, n, ts, id, lat, lon, ts AS last, lat AS a, lon AS b, true A
   FROM t JOIN p ON p.entity = t.entity AND p.n = t.n + 1, LATERAL (SELECT p.lat <> t.a OR p.lon <> t.b OR epoch_us(p.ts) - epoch_us(t.last) > {TTL_S * 1_000_000} AS k))
 SELECT entity, ts, id, lat, lon FROM t WHERE kept"""
 
+VESSELS_SQL = f"""WITH RECURSIVE e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+t AS (SELECT user_id, n, 0 AS s, ts AS seen, k % 3 <> 0 AS placed FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.n, t.s + CAST(x AS INT), CASE WHEN e.k % 3 <> 0 OR x OR NOT t.placed THEN e.ts ELSE t.seen END, e.k % 3 <> 0 OR (t.placed AND NOT x)
+  FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1, LATERAL (SELECT epoch_us(e.ts) - epoch_us(t.seen) > {TTL_S * 1_000_000} AS x)),
+l AS (SELECT user_id, max(s) AS s, arg_max(seen, n) AS seen FROM t GROUP BY 1),
+m AS (SELECT e.*, k % 3 = 0 AS st FROM e JOIN t USING (user_id, n) JOIN l USING (user_id, s) WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(l.seen) <= {TTL_S * 1_000_000})
+SELECT CAST(user_id AS VARCHAR) AS mmsi, max(epoch_us(ts)) AS last_us, arg_max(29 + k / 100.0::DOUBLE, n) FILTER (NOT st) AS lat, arg_max(45 + (user_id % 90) / 10.0::DOUBLE, n) FILTER (NOT st) AS lon, arg_max(value, n) FILTER (NOT st) AS sog,
+  arg_max(k::DOUBLE, n) FILTER (NOT st AND k % 4 > 0) AS true_heading, arg_max(k % 8, n) FILTER (NOT st) AS nav_status, arg_max(k, n) FILTER (st) AS type, arg_max('P' || k, n) FILTER (st AND k % 2 = 0) AS destination,
+  arg_max(k + 5, n) FILTER (st) AS length, arg_max(CASE WHEN k % 5 > 0 THEN 'S' || k ELSE '' END, n) FILTER (st OR k % 5 > 0) AS name
+FROM m GROUP BY user_id HAVING count(*) FILTER (NOT st) > 0"""
+
 ENTRIES = {
+    "stream_vessels": (stream_vessels, VESSELS_SQL),
     "stream_dedup": (stream_dedup, "SELECT event_id, user_id, event_type FROM events"),
     "stream_tracks": (stream_tracks, TRACKS_SQL),
 }

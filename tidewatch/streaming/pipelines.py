@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidewatch.functions import text as T
 from tidewatch.functions import values as V
@@ -57,22 +60,86 @@ def tracked(points: DataFrame, ttl_s: int = V.TRACK_TTL_S, delay: str = "10 minu
     return points.withWatermark("ts", delay).groupBy("entity").applyInPandasWithState(step, TRACK_OUT, TRACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, body: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Process everything that is there, then stop. Files are written exactly once; body replaces the file sink."""
-    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+VESSEL = "lat double, lon double, sog double, true_heading double, cog double, nav_status int"
+STATIC = "type int, destination string, length int"
+SEEN = "ts timestamp, seen timestamp, placed boolean"
+VESSEL_OUT = f"mmsi string, last_ts timestamp, seen timestamp, {VESSEL}, {STATIC}, name string, expired boolean"
+
+
+class VesselState(StatefulProcessor):
+    """What is known of a vessel from its position and its static messages: each field's latest value, in three states that are
+    written apart. A name from a position message never erases one; a static message's name always counts.
+
+    A vessel ends ttl_s after its last position (its last static message while it has none): a timer in event time drops all states and
+    says so. A message that comes later than that starts anew, whether or not the timer had its turn, so batches do not matter."""
+
+    def __init__(self, ttl_s: int) -> None:
+        self.ttl = pd.Timedelta(seconds=ttl_s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place, self.static, self.name, self.times = (handle.getValueState(n, t) for n, t in (("place", VESSEL), ("static", STATIC), ("name", "name string"), ("times", SEEN)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = [list(x.get()) if x.exists() else None for x in (self.place, self.static, self.name, self.times)]
+        before = held[3] and held[3][1]
+        for r in pd.concat(list(rows)).sort_values(["ts", "id"]).itertuples(index=False):
+            if held[3] and r.ts - pd.Timestamp(held[3][1]) > self.ttl:
+                held = [None] * 4
+            placed = bool(held[3] and held[3][2])
+            if r.msg_type == "PositionReport":
+                held[0] = self.newer(held[0], [r.lat, r.lon, r.sog, r.true_heading, r.cog, r.nav_status])
+                if (r.ship_name or "").strip():
+                    held[2] = [r.ship_name]
+                held[3] = [r.ts, r.ts, True]
+            else:
+                held[1] = self.newer(held[1], [r.type, r.destination, sum(0 if pd.isna(x) else x for x in (r.dim_a, r.dim_b))])
+                held[2] = [r.ship_name or ""]
+                held[3] = [r.ts, held[3][1] if placed else r.ts, placed]
+        for state, value in zip((self.place, self.static, self.name, self.times), held, strict=True):
+            if value is None:
+                state.clear()
+            else:
+                state.update(tuple(value))
+        if before is not None and before != held[3][1]:
+            self.handle.deleteTimer(self.due(before))
+        self.handle.registerTimer(self.due(held[3][1]))
+        yield self.row(key, held, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [None, None, None, list(self.times.get())]
+        for state in (self.place, self.static, self.name, self.times):
+            state.clear()
+        yield self.row(key, held, True)
+
+    def due(self, seen) -> int:
+        return int((pd.Timestamp(seen) + self.ttl).timestamp() * 1000) + 1
+
+    @staticmethod
+    def newer(old: list | None, new: list) -> list:
+        return [a if pd.isna(b) else b for a, b in zip(old or [None] * len(new), new, strict=True)]
+
+    @staticmethod
+    def row(key: tuple, held: list, expired: bool) -> pd.DataFrame:
+        place, static, name, times = held
+        values = [key[0], times[0], times[1], *(place or [None] * 6), *(static or [None] * 3), name[0] if name else None, expired]
+        out = pd.DataFrame([values], columns=[c.split()[0] for c in VESSEL_OUT.split(", ")], dtype=object)
+        return out.astype({c: "Int32" for c in ("nav_status", "type", "length")} | {c: "float64" for c in ("lat", "lon", "sog", "true_heading", "cog")} | {"expired": bool, "last_ts": "datetime64[us]", "seen": "datetime64[us]"})
+
+
+def vessels(messages: DataFrame, ttl_s: int = V.VESSEL_TTL_S, delay: str = "10 minutes") -> DataFrame:
+    """A row for each vessel (mmsi) that a batch changed, and one with `expired` when it ends. Messages at 0, 0 are left out. In a
+    batch messages count in order of (ts, id)."""
+    real = messages.filter(~((F.coalesce("lat", F.lit(1)) == 0) & (F.coalesce("lon", F.lit(1)) == 0))).filter("mmsi is not null and ts is not null")
+    return real.withWatermark("ts", delay).groupBy("mmsi").transformWithStateInPandas(VesselState(ttl_s), VESSEL_OUT, "Update", "EventTime")
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str, body: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> list[dict]:
+    """Process everything that is there, then stop; what the batches report of themselves. Files are written exactly once; body replaces
+    the file sink. States of several parts need the store that has column families, so it serves all streams here."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     w = w.foreachBatch(body) if body else w.format("parquet").option("path", out)
     query = w.start()
     query.awaitTermination()
-
-
-def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files. (A pattern serves a single file as well as a folder.)"""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events[.]parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def persist_pair(batch: DataFrame, epoch: int, events_path: str, reports_path: str) -> None:
-    """foreachBatch sink of an event and its first report under one deterministic key; a replayed batch overwrites its own part."""
-    keyed = batch.withColumn("id", F.xxhash64("channel", "message_id"))
-    keyed.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
-    keyed.select(F.col("id").alias("event_id"), "channel", "message_id", "text", "ts").write.mode("overwrite").parquet(f"{reports_path}/epoch={epoch}")
+    return [json.loads(p.json) for p in query.recentProgress]
