@@ -172,7 +172,7 @@ def test_spelled_looks_at_every_text_and_key(spark):
     assert got == want
 
 
-def test_readers(spark, tmp_path):
+def test_readers(spark):
     rss = "<rss><channel><item><title>A &amp; B</title><link>http://x/1</link><pubDate>Tue, 01 Sep 2026 10:00:00 GMT</pubDate></item><item><title>no url</title></item></channel></rss>"
     atom = '<feed><entry><title>T</title><link href="http://x/2"/><updated>2026-09-01T10:00:00Z</updated></entry></feed>'
     got = feeds.articles(spark.createDataFrame([("r", rss), ("a", atom), ("b", "broken <")], "source string, xml string")).orderBy("url").collect()
@@ -182,7 +182,3 @@ def test_readers(spark, tmp_path):
     assert [(r["icao24"], r["altitude"], r["heading"]) for r in a] == [("a", 31000.0, 90.0)]
     tle = "NAME\n1 25544U\n2 25544\nBAD\nx\ny\n"
     assert [r["name"] for r in feeds.orbital_elements(spark.createDataFrame([(1, tle)], "document int, text string")).collect()] == ["NAME"]
-    p = tmp_path / "dump.sql"
-    p.write_text("junk\nCOPY public.events (id, text) FROM stdin;\n1\ta\\nb\\\\n\n2\t\\N\nshort\n\\.\n")
-    rows = [r["row"] for r in feeds.copy_rows(spark, str(p), "public.events").collect()]
-    assert rows == [{"id": "1", "text": "a\nb\\n"}, {"id": "2", "text": None}]
