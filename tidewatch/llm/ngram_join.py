@@ -240,10 +240,10 @@ def with_both(pairs: DataFrame, side: DataFrame, hot: DataFrame, column: str) ->
 
 def verified(pairs: DataFrame, hot: DataFrame, docs: DataFrame, first: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection. first: the document that shows each set (name, doc_id)."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    names = cut(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct())
     ids = cut(names.join(first, "name").select("doc_id"))
     tokens = arrays(docs.join(small(ids, IDS), "doc_id", "left_semi"), k)
-    tokens = cut(tokens.join(small(cut(names), IDS), "name", "left_semi"))
+    tokens = cut(tokens.join(small(names, IDS), "name", "left_semi"))
     shared = F.size(F.array_intersect("x", "y"))
     links = with_both(pairs, tokens, hot, "tokens").filter(shared * (100 + PERCENT) >= PERCENT * (F.size("x") + F.size("y")))
     return cut(links.select("a", "b").distinct())
@@ -270,6 +270,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "name")
 
 
+def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """comp (name, root) with more links (a, b): groups are nodes now, so only what the new links touch goes through rounds again."""
+    root = lambda c: comp.select(F.col("name").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    over = cut(components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))))
+    old = comp.join(over.select(F.col("name").alias("root"), F.col("root").alias("top")), "root", "left").select("name", F.coalesce("top", "root").alias("root"))
+    return cut(old.unionByName(over.join(comp.select("name").distinct(), "name", "left_anti")))
+
+
 def number(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(LOWEST))
 
@@ -341,7 +350,7 @@ def linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     if not rest.isEmpty():
         more = verified(rest, hot_names(rest), docs, first, k)
         if not more.isEmpty():
-            comp = cut(components(links.unionByName(more)))
+            comp = joined(comp, more)
 
     return sets.select("doc_id", "mark", "n", "name"), comp
 
