@@ -243,6 +243,19 @@ def test_equal_windows_select_the_same_anchor():
         assert len(alone) == 1 and int(alone[0]) + i in places
 
 
+def test_anchors_of_long_texts_are_those_of_one_pass(monkeypatch):
+    rng = random.Random(4)
+    w = substrings.hashes([str(rng.randrange(9)).encode() for _ in range(1000)])
+    one = substrings.anchors(w)[0].tolist()
+    g = substrings.grams(w, substrings.ANCHOR)
+    order = [(int(x) >> 20, i) for i, x in enumerate(g)]
+    assert one == sorted({min(order[i : i + 26])[1] for i in range(len(g) - 25)})
+    monkeypatch.setattr(substrings, "PLACES", 64)
+    at = substrings.anchors(w)[0].tolist()
+    order = [(int(x) >> 6, i) for i, x in enumerate(g)]
+    assert at == sorted({min(order[i : i + 26])[1] for i in range(len(g) - 25)})
+
+
 def test_registered_rows(spark, data):
     ids = sorted(r["vec_id"] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect())
     got = queries.QUERIES["op11_whitening"](spark, data)

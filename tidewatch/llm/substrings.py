@@ -44,7 +44,9 @@ ANCHOR = 10
 LOWEST = -(2**63)
 SLICE = 200
 #: Anchors whose surroundings are hashed at once.
-AT_ONCE = 20_000
+AT_ONCE = 10_000
+#: Grams among which anchors are looked for at once.
+PLACES = 1 << 20
 #: Ids of documents to read again may be broadcast up to this many.
 IDS = 1_000_000
 _ODD = np.random.default_rng(12).integers(1, 2**63, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,10 +79,12 @@ def hashes(ws: list[bytes]) -> np.ndarray:
 
 def mixed(h: np.ndarray, lane: int) -> np.ndarray:
     """Hashes of the rows of h: a sum of the words' hashes, each scrambled by its place."""
-    out = np.zeros(h.shape[0], np.uint64)
-    for j in range(h.shape[1]):
-        x = h[:, j] * _ODD[lane, j]
-        out += x ^ (x >> _HALF)
+    parts = []
+    for lo in range(0, len(h), AT_ONCE):
+        x = h[lo : lo + AT_ONCE] * _ODD[lane, : h.shape[1]]
+        x ^= x >> _HALF
+        parts.append(x.sum(axis=1, dtype=np.uint64))
+    out = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return (out ^ (out >> np.uint64(29))) * _ODD[lane, -1]
 
 
@@ -89,12 +93,23 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, length: int = LENGTH, q: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that some window of `length` words selects."""
+    """Places and hashes of the grams that some window of `length` words selects: the least by the hash's high bits, then the leftmost."""
     g = grams(h, q)
-    span = length - q + 1
-    if len(g) < span:
+    span, total = length - q + 1, len(g)
+    if total < span:
         return np.zeros(0, np.int64), g[:0]
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1))
+    found = []
+    for lo in range(0, total - span + 1, PLACES - span):
+        own = g[lo : lo + PLACES]  # places stand in the low bits of the order
+        least = (own & ~np.uint64(PLACES - 1)) | np.arange(len(own), dtype=np.uint64)
+        wide = 1
+        while wide < span:  # least of `wide` neighbours, doubled while that fits
+            step = min(wide, span - wide)
+            least = np.minimum(least[:-step], least[step:])
+            wide += step
+        at = (least & np.uint64(PLACES - 1)).astype(np.int64)
+        found.append(lo + at[np.concatenate([[True], at[1:] != at[:-1]])])
+    at = np.concatenate(found) if len(found) == 1 else np.unique(np.concatenate(found))
     return at, g[at]
 
 
