@@ -31,6 +31,8 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 END = 0
 #: Pieces that go back to Spark at once.
 ROWS = 2_000
+#: Texts encoded at once.
+SLICE = 250
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -93,8 +95,8 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = END, capaci
             return out
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
                 for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     ids = np.append(ids, end).astype("<u4")
                     whole = len(ids) // capacity * capacity
