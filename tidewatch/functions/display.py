@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +55,23 @@ def flat_trace(mad: Column, baseline: Column, n: Column, rule: float = -0.02, le
     return F.when((n >= least) & (baseline != 0), mad / baseline <= abs(rule) / 20)
 
 
-def _point(raw: str | None) -> tuple[str, float | None, float | None]:
-    if raw is None:
-        return "null", None, None
-    try:
-        b = bytes.fromhex(raw)
-        order, kind, srid, x, y = struct.unpack("<BIIdd", b)
-    except (ValueError, struct.error):
-        return "undecodable", None, None
-    return ("point", x, y) if (order, kind, srid) == (1, 0x20000001, 4326) else ("undecodable", None, None)
+#: How a little-endian point with SRID 4326 begins, and how long it is, in hexadecimal digits.
+EWKB_POINT, EWKB_DIGITS = "0101000020E6100000", 50
+
+
+def _double(digits: Column) -> Column:
+    """The double of 16 hexadecimal digits, least byte first. Exact: a whole number of at most 53 bits times a power of two."""
+    high = F.concat(*[F.substring(digits, at, 2) for at in range(15, 0, -2)])
+    head, tail = F.conv(F.substring(high, 1, 3), 16, 10).cast("int"), F.conv(F.substring(high, 4, 13), 16, 10).cast("long")
+    e, sign = head % 2048, F.when(head >= 2048, -1.0).otherwise(1.0)
+    special = F.when(tail == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    whole = F.when(e > 0, tail + (1 << 52)).otherwise(tail).cast("double")
+    return sign * F.when(e == 2047, special).otherwise(whole * F.pow(F.lit(2.0), (F.greatest(e, F.lit(1)) - 1075).cast("double")))
 
 
 def ewkb_point(hex_text: Column) -> Column:
     """Struct (status, lon, lat) of a little-endian point with SRID 4326 in hexadecimal; anything else is undecodable, not null."""
-    decode = F.pandas_udf(lambda s: pd.DataFrame([_point(x) for x in s], columns=["status", "lon", "lat"]).astype({"lon": "float64", "lat": "float64"}), "status string, lon double, lat double")
-    return decode(hex_text)
+    good = hex_text.rlike(f"^[0-9A-Fa-f]{{{EWKB_DIGITS}}}$") & F.startswith(F.upper(hex_text), F.lit(EWKB_POINT))
+    at = lambda start: F.when(good, _double(F.substring(hex_text, start, 16)))
+    status = F.when(hex_text.isNull(), "null").when(good, "point").otherwise("undecodable")
+    return F.struct(status.alias("status"), at(19).alias("lon"), at(35).alias("lat"))

@@ -117,8 +117,16 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed:
     return hashed.join(bound, stratum).filter("_h < _most").withColumn("_i", F.row_number().over(by)).filter("_i <= draw").drop("_i", "draw", "_h", "_most")
 
 
-def reservoir(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+def bottom_k(rows: DataFrame, bucket: str, key: str, k: int, seed: int = 0, salts: int = 32) -> DataFrame:
+    """A uniform sample of k rows of each bucket (all of a smaller one), all buckets in one pass: those of smallest seeded hash of the
+    key, numbered in column `place`. Reruns agree, whatever the partitions; a null bucket is a bucket.
+
+    The k smallest of the union are among the k smallest of its parts, so every task passes on k rows of a bucket and salt at
+    most (Spark's rank limit, for k up to its threshold of 1000), and no task meets a bucket's rows, hot or not."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).withColumn("_salt", F.crc32(F.col("_h").cast("binary")) % salts)
+    by = Window.partitionBy(bucket, "_salt").orderBy("_h", key)
+    parts = hashed.withColumn("_i", F.row_number().over(by)).filter(F.col("_i") <= k)
+    return parts.withColumn("place", F.row_number().over(Window.partitionBy(bucket).orderBy("_h", key))).filter(F.col("place") <= k).drop("_h", "_salt", "_i")
 
 
 def stratified_estimate(sampled: DataFrame, population: DataFrame) -> DataFrame:
