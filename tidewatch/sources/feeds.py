@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.functions.geo import truthy
-from tidewatch.session import small
 
 ITEM = "title STRING, description STRING, summary STRING, link STRING, guid STRING, pubDate STRING, published STRING, updated STRING"
 
@@ -92,20 +91,21 @@ def series_samples(series: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, usable.select("code", "datasource", (F.col("from") + F.col("pos") * F.col("step")).alias("t"), F.col("col").alias("v"))
 
 
-def annotations(payloads: DataFrame) -> DataFrame:
-    """payloads: json with outages under annotations: one row each, ongoing when it has no end."""
+def annotations(payloads: DataFrame, *keep: str) -> DataFrame:
+    """payloads: json with outages under annotations: one row each, ongoing when it has no end, beside the columns to keep.
+    A payload that is null or does not read has none."""
     one = "id: STRING, locations: ARRAY<STRING>, eventType: STRING, startDate: STRING, endDate: STRING, outage: STRUCT<outageCause: STRING, outageType: STRING>, scope: STRING, asns: ARRAY<BIGINT>"
-    a = payloads.select(F.explode(F.from_json("json", f"annotations ARRAY<STRUCT<{one}>>")["annotations"]).alias("a")).select("a.*")
-    return a.select("id", "locations", F.col("eventType").alias("event_type"), F.col("startDate").alias("start"), F.col("endDate").alias("end"), F.col("endDate").isNull().alias("ongoing"), F.col("outage.outageCause").alias("cause"), "scope", "asns")
+    a = payloads.select(*keep, F.explode(F.from_json("json", f"annotations ARRAY<STRUCT<{one}>>")["annotations"]).alias("a")).select(*keep, "a.*")
+    return a.select(*keep, "id", "locations", F.col("eventType").alias("event_type"), F.col("startDate").alias("start"), F.col("endDate").alias("end"), F.col("endDate").isNull().alias("ongoing"), F.col("outage.outageCause").alias("cause"), "scope", "asns")
 
 
-def by_watchlist(annotated: DataFrame, watched: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Annotations per watched code (code, ongoing, n), and the newest others: ongoing first, then by start."""
-    each = annotated.select("*", F.explode("locations").alias("code"))
-    hit = each.join(small(watched), "code", "left_semi")
-    per = hit.groupBy("code").agg(F.bool_or("ongoing").alias("ongoing"), F.count("*").alias("n"))
-    others = annotated.join(hit.select("id").distinct(), "id", "left_anti").orderBy(F.desc("ongoing"), F.desc(F.coalesce("start", F.lit(""))), "id").limit(limit)
-    return per, others
+def attack_targets(payloads: DataFrame, *keep: str) -> DataFrame:
+    """payloads: json with the places that most attack traffic went to under top_0: one row each with its share, beside what the
+    share is of. The share is null where none was given, never 0."""
+    one = "targetCountryAlpha2: STRING, targetCountryName: STRING, value: STRING, rank: INT"
+    j = payloads.select(*keep, F.from_json("json", f"meta STRUCT<units: STRING, normalization: STRING, lastUpdated: STRING>, top_0 ARRAY<STRUCT<{one}>>").alias("j"))
+    t = j.select(*keep, "j.meta", F.explode("j.top_0").alias("t"))
+    return t.select(*keep, F.col("t.targetCountryAlpha2").alias("code"), F.col("t.targetCountryName").alias("name"), F.col("t.value").try_cast("double").alias("share"), F.col("t.rank").alias("rank"), F.col("meta.units").alias("units"), F.col("meta.normalization").alias("normalization"), F.col("meta.lastUpdated").alias("last_updated"))
 
 
 def orbital_elements(lines: DataFrame) -> DataFrame:
