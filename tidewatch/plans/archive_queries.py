@@ -34,6 +34,25 @@ def wave_rows(s, d):
     return S.events(s, d).select("id", waves.sample_json(F.col("id"), F.col("k")).alias("json"))
 
 
+def wave_files(s, d):
+    """Events as documents of one wave each, in one of four envelopes; two share a wave number."""
+    stated = F.when(F.col("k") % 3 != 0, F.struct(F.lit(1.5).alias("lat"), F.lit(2.5).alias("lon")))
+    time = F.when(F.col("k") % 7 == 0, "").when(F.col("k") % 7 == 1, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    wave = F.to_json(F.struct(F.floor(F.col("id") / 2).alias("wave_number"), F.struct(time.alias("announced_utc")).alias("timing"), F.struct(stated.alias("target_coordinates")).alias("targets")))
+    whole = [F.concat(F.lit(a), wave, F.lit(b)) for a, b in (("[", "]"), ('{"meta": [1], "waves": [', "]}"), ('{"waves": [], "data": [', "]}"), ('{"meta": [{"n": 1}], "found": [', "]}"))]
+    return S.events(s, d).select(F.col("id").alias("document"), F.get(F.array(*whole), F.col("k") % 4).alias("json"))
+
+
+def waves_judged(s, d):
+    stored = S.events(s, d).filter("k % 10 = 0").select(F.concat(F.lit("waves#"), F.floor(F.col("id") / 2)).alias("source_url"))
+    return waves.judged(wave_files(s, d), stored, "waves#")
+
+
+WAVES = f"""{EV}, w AS (SELECT id, id // 2 AS n, ts, CASE WHEN k % 3 = 0 THEN 'no_position' WHEN k % 7 = 0 THEN 'no_time' WHEN k % 7 = 1 THEN 'bad_time' ELSE 'imported' END AS why FROM ev),
+f AS (SELECT n, min(id) FILTER (why = 'imported') AS first FROM w GROUP BY n), st AS (SELECT DISTINCT id // 2 AS n FROM ev WHERE k % 10 = 0),
+j AS (SELECT id AS document, 'waves#' || w.n AS source_url, CASE WHEN st.n IS NOT NULL OR coalesce(id > first, false) THEN 'existing' ELSE why END AS status, ts FROM w LEFT JOIN f ON f.n = w.n LEFT JOIN st ON st.n = w.n)"""
+
+
 def sessions(s, d):
     """Runs of a user's events with gaps under 12 hours."""
     e = S.events(s, d).select("user_id", "ts")
@@ -116,6 +135,11 @@ SELECT doc_id, r.source FROM r JOIN b ON b.source = r.source WHERE i <= draw""",
         lambda s, d: wave_rows(s, d).select("id", waves.location(waves.parsed(F.col("json"))).alias("location")),
         f"WITH {EV} SELECT id, CASE WHEN k % 4 = 0 THEN 'Middle East' ELSE 'City ' || k END AS location FROM ev",
     ),
+    "waves_imported": (
+        lambda s, d: waves.imported(waves_judged(s, d)).select("document", "source_url", "lat", "lon", "severity", "location_name", F.unix_timestamp("timestamp").alias("at")),
+        f"WITH {WAVES} SELECT document, source_url, 1.5::DOUBLE AS lat, 2.5::DOUBLE AS lon, 6 AS severity, 'Middle East' AS location_name, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM j WHERE status = 'imported'",
+    ),
+    "waves_skipped": (lambda s, d: waves_judged(s, d).groupBy("status").agg(F.count("*").alias("n")), f"WITH {WAVES} SELECT status, count(*) AS n FROM j GROUP BY status"),
     "session_activity": (
         sessions,
         """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sess FROM g)

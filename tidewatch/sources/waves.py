@@ -25,11 +25,45 @@ def parsed(json: Column) -> Column:
 
 
 def elements(files: DataFrame) -> DataFrame:
-    """files: json (a whole document). One row per wave, whether the document is a list or holds it under waves or data."""
-    v = F.try_parse_json("json")
-    paths = ("$", "$.waves", "$.data")
-    lists = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in paths])
-    return files.select(F.explode(lists).alias("v")).select(F.to_json("v").alias("json"))
+    """files: document, json (a whole document). A row per wave: document, pos, json as written.
+
+    A document is a list, or holds one under waves, else data, else under the first key whose list begins with a wave. Empty lists
+    are passed over; a document that is none of this, is null or does not read gives no rows."""
+    named = F.from_json("json", "map<string, string>")
+    full = lambda x: F.when(F.size(x) > 0, x)
+    listed = lambda text: full(F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>")))
+    is_wave = lambda text: F.coalesce(F.map_contains_key(F.from_json(F.get(listed(text), F.lit(0)), "map<string, string>"), F.lit("wave_number")), F.lit(False))
+    other = F.get(F.filter(F.map_values(named), is_wave), F.lit(0))
+    lists = F.coalesce(listed(F.col("json")), listed(F.try_element_at(named, F.lit("waves"))), listed(F.try_element_at(named, F.lit("data"))), listed(other))
+    return files.select("document", F.posexplode(lists).alias("pos", "json"))
+
+
+def judged(files: DataFrame, stored: DataFrame, prefix: str) -> DataFrame:
+    """A row per wave of the files with its status: imported, existing, no_position, no_time or bad_time; and the event it makes.
+
+    stored: source_url of what is there. A wave is known by its number (none counts as 0): of several with one number that can
+    be imported, the first by document and place in it is, and those after it are existing. The first is found by a minimum for each
+    number, so a number that a third of all waves share is no task's."""
+    w, at = F.col("w"), F.struct("document", "pos")
+    rows = elements(files).withColumn("w", parsed(F.col("json")))
+    said = F.coalesce(*[F.nullif(w["timing"][c], F.lit("")) for c in ("announced_utc", "probable_launch_time")])
+    place = position(w)
+    rows = rows.select(
+        "document", "pos", at.alias("_at"), F.concat(F.lit(prefix), F.coalesce(w["wave_number"], F.lit(0)).cast("string")).alias("source_url"), said.alias("_said"), F.try_to_timestamp(said).alias("timestamp"),
+        place["lat"].alias("lat"), place["lon"].alias("lon"), severity(w).alias("severity"), summary(w).alias("summary"), location(w).alias("location_name"), F.left("json", F.lit(5000)).alias("raw_text"),
+    )
+    why = F.when(F.col("lat").isNull() | F.col("lon").isNull(), "no_position").when(F.col("_said").isNull(), "no_time").when(F.col("timestamp").isNull(), "bad_time").otherwise("imported")
+    rows = rows.withColumn("status", why)
+    first = rows.filter("status = 'imported'").groupBy("source_url").agg(F.min("_at").alias("_first"))
+    there = stored.select("source_url").distinct().withColumn("_there", F.lit(True))
+    rows = rows.join(first, "source_url", "left").join(there, "source_url", "left")
+    existing = F.col("_there") | (F.col("_at") > F.col("_first"))
+    return rows.withColumn("status", F.when(F.coalesce(existing, F.lit(False)), "existing").otherwise(F.col("status"))).drop("_at", "_said", "_first", "_there")
+
+
+def imported(waves: DataFrame) -> DataFrame:
+    """The events that judged waves make."""
+    return waves.filter("status = 'imported'").drop("status")
 
 
 def severity(w: Column) -> Column:
