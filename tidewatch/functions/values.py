@@ -123,3 +123,17 @@ FLAGS = {
     "🇯🇴": "Jordan", "🇪🇬": "Egypt", "🇹🇷": "Turkey", "🇷🇺": "Russia", "🇬🇧": "United Kingdom", "🇫🇷": "France", "🇩🇪": "Germany", "🇨🇳": "China",
     "🇵🇸": "Gaza", "🇰🇼": "Kuwait", "🇶🇦": "Qatar", "🇦🇪": "UAE", "🇴🇲": "Oman", "🇧🇭": "Bahrain", "🇵🇰": "Pakistan",
 }
+
+# Generated events by type and by least severity (each with the upper end of its band), their mean and greatest age, and how far
+# from its place one lies; how near movers come to a target, and by how much their reported positions differ (degrees).
+DEMO_KINDS = (("military", 0.60), ("diplomatic", 0.80), ("economic", 0.92), ("cyber", 1.0))
+DEMO_SEVERITIES = ((3, 0.35), (5, 0.65), (7, 0.88), (9, 1.0))
+DEMO_MEAN_AGE_S, DEMO_OLDEST_S = 180_000.0, 604_800.0
+DEMO_JITTER = 0.3
+FLIGHT_NEAR, FLIGHT_NOISE = 0.5, 0.01
+VOYAGE_NEAR, VOYAGE_NOISE = 0.1, 0.003
+#: Kilometres of a knot's hour and of a degree.
+KNOT_KM, DEGREE_KM = 1.852, 111.0
+
+# Seconds after which a feed without a new payload is stale.
+FEED_STALE_S = {"adsb": 90, "ais": 60, "tle": 25_200, "gnss": 90, "stream": 900}

@@ -1,4 +1,4 @@
-"""Labels, time lines, traces and generated rows."""
+"""Labels, time lines and traces."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from tidewatch.functions import geo as G
 from tidewatch.operators import outage
 from tidewatch.plans import substrate as S
 from tidewatch.plans.substrate import EV, SMP
-from tidewatch.sources import synthetic
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 
@@ -57,6 +56,4 @@ ENTRIES = {
         lambda s, d: S.events(s, d).select("id", F.round(G.heading((F.col("k") % 7 - 3).cast("double"), (F.col("k") % 5 - 2).cast("double")), 6).alias("heading")),
         f"WITH {EV}, h AS (SELECT id, degrees(atan2((k % 5 - 2)::DOUBLE, (k % 7 - 3)::DOUBLE)) + 360 AS x FROM ev) SELECT id, round(CASE WHEN x >= 360 THEN x - 360 ELSE x END, 6) AS heading FROM h",
     ),
-    "synthetic_events": (lambda s, d: synthetic.events(s, 1000, END), None),
-    "synthetic_bursts": (lambda s, d: synthetic.bursts(S.events(s, d).select("id")), None),
 }
