@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut
+from tidewatch.functions import values as V
+from tidewatch.session import cut, small
 
 
 def latest(events: DataFrame, limit: int = 50, event_type: str | None = None, after=None, before=None, min_reliability: int | None = None) -> DataFrame:
@@ -75,3 +76,24 @@ def currency(feeds: DataFrame, now: Column, fresh_s: int = 300, stale_s: int = 9
     age = F.unix_timestamp(now) - F.unix_timestamp("last_ts")
     n = feeds.select(age.alias("age")).agg(F.count("*").alias("feeds"), F.count_if(F.col("age") <= fresh_s).alias("fresh"), F.count_if(F.col("age") > stale_s).alias("stale"), F.count_if(F.col("age").isNull()).alias("silent"), F.max("age").alias("worst_age"))
     return n.withColumn("state", F.when(F.col("silent") == F.col("feeds"), "silent").when((F.col("stale") > 0) | (F.col("silent") > 0), "partial").otherwise("current"))
+
+
+def arrivals(polls: DataFrame) -> DataFrame:
+    """polls: feed, ts, id, payload (null: the poll failed). For each feed how many polls there were, how many failed, the newest good one and
+    when a payload last came that differs from the good one before it (null: never; the first one is no arrival).
+
+    By sums and extremes alone, so a feed of a third of all polls is no task's: what differs from the newest payload ends
+    with some poll, and the first good poll after that is the arrival."""
+    slim = polls.filter("feed is not null and ts is not null and id is not null").select("feed", F.struct("ts", "id").alias("at"), F.when(F.col("payload").isNotNull(), F.xxhash64("payload")).alias("hash"))
+    good = slim.filter("hash is not null")
+    all_ = slim.groupBy("feed").agg(F.count("*").alias("polls"), F.count_if(F.col("hash").isNull()).alias("failed"), F.max(F.when(F.col("hash").isNotNull(), F.col("at"))).alias("last"), F.max_by("hash", F.when(F.col("hash").isNotNull(), F.col("at"))).alias("held"))
+    other = good.join(small(all_.select("feed", "held")), "feed").filter("hash <> held").groupBy("feed").agg(F.max("at").alias("other"))
+    arrived = good.join(small(other), "feed").filter("at > other").groupBy("feed").agg(F.min("at.ts").alias("arrived_at"))
+    return all_.join(arrived, "feed", "left").select("feed", "polls", "failed", F.col("last.ts").alias("last_ts"), "arrived_at")
+
+
+def ages(arrived: DataFrame, now: Column) -> DataFrame:
+    """arrived with the age of the last arrival in seconds and whether a poll was missed since; both null where nothing came."""
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in V.FEED_STALE_S.items() for x in kv]), F.col("feed")), F.lit(V.FEED_STALE_S["stream"]))
+    age = (F.unix_micros(now) - F.unix_micros(F.col("arrived_at").cast("timestamp"))) / 1_000_000
+    return arrived.withColumn("age_s", age).withColumn("stale", age > limit)

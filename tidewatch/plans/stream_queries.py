@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import values as V
+from tidewatch.operators import feed
 from tidewatch.plans import substrate as S
 from tidewatch.session import shared_dir
 from tidewatch.streaming import pipelines
@@ -99,7 +101,45 @@ SELECT CAST(user_id AS VARCHAR) AS mmsi, max(epoch_us(ts)) AS last_us, arg_max(2
   arg_max(k + 5, n) FILTER (st) AS length, arg_max(CASE WHEN k % 5 > 0 THEN 'S' || k ELSE '' END, n) FILTER (st OR k % 5 > 0) AS name
 FROM m GROUP BY user_id HAVING count(*) FILTER (NOT st) > 0"""
 
+#: Event types as polled feeds; the others keep their names.
+FEEDS = {"click": "adsb", "view": "ais", "error": "gnss", "purchase": "tle"}
+
+
+def polls(events: DataFrame) -> DataFrame:
+    """Events as polls: every sixth k is a failed one, and payloads repeat."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    name = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in FEEDS.items()], F.col("event_type"))
+    return events.select(name.alias("feed"), "ts", F.col("event_id").alias("id"), F.when(k % 6 != 0, F.concat(F.lit('{"n": '), F.floor(k / 50).cast("string"), F.lit("}"))).alias("payload"))
+
+
+def aged(spark, d, arrived: DataFrame) -> DataFrame:
+    """arrived with ages at the newest event."""
+    end = F.broadcast(S.read(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("end")))  # one row
+    out = feed.ages(arrived.join(end), F.col("end"))
+    return out.select("feed", "polls", "failed", F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"), F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("arrived_us"), F.round("age_s", 6).alias("age_s"), "stale", *[c for c in ("late", "arrivals") if c in out.columns])
+
+
+def feed_arrivals(spark, d):
+    return aged(spark, d, feed.arrivals(polls(S.read(spark, d, "events"))))
+
+
+def stream_arrivals(spark, d, reports: list | None = None):
+    """The same by a stream with state, which counts arrivals too: the newest row of each feed."""
+    states = run(spark, d, lambda events: pipelines.arrivals(polls(events)), mode="update", reports=reports)
+    newest = states.groupBy("feed").agg(F.max_by(F.struct("polls", "failed", "late", "arrivals", "last_ts", "arrived_at"), "epoch").alias("r")).select("feed", "r.*")
+    return aged(spark, d, newest)
+
+
+ARRIVALS = f"""e AS (SELECT CASE event_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in FEEDS.items())} ELSE event_type END AS feed, ts, event_id AS id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+g AS (SELECT feed, ts, id, k // 50 AS p, lag(k // 50) OVER (PARTITION BY feed ORDER BY ts, id) AS q FROM e WHERE k % 6 <> 0),
+a AS (SELECT feed, max(epoch_us(ts)) AS last_us, max(epoch_us(ts)) FILTER (p <> q) AS arrived_us, count(*) FILTER (p <> q) AS arrivals FROM g GROUP BY 1),
+n AS (SELECT feed, count(*) AS polls, count(*) FILTER (k % 6 = 0) AS failed FROM e GROUP BY 1),
+o AS (SELECT feed, polls, failed, last_us, arrived_us, arrivals, ((SELECT max(epoch_us(ts)) FROM events) - arrived_us) / 1000000::DOUBLE AS age FROM n LEFT JOIN a USING (feed))"""
+LIMIT = f"CASE feed {' '.join(f'WHEN {k!r} THEN {v}' for k, v in V.FEED_STALE_S.items())} ELSE {V.FEED_STALE_S['stream']} END"
+
 ENTRIES = {
+    "feed_arrivals": (feed_arrivals, f"WITH {ARRIVALS} SELECT feed, polls, failed, last_us, arrived_us, round(age, 6) AS age_s, age > {LIMIT} AS stale FROM o"),
+    "stream_arrivals": (stream_arrivals, f"WITH {ARRIVALS} SELECT feed, polls, failed, last_us, arrived_us, round(age, 6) AS age_s, age > {LIMIT} AS stale, 0::BIGINT AS late, coalesce(arrivals, 0) AS arrivals FROM o"),
     "stream_vessels": (stream_vessels, VESSELS_SQL),
     "stream_dedup": (stream_dedup, "SELECT event_id, user_id, event_type FROM events"),
     "stream_tracks": (stream_tracks, TRACKS_SQL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,6 +135,48 @@ def vessels(messages: DataFrame, ttl_s: int = V.VESSEL_TTL_S, delay: str = "10 m
     return real.withWatermark("ts", delay).groupBy("mmsi").transformWithStateInPandas(VesselState(ttl_s), VESSEL_OUT, "Update", "EventTime")
 
 
+ARRIVAL = "polls long, failed long, late long, arrivals long, last_ts timestamp, last_id long, held long, arrived_at timestamp"
+ARRIVAL_OUT = f"feed string, {ARRIVAL}"
+
+
+class ArrivalState(StatefulProcessor):
+    """When a feed's payload last changed. held is the hash of the newest payload; the first one is no arrival, a poll that failed
+    (null hash) changes nothing, and one that comes later than a newer poll was counted is late and changes nothing either."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("arrival", ARRIVAL)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        polls, failed, late, arrivals, last_ts, last_id, held, stamp = self.state.get() if self.state.exists() else (0, 0, 0, 0, None, None, None, None)
+        batch = pd.concat(list(rows))
+        good = batch[batch["failed"] == 0].sort_values(["ts", "id"])
+        if last_ts is not None:
+            old = (good["ts"] < last_ts) | ((good["ts"] == last_ts) & (good["id"] <= last_id))
+            late += int(old.sum())
+            good = good[~old]
+        polls, failed = polls + len(batch), failed + int(batch["failed"].sum())
+        if len(good):
+            hashes = good["hash"].to_numpy()
+            changed = hashes != np.concatenate([[hashes[0] if held is None else held], hashes[:-1]])
+            arrivals += int(changed.sum())
+            if changed.any():
+                stamp = good["ts"].to_numpy()[changed][-1]
+            last_ts, last_id, held = good["ts"].iloc[-1], int(good["id"].iloc[-1]), int(hashes[-1])
+        stamp = None if stamp is None else pd.Timestamp(stamp)
+        now = (polls, failed, late, arrivals, last_ts, last_id, held, stamp)
+        self.state.update(now)
+        out = pd.DataFrame([[key[0], *now]], columns=[c.split()[0] for c in ARRIVAL_OUT.split(", ")], dtype=object)
+        yield out.astype(dict.fromkeys(("polls", "failed", "late", "arrivals"), "int64") | dict.fromkeys(("last_id", "held"), "Int64") | dict.fromkeys(("last_ts", "arrived_at"), "datetime64[us]"))
+
+
+def arrivals(polls: DataFrame) -> DataFrame:
+    """polls: feed, ts, id, payload (null: the poll failed). A row for each feed that a batch polled: how many polls there were so far and
+    when a payload came that differs from the one before it (null: never). Payloads are hashed where they are read; a feed's
+    part of one batch, 25 bytes a poll, is put in order in one task, so the trigger bounds it. Polls without a feed or a time are left out."""
+    slim = polls.filter("feed is not null and ts is not null and id is not null").select("feed", "ts", "id", F.xxhash64("payload").alias("hash"), F.col("payload").isNull().cast("int").alias("failed"))
+    return slim.groupBy("feed").transformWithStateInPandas(ArrivalState(), ARRIVAL_OUT, "Update", "None")
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, body: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> list[dict]:
     """Process everything that is there, then stop; what the batches report of themselves. Files are written exactly once; body replaces
     the file sink. States of several parts need the store that has column families, so it serves all streams here."""
