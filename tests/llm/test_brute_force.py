@@ -131,6 +131,40 @@ def test_scan_against_all_runs(scores):
     assert sum(scores[lo:hi]) == best and (best > 0) == (hi > lo)
 
 
+@settings(max_examples=200)
+@given(st.lists(st.integers(-6, 6), max_size=9))
+def test_the_runs_left_out_lose_least(scores):
+    def worth(stays):
+        runs = sum(not b and (i == 0 or stays[i - 1]) for i, b in enumerate(stays))
+        return sum(s for s, b in zip(scores, stays, strict=True) if b) - extraction.SWITCH * runs
+
+    got = extraction.cut_runs([float(s) for s in scores])
+    assert worth(got) == max(worth([bool(m >> i & 1) for i in range(len(scores))]) for m in range(1 << len(scores)))
+
+
+def test_scans_alone_choose_the_text(monkeypatch, data):
+    """On the given pages the region's scan decides every text; an advert inside the region falls to the second scan."""
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{data}/pages.parquet")
+    counts = extraction.learn(pages)
+    table = counts.assign(a=counts["n"] * counts["inside"]).groupby(["what", "kind"]).agg(a=("a", "sum"), n=("n", "sum"))
+    scores = {"word": {}, "name": {}, "block": {}, "tag": {}}
+    for (what, kind), r in table.iterrows():
+        scores[what][kind] = max(-3.0, min(3.0, math.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)))), int(r["n"])
+    want = [extraction.extract(h, scores) for h in pages["html"]]
+    advert = '<div class="ad"><p>Buy now and save</p></div>'
+    planted = [h.replace("</p>", "</p>" + advert, h.count("</p>") - 1) if "<article" in h else h for h in pages["html"]]
+    inner, outer = extraction.cut_runs, extraction.best_run
+    assert [extraction.extract(h, scores) for h in planted] == want
+    monkeypatch.setattr(extraction, "cut_runs", lambda z: [True] * len(z))
+    assert [extraction.extract(h, scores) for h in pages["html"]] == want
+    assert sum(extraction.extract(h, scores) == t for h, t in zip(planted, want, strict=True)) < len(want) / 2
+    monkeypatch.setattr(extraction, "best_run", lambda z: (0, len(z)))
+    assert not any(extraction.extract(h, scores) == t for h, t in zip(pages["html"], want, strict=True) if t)
+    assert inner is not extraction.cut_runs and outer is not extraction.best_run
+
+
 def page(rng, names, content="article"):
     words = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=n))
     nav, ad, foot = names

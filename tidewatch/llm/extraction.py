@@ -7,8 +7,10 @@ score depends on the kinds (element name and first class word) of the blocks aro
 the element's name alone where the kind was never seen, and the worst of the blocks around that; a tag's on its own
 kind. At most SAMPLE labelled pages are read for this. What was seen weighs against a prior of PRIOR words: kinds that
 the lists NEVER and NAMES call boilerplate, or that are hidden, start at -BOUND, others positive for words, negative for tags. So
-the lists speak only where the labelled pages don't. Inside an element that names the content, only kinds on the
-lists can score below zero. Blocks of the region that score below zero themselves are left out.
+the lists speak only where the labelled pages don't. Whether an article or main element is around is what the scores are learnt from,
+never a score. For the region a word counts zero at least, so an advert between paragraphs costs its tags, however long it is. What
+lies inside the region and is not of it is found by a second scan, over the region's blocks with all scores: it leaves out the
+runs of blocks that lose least, where each run costs SWITCH.
 
 The text: character references decoded, white space inside a block made one space, trimmed, blocks joined by one
 space. Defined cases: null or empty html gives empty text; text without any tag is content; very long pages are read
@@ -38,6 +40,8 @@ WORD, TAG = 1.0, -0.5
 BOUND, PRIOR = 3.0, 20.0
 #: What an element's name says of a kind never seen counts so much.
 NAME = 0.5
+#: What it costs to leave out a run of blocks: the prior of a tag.
+SWITCH = -TAG
 
 #: Elements by role.
 CONTENT = {"article", "main"}
@@ -69,18 +73,19 @@ def kind_of(name: str, attributes: str) -> str:
 
 
 #: The blocks around a text: kinds from the outermost to the nearest, after the last that names the content or the
-#: body; whether the text is in a link; whether it is inside an article or main element.
-Around = tuple[tuple[str, ...], bool, bool]
+#: body; whether the text is in a link.
+Around = tuple[tuple[str, ...], bool]
 
 
 def parts(page: str) -> Iterator[tuple[str, str | Around, str, bool, bool]]:
     """(what, kind, text, breaks, inside): tags (what = tag) and stretches of text (what = text, kind = the blocks around it)
-    in page order. breaks: a block starts or ends; inside: in an article or main element."""
+    in page order. breaks: a block starts or ends; inside: in an article or main element,
+    which is what the scores are learnt from; extraction doesn't look at it."""
     stack: list[tuple[str, str]] = []
 
     def around() -> Around:
         from_ = next((i + 1 for i in range(len(stack) - 1, -1, -1) if stack[i][0] in CONTENT or stack[i][0] in ("body", "html")), 0)
-        return tuple(k for n, k in stack[from_:] if n not in INLINE), any(n == "a" for n, _ in stack[-4:]), inside()
+        return tuple(k for n, k in stack[from_:] if n not in INLINE), any(n == "a" for n, _ in stack[-4:])
 
     def inside() -> bool:
         return any(n in CONTENT for n, _ in stack)
@@ -145,7 +150,7 @@ def learn(pages: pd.DataFrame) -> pd.DataFrame:
             if what == "tag":
                 seen["tag", kind, inside] += 1
                 continue
-            blocks, link, _ = kind
+            blocks, link = kind
             if n := len(text.split()):
                 seen["word", nearest(blocks, link), inside] += n
                 seen["name", name_of(nearest(blocks, link)), inside] += n
@@ -176,10 +181,8 @@ def shrunk(seen: tuple[float, int] | None, prior: float) -> float:
 
 def word_score(around: Around, scores: Scores) -> float:
     """The score of a word by the blocks around it."""
-    blocks, link, inside = around
+    blocks, link = around
     listed = [shrunk(scores["block"].get(k), -BOUND) for k in set(blocks) if k[0] == "!"]
-    if inside:
-        return min([BOUND, *listed])
     kind = nearest(blocks, link)
     own = shrunk(scores["word"].get(kind), NAME * shrunk(scores["name"].get(name_of(kind)), WORD))
     return min([own, *listed, *(x for k in set(blocks) if k[0] != "!" and (x := shrunk(scores["block"].get(k), 0.0)) < 0)])
@@ -197,38 +200,49 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def cut_runs(scores: list[float]) -> list[bool]:
+    """Which blocks of the region stay. The runs that are left out lose least in all, where each run costs SWITCH: one linear
+    scan with two states. Ties keep a block."""
+    keep, drop, came = 0.0, -math.inf, []
+    for score in scores:
+        came.append((drop > keep, drop >= keep - SWITCH))  # whether the best way to either state leads over a block left out
+        keep, drop = max(keep, drop) + score, max(drop, keep - SWITCH)
+    stays, kept = [], drop <= keep
+    for to_keep, to_drop in reversed(came):
+        stays.append(kept)
+        kept = not (to_keep if kept else to_drop)
+    return stays[::-1]
+
+
 def extract(page: str | None, scores: Scores) -> str:
     seq = list(parts(page or ""))
     known: dict[Around, float] = {}
-    if not any(x[0] == "tag" for x in seq):
-        region = (0, len(seq))
-        known = dict.fromkeys([x[1] for x in seq], WORD)
-    else:
-        each = []
-        for what, kind, text, _, _ in seq:
-            if what == "tag":
-                each.append(min(TAG / 10, shrunk(scores["tag"].get(kind), TAG)))
-            else:
-                if kind not in known:
-                    known[kind] = word_score(kind, scores)
-                each.append(len(text.split()) * known[kind])
-        region = best_run(each)
+    each = []
+    plain = not any(x[0] == "tag" for x in seq)
+    for what, kind, text, _, _ in seq:
+        if what == "tag":
+            each.append(min(TAG / 10, shrunk(scores["tag"].get(kind), TAG)))
+        else:
+            if kind not in known:
+                known[kind] = WORD if plain else word_score(kind, scores)
+            each.append(len(text.split()) * max(0.0, known[kind]))
+    lo, hi = best_run(each)
     # The region may begin or end inside a block: take in what the block holds besides.
-    lo, hi = region
     while 0 < lo < len(seq) and not seq[lo - 1][3]:
         lo -= 1
     while 0 < hi < len(seq) and not seq[hi][3]:
         hi += 1
-    blocks, now = [], []
+    # What lies in the region and is not of it (adverts between paragraphs) is found by a scan of its blocks.
+    blocks, losses = [[]], [0.0]
     for what, kind, text, breaks, _ in seq[lo:hi]:
         if what == "text":
-            if known[kind] > 0:
-                now.append(text)
+            blocks[-1].append(text)
+            losses[-1] += len(text.split()) * known[kind]
         elif breaks or kind == "br":
-            blocks.append("".join(now))
-            now = []
-    blocks.append("".join(now))
-    return " ".join(filter(None, (" ".join(html.unescape(b).split()) for b in blocks)))
+            blocks.append([])
+            losses.append(0.0)
+    kept = (" ".join(html.unescape("".join(b)).split()) for b, stays in zip(blocks, cut_runs(losses), strict=True) if stays)
+    return " ".join(filter(None, kept))
 
 
 def main_text(pages: DataFrame, scores: Scores | None = None) -> DataFrame:
