@@ -9,7 +9,7 @@ first. Neighbours are of like size, and what an early or late offset gains on th
 
 Defined cases: null text has size 0; a null source is a source of its own, ranked last; a source without words
 has target 0 and takes nothing; very long texts are counted whole; null doc_ids rank first among documents of their
-size; documents that tie in size stand by doc_id; repeated rows stand next to each other and take copies like any
+size, by the text's hash; documents that tie in size stand by doc_id; repeated rows stand next to each other and take copies like any
 others; an empty table gives an empty mix; extra columns are ignored by `mix` and kept by `mixed`.
 """
 
@@ -56,7 +56,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (words) for every row of docs; `more` names columns to carry."""
-    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALT)), F.lit(0)).cast("int").alias("salt"), *more))
+    salt = F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALT)), -1 - F.pmod(F.xxhash64("text"), F.lit(SALT))).cast("int")
+    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), salt.alias("salt"), *more))
     cells = cut(slim.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     goals = targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("documents")), weights, share, cap)
     steps = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))

@@ -9,7 +9,7 @@ pages is one anchor. Likeness is Dice's: twice the distinct anchors shared over
 Defined cases: a null text is empty and has the empty fingerprint; very long texts are read whole; a text shorter than K, or without anchors, is
 one anchor as a whole; two empty fingerprints are alike (1), an empty and another are not (0). A document's next is
 the one before it in ascending doc_id (the first's is the last); rows that share a doc_id stand in the order of
-their texts; null doc_ids come last in descending order; a single row is its own next; an empty table gives no rows; extra columns, whatever
+their texts; null doc_ids come last in descending order, by the hash of their texts; a single row is its own next; an empty table gives no rows; extra columns, whatever
 their names, are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import lean, partitions
-from tidewatch.llm.tokenfile import LOWEST, quantiles
+from tidewatch.llm.tokenfile import Ranges
 
 K, S = 32, 8
 _P, _ODD = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
@@ -100,17 +100,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Documents are dealt to ranges of doc_id. The largest doc_id of a range is also sent to the range above, whose
     last document it follows; so every task finds each document's successor by reading its rows in order."""
-    n = partitions(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    cuts = np.array(quantiles(docs.select(key.alias("key")), n), np.int64)
-    part = F.pandas_udf(lambda k: pd.Series(np.searchsorted(cuts, k.to_numpy(), "left").astype(np.int32)), "int")
-    heads = docs.select(part(key).alias("part"), key.alias("key")).groupBy("part").agg(F.max("key").alias("key"))
+    ranges = Ranges(docs, partitions(docs.sparkSession))
+    part = F.pandas_udf(lambda w, k: pd.Series(ranges.part(w.to_numpy(bool), k.to_numpy())), "int")
+    rows = docs.select(F.col("doc_id").isNull().alias("without"), Ranges.key().alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    heads = rows.select(part("without", "key").alias("part"), "without", "key").groupBy("part", "without").agg(F.max("key").alias("key"))
     down, everything = Window.orderBy(F.desc("part")), Window.partitionBy()
-    heads = heads.select("key", F.coalesce(F.lag("part").over(down), F.min("part").over(everything)).alias("part"))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ahead = rows.join(F.broadcast(heads), "key").select("part", F.lit(True).alias("ahead"), "key", "doc_id", "text")
-    dealt = rows.select(part("key").alias("part"), F.lit(False).alias("ahead"), "key", "doc_id", "text").unionByName(ahead)
-    ordered = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ahead", F.desc("key"), "text")
+    heads = heads.select("without", "key", F.coalesce(F.lag("part").over(down), F.min("part").over(everything)).alias("part"))
+    ahead = rows.join(F.broadcast(heads), ["without", "key"]).select("part", F.lit(True).alias("ahead"), "key", "doc_id", "text")
+    dealt = rows.select(part("without", "key").alias("part"), F.lit(False).alias("ahead"), "key", "doc_id", "text").unionByName(ahead)
+    ordered = dealt.repartitionById(ranges.n, F.col("part")).sortWithinPartitions("part", "ahead", F.desc("key"), "text")
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

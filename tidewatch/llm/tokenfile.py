@@ -13,7 +13,7 @@ approximate quantiles over all of them; a segment row names its range and its st
 total per range has to be summed over the ranges.
 
 Defined cases: null text is empty and has the end id alone; very long texts are encoded whole, and a segment holds
-one longer than it; null doc_id sorts first; rows that share a doc_id follow each other in the order of their ids, so
+one longer than it; null doc_ids sort first, by the text's hash; rows that share a doc_id follow each other in the order of their ids, so
 repeated rows tie without effect; an empty table gives no segments; extra columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import cut, lean, partitions
@@ -36,7 +36,6 @@ PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 SEGMENT = 1 << 18
 END = 2
 MAGIC = b"TWPF"
-LOWEST = -(2**63)
 
 
 def quantiles(keys: DataFrame, n: int) -> list[int]:
@@ -45,6 +44,28 @@ def quantiles(keys: DataFrame, n: int) -> list[int]:
     return sorted(set(got or []))
 
 
+class Ranges:
+    """n ranges of documents in ascending order of doc_id. Documents without one come first, in order of the text's hash, in as many
+    ranges as their share asks for, so they are dealt out like others (copies of one text without doc_id stay together)."""
+
+    def __init__(self, docs: DataFrame, n: int) -> None:
+        rows, none = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+        n = max(n, 2) if 0 < none < rows else n
+        self.first = min(max(1, round(n * none / rows)), n - (none < rows)) if none else 0
+        self.n = n
+        keys = lambda of, k: np.array(quantiles(docs.filter(of).select(self.key().alias("key")), k), np.int64)
+        self.none = keys(F.col("doc_id").isNull(), self.first) if none else np.array([], np.int64)
+        self.some = keys(F.col("doc_id").isNotNull(), n - self.first) if none < rows else np.array([], np.int64)
+
+    @staticmethod
+    def key() -> Column:
+        """A document's place among those with (or without) a doc_id."""
+        return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+    def part(self, without: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return np.where(without, np.searchsorted(self.none, key, "left"), self.first + np.searchsorted(self.some, key, "left")).astype(np.int32)
+
+
 _LENGTH = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
 
@@ -132,9 +153,7 @@ SEGMENTS = "part int, start_in_part long, doc_ids array<long>, counts array<int>
 
 def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END, added: bool = True) -> DataFrame:
     """Segments of the ids of docs, as a written table: part, start_in_part, doc_ids, counts, payload."""
-    n = partitions(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
-    cuts = np.array(quantiles(docs.select(key.alias("key")), n), np.int64)
+    ranges = Ranges(docs, partitions(docs.sparkSession))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean(keep="tokens")
@@ -145,7 +164,7 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END, adde
             for lo in range(0, batch.num_rows, 2000):
                 some = batch.slice(lo, 2000)
                 ids = [x.astype(kind).tobytes() + last for x in encode(some.column(2).to_pylist())]
-                part = np.searchsorted(cuts, some.column(1).to_numpy(), "left").astype(np.int32)
+                part = ranges.part(some.column(0).is_null().to_numpy(zero_copy_only=False), some.column(1).to_numpy())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part), some.column(1), some.column(0), pa.array([len(x) // wide for x in ids], pa.int32()), pa.array(ids, pa.binary())],
                     names=["part", "key", "doc_id", "count", "ids"],
@@ -184,8 +203,8 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END, adde
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(encoded, "part int, key long, doc_id long, count int, ids binary")
-    ordered = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "ids")
+    rows = docs.select(F.col("doc_id").cast("long"), Ranges.key().alias("key"), "text").mapInArrow(encoded, "part int, key long, doc_id long, count int, ids binary")
+    ordered = rows.repartitionById(ranges.n, F.col("part")).sortWithinPartitions("part", "key", "ids")
     return cut(ordered.mapInArrow(segments, SEGMENTS))
 
 
