@@ -35,6 +35,8 @@ BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 SEGMENT = 1 << 18
 END = 2
+#: Pieces that a worker remembers while it encodes; some 50 MB more than packing, which runs beside larger tables, allows itself.
+CACHE = 500_000
 MAGIC = b"TWPF"
 
 
@@ -157,8 +159,9 @@ def write(docs: DataFrame, path: str, spaced: bool = False, end: int = END, adde
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean(keep="tokens")
-        encode = encoder(path, spaced, added).encode
-        kind, wide = ("<u2", 2) if encoder(path, spaced, added).tokenizer.get_vocab_size() <= 65536 > end else ("<u4", 4)
+        own = encoder(path, spaced, added, CACHE)
+        encode = own.encode
+        kind, wide = ("<u2", 2) if own.tokenizer.get_vocab_size() <= 65536 > end else ("<u4", 4)
         last = np.array([end], kind).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):

@@ -49,8 +49,9 @@ class Encoder:
     """spaced: whether white space is part of the ids (byte-level tokenizers), or dropped. added: whether the name of
     an added token in a text stands for that token, as in the library's plain call, or is text like any other."""
 
-    def __init__(self, path: str, spaced: bool, added: bool = True):
+    def __init__(self, path: str, spaced: bool, added: bool = True, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.cache = cache
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,7 +73,7 @@ class Encoder:
     def thin(self) -> None:
         """Drop the pieces met but once; forget all if too many are left."""
         kept = np.flatnonzero(self.met > 1)
-        if len(kept) > CACHE // 2:
+        if len(kept) > self.cache // 2:
             self.forget()
             return
         names = list(self.number)
@@ -112,7 +113,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         all_, out = [t or "" for t in texts], []
         for a, b in runs(all_, RUN_CHARS):
-            if len(self.number) > CACHE:
+            if len(self.number) > self.cache:
                 self.thin()
             parts = [self.pieces(t) for t in all_[a:b]]
             whole = [i for i, p in enumerate(parts) if p is None]
@@ -140,14 +141,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool, int], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool, added: bool = True) -> Encoder:
+def encoder(path: str, spaced: bool, added: bool = True, cache: int = CACHE) -> Encoder:
     """One encoder for each worker process; tasks that it runs later find the pieces already met."""
-    if (path, spaced, added) not in _ENCODERS:
-        _ENCODERS[path, spaced, added] = Encoder(path, spaced, added)
-    return _ENCODERS[path, spaced, added]
+    if (path, spaced, added, cache) not in _ENCODERS:
+        _ENCODERS[path, spaced, added, cache] = Encoder(path, spaced, added, cache)
+    return _ENCODERS[path, spaced, added, cache]
 
 
 def release() -> None:
