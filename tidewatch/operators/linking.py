@@ -19,7 +19,8 @@ def near(probes: DataFrame, stored: DataFrame, window_s: int = V.DUP_WINDOW_S, r
 
     A binned join: probes look into three time bins and, if located, nine grid cells; each pair meets once. Rows of
     cells are half a degree of latitude high; their cells are one degree of longitude wide, four from 60 degrees on
-    (at least 50 km up to 83 degrees), and wrap around at the date line."""
+    (at least 50 km up to 83 degrees), and wrap around at the date line. Both sides are shuffled: files are too small a
+    measure of what they hold in memory to broadcast one of them by."""
 
     def column_of(lon: Column, cy: Column, step: int = 0) -> Column:
         width = F.when(F.abs(cy) >= 120, 4).otherwise(1)
@@ -38,7 +39,7 @@ def near(probes: DataFrame, stored: DataFrame, window_s: int = V.DUP_WINDOW_S, r
     close = F.when(F.col("p.located"), haversine(F.col("p.lat"), F.col("p.lon"), F.col("s.lat"), F.col("s.lon")) <= radius_km).otherwise(True)
     rule = (F.abs(F.col("p.us") - F.col("s.us")) <= window_s * 1_000_000) & close
     rule = rule & ((F.col("s.id") < F.col("p.id")) if earlier else (F.col("s.id") != F.col("p.id")))
-    return p.join(s, same).filter(rule).select(F.col("p.id").alias("probe_id"), F.col("s.id").alias("id"), F.col("s.ts").alias("ts"), F.col("p.located").alias("located"))
+    return p.join(s.hint("merge"), same).filter(rule).select(F.col("p.id").alias("probe_id"), F.col("s.id").alias("id"), F.col("s.ts").alias("ts"), F.col("p.located").alias("located"))
 
 
 def candidates(probes: DataFrame, stored: DataFrame, **how) -> DataFrame:
