@@ -66,11 +66,11 @@ def quoted(name: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def evidence_span(raw: Column, name: Column) -> Column:
-    """Where raw spells the location name, as raw has it; empty when no place is named or it is not spelled."""
+def evidence_span(raw: Column, name: Column, no_places=V.NOT_A_PLACE) -> Column:
+    """Where raw spells the location name, as raw has it; empty when no place is named (a name of no_places) or it is not spelled."""
     place = F.trim(F.coalesce(name, F.lit("")))
     found = F.call_function("regexp_extract", raw, F.concat(F.lit(r"(?iU)\b"), quoted(place), F.lit(r"\b")), F.lit(0))
-    return F.when(raw.isNull() | (raw == "") | F.lower(place).isin(*V.NOT_A_PLACE), F.lit("")).otherwise(found)
+    return F.when(raw.isNull() | (raw == "") | F.lower(place).isin(*no_places), F.lit("")).otherwise(found)
 
 
 def strip_reply(reply: Column) -> Column:

@@ -60,9 +60,9 @@ def add_columns(events: DataFrame, wanted: dict[str, tuple[str, object]]) -> Dat
     return events.select("*", *[F.lit(d).cast(t).alias(c) for c, (t, d) in wanted.items() if c not in events.columns])
 
 
-def repair_spans(events: DataFrame) -> DataFrame:
-    """Evidence spans where nobody looked yet (null); found and empty spans are never rewritten."""
-    return events.withColumn("evidence_span", F.coalesce("evidence_span", T.evidence_span(F.col("raw_text"), F.col("location_name"))))
+def repair_spans(events: DataFrame, no_places=V.NOT_A_PLACE) -> DataFrame:
+    """Evidence spans where nobody looked yet (null); found and empty spans are never rewritten. no_places: names that stand for no place."""
+    return events.withColumn("evidence_span", F.coalesce("evidence_span", T.evidence_span(F.col("raw_text"), F.col("location_name"), no_places)))
 
 
 def heal(old: DataFrame, fresh: DataFrame) -> DataFrame:
