@@ -21,12 +21,18 @@ def voted_tiers(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.groupBy("lat", "lon").agg(F.min_by("tier", tier_rank(F.col("tier"))).alias("tier"))
 
 
-def longest_contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """id and the longest key that text contains as whole words (ties: smallest pos). texts: id, text; keys: key, pos.
+#: Characters of words: those of any script, or of ASCII alone, where any other letter ends a word.
+UNICODE, ASCII = r"\p{L}\p{N}_", "A-Za-z0-9_"
+
+
+def longest_contained(texts: DataFrame, keys: DataFrame, letters: str = UNICODE) -> DataFrame:
+    """id and the longest key that text contains as whole words (ties: smallest pos). texts: id, text; keys: key, pos. letters: what words
+    are made of.
 
     Single words and pairs of neighbouring words of the texts, without the texts, meet the first one or two words of the
     keys in an equi-join; only the texts and keys that share such a beginning are looked at."""
-    word = r"[^\p{L}\p{N}_]+"
+    word = f"[^{letters}]+"
+    edge = r"(?U)\b" if letters == UNICODE else f"(?:(?<=[{letters}])(?![{letters}])|(?<![{letters}])(?=[{letters}]))"
     listed = lambda c: F.filter(F.split(c, word), lambda w: w != "")
     pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
     k = keys.select(F.lower("key").alias("key"), "pos").withColumn("w", listed(F.col("key"))).filter(F.size("w") > 0)
@@ -36,7 +42,7 @@ def longest_contained(texts: DataFrame, keys: DataFrame) -> DataFrame:
     words = t.select("id", listed(F.col("low")).alias("w"))
     starts = F.concat(F.col("w"), pairs(F.col("w"))) if single else pairs(F.col("w"))
     met = words.select("id", F.explode(F.array_distinct(starts)).alias("start")).join(small(k.drop("n")), "start").select(F.col("id").alias("_id"), "key", "pos")
-    hit = F.contains("low", F.col("key")) & F.rlike("low", F.concat(F.lit(r"(?U)\b"), quoted(F.col("key")), F.lit(r"\b")))
+    hit = F.contains("low", F.col("key")) & F.rlike("low", F.concat(F.lit(edge), quoted(F.col("key")), F.lit(edge.removeprefix("(?U)"))))
     found = t.join(met, F.col("id").eqNullSafe(F.col("_id"))).filter(hit)
     return found.groupBy("id").agg(F.max_by("key", F.struct(F.length("key"), -F.col("pos"))).alias("key"))
 
@@ -59,7 +65,7 @@ def spelled(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return both.select("id", "pos", evidence_span(F.col("text"), F.col("key")).alias("span")).filter("span <> ''")
 
 
-def resolve(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def resolve(names: DataFrame, gazetteer: DataFrame, letters: str = UNICODE) -> DataFrame:
     """id, lat, lon, precision, uncertainty_m, method for names (id, name): exact in the directional table, exact in
     the known one, else the longest known and then directional key contained in the name, one tier coarser. Names
     of no place resolve to nothing."""
@@ -73,7 +79,7 @@ def resolve(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
         return asked.join(g.filter(F.col("kind") == kind).select("key", *fields), "key").select("id", *fields, F.lit(method).alias("method"), F.lit(order).alias("o"))
 
     def contained(kind: str, order: int) -> DataFrame:
-        hit = longest_contained(asked.select("id", F.col("key").alias("text")), g.filter(F.col("kind") == kind).select("key", "pos"))
+        hit = longest_contained(asked.select("id", F.col("key").alias("text")), g.filter(F.col("kind") == kind).select("key", "pos"), letters)
         rows = hit.join(g.filter(F.col("kind") == kind).select("key", *fields), "key")
         return rows.select("id", "lat", "lon", coarser(F.col("tier")).alias("tier"), "uncertainty_m", F.lit("partial").alias("method"), F.lit(order).alias("o"))
 
