@@ -7,9 +7,15 @@ A place is (start of the split, row in its task); rows between the two places ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of lines that one file of a dump holds, about.
+FILE_BYTES = 64 << 20
 #: Escapes of the format, in both directions.
 ESCAPES = (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\v"))
 
@@ -70,9 +76,17 @@ def copy_lines(rows: DataFrame, order: str) -> DataFrame:
     return rows.select(F.col(order).alias("at"), F.concat_ws("\t", *[escape(F.col(c).cast("string")) for c in rows.columns]).alias("line"))
 
 
-def write_blocks(lines: DataFrame, columns: list[str], path: str, table: str, files: int = 4) -> None:
-    """lines (at, line) as COPY blocks, a file per range of `at`, each with its header and end."""
-    dealt = lines.repartitionByRange(files, "at").select(F.spark_partition_id().alias("part"), F.lit(1).alias("kind"), "at", F.col("line").alias("value"))
-    marks = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in ((0, f"COPY {table} ({', '.join(columns)}) FROM stdin;"), (2, "\\."))])
-    edges = lines.sparkSession.range(files).select(F.col("id").cast("int").alias("part"), F.explode(marks).alias("m")).select("part", "m.kind", F.lit(None).cast(lines.schema["at"].dataType).alias("at"), "m.value")
-    dealt.unionByName(edges).repartition(files, "part").sortWithinPartitions("part", "kind", "at").select("part", "value").write.partitionBy("part").text(path)
+def write_blocks(lines: DataFrame, columns: list[str], path: str, table: str, files: int | None = None) -> None:
+    """lines (at, line) as COPY blocks, a file per range of `at`, each with its header and end. files: as many as there are FILE_BYTES of
+    lines, four at least, so no task gets a larger share as the table grows. Lines are moved once."""
+    if files is None:
+        files = max(4, ceil((lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0) / FILE_BYTES))
+    head, end = f"COPY {table} ({', '.join(columns)}) FROM stdin;", "\\."
+
+    def block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"value": [head]})
+        for part in parts:
+            yield pa.record_batch({"value": part.column("line")})
+        yield pa.record_batch({"value": [end]})
+
+    lines.repartitionByRange(files, "at").sortWithinPartitions("at").select("line").mapInArrow(block, "value string").write.text(path)
