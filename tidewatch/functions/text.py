@@ -138,26 +138,42 @@ def toll_bucket(text: Column) -> Column:
     """How a text states a death toll: by one of the counting phrases (the first that fits), near a number in Arabic, of
     one described person, as zero, as not yet published, by the wounded alone, or not at all (none; null text: null).
 
-    That nobody was killed is a measurement; that no deaths were announced is none."""
-    low = F.lower(text)
-    english = any_of(low, V.TOLL_WORDS)
-    out = F.when(text.isNull() | (text == ""), F.lit(None))
-    for name, pattern in V.TOLL_COUNTS.items():
-        out = out.when(english & text.rlike(pattern), F.lit(name))
-    out = out.when(text.rlike(V.TOLL_ARABIC), F.lit("arabic"))
-    for name, pattern in (("singular", V.TOLL_SINGULAR), ("zero", V.TOLL_ZERO), ("zero_unpublished", V.TOLL_UNPUBLISHED)):
-        out = out.when(english & text.rlike(pattern), F.lit(name))
-    return out.when(text.rlike(V.TOLL_WOUNDED), F.lit("wounded")).otherwise(F.lit("none"))
+    That nobody was killed is a measurement; that no deaths were announced is none. Patterns are looked for only in texts that have a
+    stem of theirs."""
 
+    def of(low: Column) -> Column:
+        return once(any_of(low, V.TOLL_WORDS), lambda english: bucket(low, english))
 
-def toll_count(text: Column) -> Column:
-    """The stated number of deaths: that of the counting phrase, 0 when it is said that there were none; else null."""
+    def bucket(low: Column, english: Column) -> Column:
+        out = F.when(text == "", F.lit(None))
+        for name, pattern in V.TOLL_COUNTS.items():
+            out = out.when(english & text.rlike(pattern), F.lit(name))
+        out = out.when(any_of(text, V.TOLL_ARABIC_STEMS) & text.rlike(V.TOLL_ARABIC), F.lit("arabic"))
+        for name, pattern in (("singular", V.TOLL_SINGULAR), ("zero", V.TOLL_ZERO), ("zero_unpublished", V.TOLL_UNPUBLISHED)):
+            out = out.when(english & text.rlike(pattern), F.lit(name))
+        return out.when(any_of(low, V.TOLL_WOUNDED_STEMS) & text.rlike(V.TOLL_WOUNDED), F.lit("wounded")).otherwise(F.lit("none"))
+
+    return F.when(text.isNotNull(), once(F.lower(text), of))
+
+
+def toll(text: Column) -> Column:
+    """bucket (toll_bucket, found once) and count: the stated number of deaths, that of the counting phrase, 0 when it is said that
+    there were none; else null."""
     spelled = F.create_map(*[x for word, n in V.NUMERALS.items() for x in (F.lit(word), F.lit(n))])
-    out, bucket = F.lit(None).cast("int"), toll_bucket(text)
-    for name, pattern in V.TOLL_COUNTS.items():
-        found = F.lower(F.regexp_extract(text, pattern, 1))
-        out = F.when(bucket == name, F.coalesce(F.replace(found, F.lit(",")).try_cast("int"), F.try_element_at(spelled, found))).otherwise(out)
-    return F.when(bucket == "zero", 0).when(bucket == "singular", 1).otherwise(out)
+
+    def counted(bucket: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for name, pattern in V.TOLL_COUNTS.items():
+            found = F.lower(F.regexp_extract(text, pattern, 1))
+            out = F.when(bucket == name, F.coalesce(F.replace(found, F.lit(",")).try_cast("int"), F.try_element_at(spelled, found))).otherwise(out)
+        return F.struct(bucket.alias("bucket"), F.when(bucket == "zero", 0).when(bucket == "singular", 1).otherwise(out).alias("count"))
+
+    return once(toll_bucket(text), counted)
+
+
+def toll_count(text: Column) -> Column:
+    """The stated number of deaths (see toll)."""
+    return toll(text)["count"]
 
 
 def flags(text: Column) -> Column:

@@ -107,6 +107,9 @@ _UNPUBLISHED = r"(?:\w+\s+){0,3}?(?:announced|reported|confirmed|released|publis
 TOLL_ZERO = rf"(?iU)\b(?:{_ZERO})(?!\s+{_UNPUBLISHED})"
 TOLL_UNPUBLISHED = rf"(?iU)\b(?:{_ZERO})\s+{_UNPUBLISHED}|\bno\s+(?:one|body)\s+(?:was\s+|were\s+|has\s+been\s+)?reported\s+(?:killed|dead|martyred)\b"
 TOLL_WOUNDED = r"(?iU)\b(?:wounded|injur\w+|hospitali[sz]\w+|casualt\w+|missing)\b"
+# What a text of the wounded cannot do without: a stem in lower case, or a letter that patterns take for s or i.
+TOLL_WOUNDED_STEMS = ("wounded", "injur", "hospitali", "casualt", "missing", "ſ", "ı", "\u0307")
+TOLL_ARABIC_STEMS = ("قتل", "قتيل", "شهيد", "شهداء", "استشه", "وفاة", "وفيات")
 _AR_KILL = "(?:قتل|قتلى|قتيل|شهيد|شهداء|استشه|مقتل|وفاة|وفيات)"
 _AR_NUM = "(?:[0-9٠-٩][0-9٠-٩,]{0,6})"
 TOLL_ARABIC = rf"{_AR_KILL}[^.\n]{{0,30}}?{_AR_NUM}|{_AR_NUM}[^.\n]{{0,30}}?{_AR_KILL}"

@@ -91,7 +91,7 @@ SELECT a, b, (SELECT count(*) FROM i x JOIN i y ON x.m = y.m WHERE x.channel = a
         f"""WITH {EV}, p AS (SELECT CASE WHEN k % 5 = 0 THEN NULL ELSE -25.0::DOUBLE + (k % 4) * (k % 3) / 100.0::DOUBLE END AS lat, CASE WHEN k % 5 = 0 THEN NULL ELSE 80.0::DOUBLE + (k % 3) * 0.5::DOUBLE END AS lon FROM ev), g AS (SELECT lat, abs(lat + 25.0::DOUBLE) AS y, abs(lon - 80.0::DOUBLE) AS x FROM p)
 SELECT count(*) AS rows, count(lat) AS located, count(*) FILTER (greatest(x, y) = 0) AS exact, count(*) FILTER (greatest(x, y) > 0 AND greatest(x, y) <= 0.01::DOUBLE) AS near, count(*) FILTER (greatest(x, y) > 0.01::DOUBLE AND greatest(x, y) <= 1) AS band, count(*) FILTER ((y = 0) <> (x = 0)) AS half FROM g""",
     ),
-    "toll_buckets": (lambda s, d: S.messages(s, d).groupBy("channel", T.toll_bucket(F.col("text")).alias("bucket")).agg(F.count("*").alias("n"), F.sum(T.toll_count(F.col("text"))).alias("stated")), None),
+    "toll_buckets": (lambda s, d: S.texts(s, d).select("channel", T.toll(F.col("text")).alias("t")).groupBy("channel", F.col("t.bucket").alias("bucket")).agg(F.count("*").alias("n"), F.sum("t.count").alias("stated")), None),
     "latency_summary": (
         lambda s, d: archive.latency(S.events(s, d), "event_type", "value"),
         f"WITH {EV}, r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ev) SELECT event_type, max(n) AS n, max(value) FILTER (i = n // 2 + 1) AS median, max(value) FILTER (i = least(n * 95 // 100, n - 1) + 1) AS p95, max(value) AS largest FROM r GROUP BY 1",

@@ -42,7 +42,8 @@ def bucketed(s, d):
 def toll_samples(s, d):
     """Twenty texts of each way to state a toll, with what stands around the first word that hints at one."""
     hint = "(?i)" + "|".join(V.TOLL_WORDS)
-    rows = S.messages(s, d).select("id", T.toll_bucket(F.col("text")).alias("bucket"), T.window_of(F.col("text"), hint).alias("excerpt"))
+    excerpt = F.when(T.once(F.lower("text"), lambda low: T.any_of(low, V.TOLL_WORDS)), T.window_of(F.col("text"), hint))
+    rows = S.texts(s, d).select("id", T.toll_bucket(F.col("text")).alias("bucket"), excerpt.alias("excerpt"))
     return archive.bottom_k(rows, "bucket", "id", 20)
 
 

@@ -165,11 +165,11 @@ ENTRIES = {
         f"WITH {REP}, f AS (SELECT event_id, channel, min(seq) AS seq FROM rep WHERE channel <> '' GROUP BY 1, 2) SELECT e.event_id, coalesce(string_agg(channel, ', ' ORDER BY f.seq), '') AS channels FROM (SELECT DISTINCT event_id FROM rep) e LEFT JOIN f ON f.event_id = e.event_id GROUP BY e.event_id",
     ),
     "evidence_span": (
-        lambda s, d: places.spelled(S.messages(s, d).select("id", "text"), phrases(s, d)),
+        lambda s, d: places.spelled(S.texts(s, d).select("id", "text"), phrases(s, d)),
         f"WITH {PHR}, hit AS (SELECT doc_id AS id, pos, CASE WHEN {NEAR} THEN regexp_extract(text, {SPELLED}, 1) ELSE '' END AS span FROM documents, phr) SELECT id, pos, span FROM hit WHERE span <> ''",
     ),
     "evidence_hits": (
-        lambda s, d: places.spelled(S.messages(s, d).select("id", "text"), phrases(s, d)).groupBy("id").agg(F.count("*").alias("spans"), F.countDistinct("pos").alias("phrases")),
+        lambda s, d: places.spelled(S.texts(s, d).select("id", "text"), phrases(s, d)).groupBy("id").agg(F.count("*").alias("spans"), F.countDistinct("pos").alias("phrases")),
         f"WITH {PHR}, hit AS (SELECT doc_id AS id, pos, CASE WHEN {NEAR} THEN regexp_extract(text, {SPELLED}, 1) ELSE '' END AS span FROM documents, phr) SELECT id, count(*) AS spans, count(DISTINCT pos) AS phrases FROM hit WHERE span <> '' GROUP BY id",
     ),
     "severity_trend": (

@@ -51,6 +51,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text and channel of messages: documents alone, which no join moves."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("channel"))
+
+
 MSG = """msg AS (SELECT d.doc_id AS id, TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) AS ts, lang AS event_type, text, source AS channel, 1 + 4 * q.quality AS severity,
   CASE WHEN d.doc_id % 11 <> 0 THEN CAST(1 + d.doc_id % 5 AS INT) END AS reliability, CASE WHEN d.doc_id % 7 = 0 THEN 'parse_failed' ELSE 'ok' END AS status
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q ON q.doc_id = d.doc_id)"""
