@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,14 @@ def counted(events: DataFrame, key: str, size: str, slide: str | None = None, de
     return events.withWatermark("ts", delay).groupBy(F.window("ts", size, slide or size), key).agg(F.count("*").alias("n"))
 
 
+def in_order(batches: Iterator[pd.DataFrame]) -> dict[str, list]:
+    """A key's rows as lists by column, in order of (ts, id): a key has few rows, and frames cost more than rows."""
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    order = np.lexsort((rows["id"].to_numpy(), rows["ts"].to_numpy()))
+    return {c: rows[c].iloc[order].tolist() for c in rows.columns}
+
+
 TRACK_OUT = "entity long, ts timestamp, id long, lat double, lon double"
 TRACK_STATE = "lat double, lon double, last_us long"
 
@@ -45,18 +54,19 @@ def tracked(points: DataFrame, ttl_s: int = V.TRACK_TTL_S, delay: str = "10 minu
             state.remove()
             return
         lat, lon, last = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        rows = in_order(batches)
         out = []
-        for r in rows.itertuples(index=False):
-            us = int(r.ts.timestamp() * 1_000_000)
-            if (lat, lon) != (r.lat, r.lon) or us - last > ttl_s * 1_000_000:
-                out.append((key[0], r.ts, r.id, r.lat, r.lon))
-                lat, lon, last = r.lat, r.lon, us
+        for ts, id_, y, x in zip(*(rows[c] for c in ("ts", "id", "lat", "lon")), strict=True):
+            us = ts.value // 1000
+            if (lat, lon) != (y, x) or us - last > ttl_s * 1_000_000:
+                out.append((key[0], ts, id_, y, x))
+                lat, lon, last = y, x, us
         state.update((lat, lon, last))
         due = last // 1000 + ttl_s * 1000
         if due > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["entity", "ts", "id", "lat", "lon"])
+        if out:
+            yield pd.DataFrame(out, columns=["entity", "ts", "id", "lat", "lon"])
 
     return points.withWatermark("ts", delay).groupBy("entity").applyInPandasWithState(step, TRACK_OUT, TRACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -65,6 +75,7 @@ VESSEL = "lat double, lon double, sog double, true_heading double, cog double, n
 STATIC = "type int, destination string, length int"
 SEEN = "ts timestamp, seen timestamp, placed boolean"
 VESSEL_OUT = f"mmsi string, last_ts timestamp, seen timestamp, {VESSEL}, {STATIC}, name string, expired boolean"
+VESSEL_KINDS = [c.split() for c in VESSEL_OUT.split(", ")]
 
 
 class VesselState(StatefulProcessor):
@@ -82,9 +93,13 @@ class VesselState(StatefulProcessor):
         self.place, self.static, self.name, self.times = (handle.getValueState(n, t) for n, t in (("place", VESSEL), ("static", STATIC), ("name", "name string"), ("times", SEEN)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = [list(x.get()) if x.exists() else None for x in (self.place, self.static, self.name, self.times)]
+        states = (self.place, self.static, self.name, self.times)
+        held = [x and list(x) for x in (state.get() for state in states)] if self.times.exists() else [None] * 4  # times is there whenever another is
+        were = [x and list(x) for x in held]
         before = held[3] and held[3][1]
-        for r in pd.concat(list(rows)).sort_values(["ts", "id"]).itertuples(index=False):
+        batch = in_order(rows)
+        message = namedtuple("message", batch)
+        for r in map(message, *batch.values()):
             if held[3] and r.ts - pd.Timestamp(held[3][1]) > self.ttl:
                 held = [None] * 4
             placed = bool(held[3] and held[3][2])
@@ -97,14 +112,15 @@ class VesselState(StatefulProcessor):
                 held[1] = self.newer(held[1], [r.type, r.destination, sum(0 if pd.isna(x) else x for x in (r.dim_a, r.dim_b))])
                 held[2] = [r.ship_name or ""]
                 held[3] = [r.ts, held[3][1] if placed else r.ts, placed]
-        for state, value in zip((self.place, self.static, self.name, self.times), held, strict=True):
-            if value is None:
+        for state, value, was in zip(states, held, were, strict=True):
+            if value is None and was is not None:
                 state.clear()
-            else:
+            elif value is not None and value != was:
                 state.update(tuple(value))
-        if before is not None and before != held[3][1]:
-            self.handle.deleteTimer(self.due(before))
-        self.handle.registerTimer(self.due(held[3][1]))
+        if before != held[3][1]:
+            if before is not None:
+                self.handle.deleteTimer(self.due(before))
+            self.handle.registerTimer(self.due(held[3][1]))
         yield self.row(key, held, False)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -124,8 +140,16 @@ class VesselState(StatefulProcessor):
     def row(key: tuple, held: list, expired: bool) -> pd.DataFrame:
         place, static, name, times = held
         values = [key[0], times[0], times[1], *(place or [None] * 6), *(static or [None] * 3), name[0] if name else None, expired]
-        out = pd.DataFrame([values], columns=[c.split()[0] for c in VESSEL_OUT.split(", ")], dtype=object)
-        return out.astype({c: "Int32" for c in ("nav_status", "type", "length")} | {c: "float64" for c in ("lat", "lon", "sog", "true_heading", "cog")} | {"expired": bool, "last_ts": "datetime64[us]", "seen": "datetime64[us]"})
+        return pd.DataFrame({c: VesselState.column(kind, x) for (c, kind), x in zip(VESSEL_KINDS, values, strict=True)})
+
+    @staticmethod
+    def column(kind: str, value):
+        """A column of one value: made with its type, as casts of a frame cost more than all else."""
+        if kind == "int":
+            return pd.array([None if pd.isna(value) else int(value)], "Int32")
+        if kind == "double":
+            return np.array([np.nan if value is None else value], "float64")
+        return np.array([pd.Timestamp(value).to_datetime64()], "datetime64[us]") if kind == "timestamp" else [value]
 
 
 def vessels(messages: DataFrame, ttl_s: int = V.VESSEL_TTL_S, delay: str = "10 minutes") -> DataFrame:
