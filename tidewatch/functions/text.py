@@ -14,6 +14,11 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 2))
 
 
+def places_of(words: Column) -> Column:
+    """The distinct places, of 65,536, that the words of a set fall into: a sign of two bytes a word."""
+    return F.array_distinct(F.transform(words, lambda w: (F.hash(w).bitwiseAND(F.lit(0xFFFF)) - 32768).cast("short")))
+
+
 def similar(a: Column, b: Column) -> Column:
     """Jaccard similarity strictly above 0.4, on integers; an empty side is like nothing."""
     return 5 * F.size(F.array_intersect(a, b)) > 2 * F.size(F.array_union(a, b))

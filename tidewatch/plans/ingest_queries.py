@@ -18,19 +18,17 @@ CUTOFF = "2024-01-01 02:00:00"
 STEPS = 3
 
 
-def arrivals(log: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of the log with what was read out of them."""
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read out of the messages, by message_id."""
     read = S.messages(spark, sf_dir).select(F.col("id").alias("message_id"), "event_type", "lat", "lon", F.col("severity").cast("int").alias("severity"), "reliability", "status")
-    return log.join(read, "message_id", "left").select(
-        F.col("offset").alias("id"), "channel", "message_id", "text", F.col("seen").alias("ts"), "event_type", "lat", "lon", "severity", "reliability", "status", F.lit(None).cast("int").alias("killed_reported")
-    )
+    return read.withColumn("killed_reported", F.lit(None).cast("int"))
 
 
 def run(spark: SparkSession, sf_dir: str) -> ingest.Store:
     """Messages land in steps by doc_id; each later step sends a third of all earlier ones again. Each step is a start from the stream's checkpoint."""
     base = f"{shared_dir(spark)}/ingest/{uuid.uuid4().hex}"
     spark.dataSource.register(messages.Messages)
-    docs = S.messages(spark, sf_dir).select("id", "channel", F.col("id").alias("message_id"), F.col("ts").cast("timestamp").alias("seen"), "text")
+    docs = S.texts(spark, sf_dir).select("id", "channel", F.col("id").alias("message_id"), S.said(F.col("id")).cast("timestamp").alias("seen"), "text")
     lo, hi = docs.agg(F.min("id"), F.max("id")).first()
     cuts = [lo + (hi - lo + 1) * i // STEPS for i in range(STEPS + 1)] if lo is not None else []
     store, next_ = ingest.Store(spark, f"{base}/store"), 0
@@ -38,7 +36,8 @@ def run(spark: SparkSession, sf_dir: str) -> ingest.Store:
         new, again = docs.filter(F.col("id").between(cuts[i], cuts[i + 1] - 1)), docs.filter(f"id < {cuts[i]} and id % 3 = 0 and channel is not null")
         next_ = messages.land(again.unionByName(new), f"{base}/log", next_)
         log = spark.readStream.format("message_log").option("path", f"{base}/log").load()
-        pipelines.run_available(arrivals(log, spark, sf_dir), "", f"{base}/checkpoint", ingest.ingest(store, CUTOFF))
+        landed = log.select(F.col("offset").alias("id"), "channel", "message_id", "text", F.col("seen").alias("ts"))
+        pipelines.run_available(landed, "", f"{base}/checkpoint", ingest.ingest(store, CUTOFF, readings(spark, sf_dir)))
     return store
 
 

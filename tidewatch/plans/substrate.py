@@ -3,7 +3,7 @@ arithmetic only, so that any engine derives the same. Each view has its SQL twin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,13 +40,18 @@ EV = """ev AS (SELECT event_id AS id, ts, event_type, user_id, value, k,
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
 
 
+def said(number: Column) -> Column:
+    """When the message of that number was said: one a minute."""
+    return F.timestamp_seconds(1_704_067_200 + 60 * number)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as unlocated messages, one a minute, typed by language; severity from labels, null where unlabelled."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     null = F.lit(None).cast("double")
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.timestamp_seconds(1_704_067_200 + 60 * F.col("doc_id")).alias("ts"), F.col("lang").alias("event_type"), "text", F.col("source").alias("channel"), null.alias("lat"), null.alias("lon"),
+        F.col("doc_id").alias("id"), said(F.col("doc_id")).alias("ts"), F.col("lang").alias("event_type"), "text", F.col("source").alias("channel"), null.alias("lat"), null.alias("lon"),
         (1 + 4 * F.col("quality")).alias("severity"), F.when(F.col("doc_id") % 11 != 0, (1 + F.col("doc_id") % 5).cast("int")).alias("reliability"), F.when(F.col("doc_id") % 7 == 0, "parse_failed").otherwise("ok").alias("status"),
     )
 

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tidewatch.session import cut
-
 #: Messages of one partition at most.
 PART = 50_000
 BATCH = 5_000
@@ -135,23 +133,35 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 def land(messages: DataFrame, path: str, first: int = 0, order: str = "id") -> int:
     """Append messages (channel, message_id, seen, text) in the given order to the log, numbered from `first`; the next free number.
 
-    Each range of the order is a segment, written by a task; numbers come from the rows of the ranges before."""
-    kept = messages.withColumn("line", F.to_json(F.struct("channel", "message_id", F.unix_timestamp("seen").alias("seen"), "text")))
-    rows = cut(kept.repartitionByRange(order).withColumn("part", F.spark_partition_id()).select("part", order, "line"))
-    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # a row per task
+    Each range of the order is a segment, written by a task; numbers come from the rows of the ranges before. Ranges are cut and counted
+    by the order alone, so texts move once, to the task that writes them."""
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = messages.select(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    ends = sorted(set(places or []))
+    part = F.lit(0)
+    for i, end in enumerate(ends):  # a bound per task
+        part = F.when(F.col(order) > F.lit(end), i + 1).otherwise(part)
+    sizes = {r["part"]: r["count"] for r in messages.groupBy(part.alias("part")).count().collect()}  # a row per task
     starts, next_ = {}, first
     for p in sorted(sizes):
         starts[p], next_ = next_, next_ + sizes[p]
 
-    def segment(key: tuple, lines: pa.Table) -> pa.Table:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, folder = opened(path)
-        at.create_dir(folder)
-        hidden = f"{folder}/.{uuid.uuid4().hex}"
-        with at.open_output_stream(hidden) as f:
-            for x in lines.sort_by(order).column("line").to_pylist():
+        own = f = None
+        for lines in batches:
+            if own is None and lines.num_rows:
+                at.create_dir(folder)
+                own, hidden = lines.column("part")[0].as_py(), f"{folder}/.{uuid.uuid4().hex}"
+                f = at.open_output_stream(hidden)
+            for x in lines.column("line").to_pylist():
                 f.write(x.encode() + b"\n")
-        at.move(hidden, f"{folder}/{starts[key[0].as_py()]}.jsonl")
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32())})
-
-    assert rows.groupBy("part").applyInArrow(segment, "part int").count() == len(sizes)
+        if f:
+            f.close()
+            at.move(hidden, f"{folder}/{starts[own]}.jsonl")
+            yield pa.record_batch({"part": pa.array([own], pa.int32())})
+
+    rows = messages.select(part.alias("part"), order, F.to_json(F.struct("channel", "message_id", F.unix_timestamp("seen").alias("seen"), "text")).alias("line"))
+    ranges = rows.repartitionById(len(ends) + 1, F.col("part")).sortWithinPartitions(order)
+    assert ranges.mapInArrow(segments, "part int").count() == len(sizes)
     return next_
