@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import values as V
 from tidewatch.functions.geo import TIERS, coarser
-from tidewatch.functions.text import evidence_span, quoted
+from tidewatch.functions.text import any_of, evidence_span, once, quoted
 from tidewatch.session import cut, small
 
 
@@ -21,6 +21,8 @@ def voted_tiers(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.groupBy("lat", "lon").agg(F.min_by("tier", tier_rank(F.col("tier"))).alias("tier"))
 
 
+#: Texts and keys that share a beginning, of so many at most, may be broadcast.
+MET_ROWS = 300_000
 #: Characters of words: those of any script, or of ASCII alone, where any other letter ends a word.
 UNICODE, ASCII = r"\p{L}\p{N}_", "A-Za-z0-9_"
 
@@ -47,22 +49,40 @@ def longest_contained(texts: DataFrame, keys: DataFrame, letters: str = UNICODE)
     return found.groupBy("id").agg(F.max_by("key", F.struct(F.length("key"), -F.col("pos"))).alias("key"))
 
 
+def folded(text: Column) -> Column:
+    """text in a form that has letters equal where patterns that ignore case have them equal, letter by letter, so that what a pattern
+    finds in a text lies in the text's form as well. The concat stands there as the optimizer takes lower(upper(x)) for lower(x)."""
+    swap = lambda c, signs, by: F.when(any_of(c, signs), F.translate(c, signs, by)).otherwise(c)
+    return once(F.lower(F.concat(F.upper(swap(text, "İẞ", "Iß")), F.lit(""))), lambda low: swap(low, "ς", "σ"))
+
+
 def spelled(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """id, pos and span for every text and key that it spells as whole words. texts: id, text; keys: key, pos.
 
-    Words of the text, without the text, meet the first words of keys in an equi-join; only texts and keys with a common
-    word are looked at. Keys without a word are spelled nowhere."""
-    plain = lambda c: F.translate(c, "İ", "I")
-    # Patterns that ignore case bring letters together by upper and then lower case; most words have one form in both.
-    # The concat stands between them as the optimizer takes lower(upper(x)) for lower(x).
-    forms = lambda c: F.array_distinct(F.array(F.lower(plain(c)), F.lower(F.concat(F.upper(plain(c)), F.lit("")))))
-    words = lambda c: F.array_distinct(F.flatten(F.transform(forms(c), lambda x: F.split(x, r"(?U)\W+"))))
-    w = texts.select("id", F.explode(words("text")).alias("w")).filter("w <> ''")
-    firsts = F.transform(forms("key"), lambda x: F.regexp_extract(x, r"(?U)(\w+)", 1))
-    k = keys.select("key", "pos", F.explode(firsts).alias("w")).filter("w <> ''")
-    met = w.join(k, "w").select(F.col("id").alias("_id"), "key", "pos").distinct()
-    both = texts.select("id", "text").join(met, F.col("id").eqNullSafe(F.col("_id")))
-    return both.select("id", "pos", evidence_span(F.col("text"), F.col("key")).alias("span")).filter("span <> ''")
+    Hashes of three neighbouring words of the text, without the text, meet those of the first three words of keys in an equi-join (two or one
+    where keys have no more); only texts and keys that share such a beginning are looked at, the key's letters first and the pattern then.
+    Words are runs of letters and digits here: what a pattern takes for a word's end is one for them. Keys without a word character are spelled nowhere."""
+    listed = lambda c: F.filter(F.split(c, r"[^A-Za-z0-9_\p{L}\p{Nd}]+"), lambda w: w != "")
+    k = keys.select("key", "pos", listed(folded(F.col("key"))).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(3)))
+    k = cut(k.select("key", "pos", "n", F.expr("case n when 1 then xxhash64(w[0]) when 2 then xxhash64(w[0], w[1]) when 3 then xxhash64(w[0], w[1], w[2]) end").alias("start")).filter(F.rlike("key", F.lit(r"(?U)\w"))))
+    lengths = {r["n"] for r in k.select("n").distinct().collect()}  # 0 to 3
+
+    def starts(w: Column) -> Column:
+        at = lambda i, n: F.slice(w, F.lit(i), F.greatest(F.size(w) - (n - 1), F.lit(0)))
+        one, two = F.transform(w, lambda x: F.xxhash64(x)), lambda n: F.zip_with(at(1, n), at(2, n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        of = {1: one, 2: F.transform(two(2), lambda p: F.xxhash64(p["x"], p["y"])), 3: F.zip_with(two(3), at(3, 3), lambda p, z: F.xxhash64(p["x"], p["y"], z))}
+        return F.concat(*[of[n] for n in sorted(lengths - {0})])
+
+    met = keys.select(F.lit(None).cast(texts.schema["id"].dataType).alias("_id"), "key", "pos").limit(0)
+    if lengths - {0}:
+        begun = texts.select("id", F.explode(F.array_distinct(once(listed(folded(F.col("text"))), starts))).alias("start"))
+        met = met.unionByName(begun.join(small(k.drop("n")), "start").select(F.col("id").alias("_id"), "key", "pos"))
+    if 0 in lengths:  # signs that count as word characters and are neither letters nor digits
+        met = met.unionByName(texts.select(F.col("id").alias("_id")).crossJoin(k.filter("n = 0").select("key", "pos")))
+    met = cut(met.distinct())
+    both = texts.select("id", "text").join(small(met, MET_ROWS), F.col("id").eqNullSafe(F.col("_id")))
+    near = both.filter(F.contains(folded(F.col("text")), folded(F.col("key"))))
+    return near.select("id", "pos", evidence_span(F.col("text"), F.col("key")).alias("span")).filter("span <> ''")
 
 
 def resolve(names: DataFrame, gazetteer: DataFrame, letters: str = UNICODE) -> DataFrame:
