@@ -98,3 +98,13 @@ def test_empty_tables(spark):
     none = docs(spark).limit(0)
     assert packing.pack(none, BYTE).count() == 0
     assert tokenfile.read(tokenfile.write(none, WORD)).count() == 0
+
+
+def test_workers_encode_no_piece_twice_while_they_remember_it():
+    words = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(600_000)]
+    texts = [" ".join(words[i : i + 5_000]) for i in range(0, len(words), 5_000)]
+    for path, spaced, cache in ((BYTE, True, packing.CACHE), (WORD, False, tokenfile.CACHE)):
+        e = tokens.Encoder(path, spaced, True, cache)
+        first = e.encode(texts)
+        e.raw = None  # nothing is left to encode
+        assert all((a == b).all() for a, b in zip(first, e.encode(texts), strict=True))

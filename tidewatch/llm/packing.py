@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import tokens
 from tidewatch.llm.common import lean
 from tidewatch.llm.tokens import encoder
 
@@ -31,6 +32,8 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 END = 0
 #: Pieces that go back to Spark at once.
 ROWS = 2_000
+#: Pieces that a worker remembers where nothing else needs its memory (not with `spare`).
+CACHE = 1_000_000
 #: Texts encoded at once.
 SLICE = 250
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -70,7 +73,7 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = END, capaci
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean(keep="tokens")
-        encode = encoder(path, spaced, added).encode
+        encode = encoder(path, spaced, added, tokens.CACHE if spare else CACHE).encode
         number = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         rests: list[tuple[int, int, np.ndarray, int]] = []

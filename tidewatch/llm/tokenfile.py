@@ -35,8 +35,8 @@ BLOCK = 128
 PERCENTILES = (0.75, 0.9, 0.97, 1.0)
 SEGMENT = 1 << 18
 END = 2
-#: Pieces that a worker remembers while it encodes; some 50 MB more than packing, which runs beside larger tables, allows itself.
-CACHE = 500_000
+#: Pieces that a worker remembers while it encodes.
+CACHE = 1_000_000
 MAGIC = b"TWPF"
 
 

@@ -68,7 +68,7 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
-        self.met = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int32)
 
     def thin(self) -> None:
         """Drop the pieces met but once; forget all if too many are left."""
@@ -82,7 +82,7 @@ class Encoder:
         size = self.size[kept]
         to = np.cumsum(size)
         self.flat = self.flat[np.repeat(self.start[kept] - to + size, size) + np.arange(int(size.sum()))]
-        self.start, self.size, self.met = to - size, size, np.zeros(len(kept), np.int64)
+        self.start, self.size, self.met = to - size, size, np.zeros(len(kept), np.int32)
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,7 +90,8 @@ class Encoder:
     def encoded(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of each piece. Short pieces are encoded TOGETHER at a time, with marks between them."""
         out: list = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if len(p) < 100 and not self.never.match(p)]
+        never = self.never.match
+        joined = [i for i, p in enumerate(pieces) if len(p) < 100 and (p.isalpha() or not never(p))]
         groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
         for group, ids in zip(groups, self.raw([self.between.join([pieces[i] for i in g]) for g in groups]), strict=True):
             ends = np.flatnonzero(ids == self.mark[0])
@@ -126,7 +127,9 @@ class Encoder:
                 self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
                 self.size = np.concatenate([self.size, size])
                 self.flat = np.concatenate([self.flat, *got])
-            self.met = np.bincount(at, minlength=len(self.size)) + np.append(self.met, np.zeros(len(self.size) - len(self.met), np.int64))
+                self.met = np.concatenate([self.met, np.zeros(len(got), np.int32)])
+            seen = np.bincount(at)
+            self.met[: len(seen)] += seen.astype(np.int32)
             size = self.size[at]
             to = np.cumsum(size)
             ids = self.flat[np.repeat(self.start[at] - to + size, size) + np.arange(int(size.sum()))]
