@@ -214,3 +214,33 @@ def test_pipeline(spark, data):
     assert {"doc_id", "sequence_id", "length"} <= set(out.columns)
     assert out.join(docs, "doc_id", "left_anti").count() == 0 and out.count() > 0
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_texts_are_measured_once(spark, corpus):
+    docs = table(spark, corpus)
+    for rows in (quality.keep_regular(docs), quality.statistics(docs).filter("not base_failed")):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_fit_holds_its_hits_in_small_arrays(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "BITS", 16)
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    monkeypatch.setattr(toxicity, "RUN_CHARS", 20_000)
+    rng, n = random.Random(3), 1200
+    texts = [" ".join(rng.choices(WORDS, k=150)) + (" bad words" if i % 4 == 0 else "") for i in range(n)]
+    toxic = np.array([i % 4 == 0 for i in range(n)], np.float64)
+    met, hits = [], toxicity.hits
+
+    def counted(*a):
+        out = hits(*a)
+        met.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(toxicity, "hits", counted)
+    tracemalloc.start()
+    toxicity.fit(texts, toxic, np.ones(n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(met)

@@ -272,7 +272,9 @@ def blended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def statistics(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """doc_id, lang, source, the counts, mark (of the text) and base_failed of every row; `row` is carried as row."""
     more = [] if row is None else [row.alias("row")]
-    stats = docs.select("doc_id", "lang", "source", F.pandas_udf(measured, STATS)("text").alias("m"), F.xxhash64("text").alias("mark"), *more)
+    # Called deterministic, it would be planned twice where rows are filtered by it: two calls, and two Python workers, for each task.
+    each = F.pandas_udf(measured, STATS).asNondeterministic()
+    stats = docs.select("doc_id", "lang", "source", each("text").alias("m"), F.xxhash64("text").alias("mark"), *more)
     stats = stats.select("doc_id", "lang", "source", "m.*", "mark", *["row" for _ in more])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return stats.select("*", failed.alias("base_failed"))

@@ -98,15 +98,21 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     del count
     least = -np.partition(-score, 2 * FEATURES)[2 * FEATURES]
     table = score > max(least, 0)
-    docs, keys = [], []
-    for a, b in runs(texts, RUN_CHARS):
-        d, k = hits(texts[a:b], table)
-        docs.append(d + a)
+    del score
+    # Run by run, as all hits at once would take several times their size.
+    docs, cols, keys = [], [], []
+    for lo, hi in runs(texts, RUN_CHARS):
+        d, k = hits(texts[lo:hi], table)
+        k, col = np.unique(k, return_inverse=True)
+        docs.append((d + lo).astype(np.int32))
+        cols.append(col.astype(np.int32))
         keys.append(k)
-    doc, key = np.concatenate(docs), np.concatenate(keys)
-    names, col = np.unique(key, return_inverse=True)
-    a = np.bincount(col, toxic[doc], len(names))
-    b = np.bincount(col, 1 - toxic[doc], len(names))
+    names = np.unique(np.concatenate(keys))
+    a, b = np.zeros(len(names)), np.zeros(len(names))
+    for i, d in enumerate(docs):
+        cols[i] = np.searchsorted(names, keys[i]).astype(np.int32)[cols[i]]
+        a += np.bincount(cols[i], toxic[d], len(names))
+        b += np.bincount(cols[i], 1 - toxic[d], len(names))
     score = np.where(a + b >= MIN_DOCS, z(a, b), 0)
     kept = np.sort(np.argsort(-score, kind="stable")[:FEATURES])
     kept = kept[score[kept] > 0]
@@ -115,7 +121,11 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     ratio = np.log((a[kept] + 1) / (pos + 2)) - np.log((b[kept] + 1) / (neg + 2))
     place = np.full(len(names), -1)
     place[kept] = np.arange(len(kept))
-    doc, col = doc[place[col] >= 0], place[col][place[col] >= 0]
+    for i, col in enumerate(cols):
+        at = place[col]
+        docs[i], cols[i] = docs[i][at >= 0], at[at >= 0].astype(np.int32)
+    doc, col = np.concatenate(docs).astype(np.int64), np.concatenate(cols).astype(np.int64)
+    del docs, cols, keys
     value = ratio[col]
     share = weight / weight.sum()
     w, c, vw, vc = np.zeros(len(kept)), base, np.zeros(len(kept)), 0.0
