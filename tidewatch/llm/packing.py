@@ -30,8 +30,8 @@ CAPACITY = 1024
 POOL = 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 END = 0
-#: Pieces that go back to Spark at once.
-ROWS = 2_000
+#: Pieces that go back to Spark at once: their ids are held three times meanwhile.
+ROWS = 250
 #: Pieces that a worker remembers where nothing else needs its memory (not with `spare`).
 CACHE = 1_000_000
 #: Texts encoded at once.
@@ -68,8 +68,8 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = END, capaci
     """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit).
 
     path: the tokenizer's file, present on every executor. added: see tokens.Encoder. spare: whether a task
-    gives back the tokenizer and the pieces that it met, for executors with little memory beside other stages; the next
-    task then meets them again."""
+    gives back what it freed after each batch, and at its end the tokenizer and the pieces that it met, for executors
+    with little memory beside other stages; the next task then meets them again."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean(keep="tokens")
@@ -113,12 +113,14 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = END, capaci
                         settle()
                     if len(rows) >= ROWS:
                         yield flush()
+            if spare:
+                lean(keep="tokens")
         if rests:
             settle()
         if rows:
             yield flush()
         if spare:
-            del encode
+            encode = batch = part = ids = None
             lean()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packed, SCHEMA)
