@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import namedtuple
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -75,15 +74,54 @@ VESSEL = "lat double, lon double, sog double, true_heading double, cog double, n
 STATIC = "type int, destination string, length int"
 SEEN = "ts timestamp, seen timestamp, placed boolean"
 VESSEL_OUT = f"mmsi string, last_ts timestamp, seen timestamp, {VESSEL}, {STATIC}, name string, expired boolean"
-VESSEL_KINDS = [c.split() for c in VESSEL_OUT.split(", ")]
+VESSEL_KINDS = dict(c.split() for c in VESSEL_OUT.split(", "))
+#: What is held of a vessel, in this order, and by a group of vessels, a list of each; times are microseconds there.
+HELD = [*(c.split()[0] for c in f"{VESSEL}, {STATIC}".split(", ")), "name", "last_ts", "seen", "placed"]
+GROUP_STATE = ", ".join(f"{c} array<{'boolean' if c == 'placed' else VESSEL_KINDS[c].replace('timestamp', 'long')}>" for c in ["mmsi", *HELD])
+GROUP_OUT = VESSEL_OUT.replace("timestamp", "long")
+#: Groups that vessels are dealt to by a hash of their mmsi. A stream keeps the number it began with.
+VESSEL_GROUPS = 1_024
+
+
+def known(kind: str, values: list) -> list:
+    """values with None for each that is missing, and whole numbers as such (a column with gaps comes as floats)."""
+    return [None if gap else int(x) if kind == "int" else x for x, gap in zip(values, pd.isna(pd.Series(values, dtype=object)), strict=True)]
+
+
+def hear(held: dict, rows: dict[str, list], ttl) -> None:
+    """Messages in order change what is held of their vessels: each field keeps its latest value. A name from a position message never
+    erases one; a static message's name always counts.
+
+    A vessel is seen with its last position (its last static message while it has none); a message that comes more than ttl after
+    that starts anew, whether or not the vessel was ended before, so batches do not matter."""
+    columns = [known(VESSEL_KINDS[c], rows[c]) for c in HELD[:8]]
+    length = [(a or 0) + (b or 0) for a, b in zip(known("int", rows["dim_a"]), known("int", rows["dim_b"]), strict=True)]
+    for mmsi, msg, name, t, lat, lon, sog, heading, cog, status, kind, to, size in zip(rows["mmsi"], rows["msg_type"], rows["ship_name"], rows["ts"], *columns, length, strict=True):
+        v = held.get(mmsi)
+        if v is None or t - v[11] > ttl:
+            v = held[mmsi] = [None] * 12 + [False]
+        if msg == "PositionReport":
+            for i, x in enumerate((lat, lon, sog, heading, cog, status)):
+                if x is not None:
+                    v[i] = x
+            if (name or "").strip():
+                v[9] = name
+            v[11], v[12] = t, True
+        else:
+            if kind is not None:
+                v[6] = kind
+            if to is not None:
+                v[7] = to
+            v[8], v[9] = size, name or ""
+            if not v[12]:
+                v[11] = t
+        v[10] = t
 
 
 class VesselState(StatefulProcessor):
-    """What is known of a vessel from its position and its static messages: each field's latest value, in three states that are
-    written apart. A name from a position message never erases one; a static message's name always counts.
+    """What is known of one vessel (see hear), in states that are written apart: place, static fields, name and times.
 
-    A vessel ends ttl_s after its last position (its last static message while it has none): a timer in event time drops all states and
-    says so. A message that comes later than that starts anew, whether or not the timer had its turn, so batches do not matter."""
+    A timer in event time, ttl_s after the vessel was seen, drops all states and says so."""
 
     def __init__(self, ttl_s: int) -> None:
         self.ttl = pd.Timedelta(seconds=ttl_s)
@@ -94,69 +132,85 @@ class VesselState(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         states = (self.place, self.static, self.name, self.times)
-        held = [x and list(x) for x in (state.get() for state in states)] if self.times.exists() else [None] * 4  # times is there whenever another is
-        were = [x and list(x) for x in held]
-        before = held[3] and held[3][1]
-        batch = in_order(rows)
-        message = namedtuple("message", batch)
-        for r in map(message, *batch.values()):
-            if held[3] and r.ts - pd.Timestamp(held[3][1]) > self.ttl:
-                held = [None] * 4
-            placed = bool(held[3] and held[3][2])
-            if r.msg_type == "PositionReport":
-                held[0] = self.newer(held[0], [r.lat, r.lon, r.sog, r.true_heading, r.cog, r.nav_status])
-                if (r.ship_name or "").strip():
-                    held[2] = [r.ship_name]
-                held[3] = [r.ts, r.ts, True]
-            else:
-                held[1] = self.newer(held[1], [r.type, r.destination, sum(0 if pd.isna(x) else x for x in (r.dim_a, r.dim_b))])
-                held[2] = [r.ship_name or ""]
-                held[3] = [r.ts, held[3][1] if placed else r.ts, placed]
-        for state, value, was in zip(states, held, were, strict=True):
-            if value is None and was is not None:
-                state.clear()
-            elif value is not None and value != was:
+        were = [x and list(x) for x in (state.get() for state in states)] if self.times.exists() else [None] * 4  # times is there whenever another is
+        held = {}
+        if were[3]:
+            held[key[0]] = [*(were[0] or [None] * 6), *(were[1] or [None] * 3), *(were[2] or [None]), *map(pd.Timestamp, were[3][:2]), were[3][2]]
+        hear(held, in_order(rows), self.ttl)
+        now = held[key[0]]
+        for state, value, was in zip(states, (now[:6], now[6:9], now[9:10], now[10:]), were, strict=True):
+            if all(x is None for x in value):
+                if was is not None:
+                    state.clear()
+            elif value != was:
                 state.update(tuple(value))
-        if before != held[3][1]:
-            if before is not None:
-                self.handle.deleteTimer(self.due(before))
-            self.handle.registerTimer(self.due(held[3][1]))
-        yield self.row(key, held, False)
+        if not were[3] or were[3][1] != now[11]:
+            if were[3]:
+                self.handle.deleteTimer(self.due(were[3][1]))
+            self.handle.registerTimer(self.due(now[11]))
+        yield frame([(key[0], now, False)], VESSEL_KINDS)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [None, None, None, list(self.times.get())]
+        held = [None] * 10 + list(self.times.get())
         for state in (self.place, self.static, self.name, self.times):
             state.clear()
-        yield self.row(key, held, True)
+        yield frame([(key[0], held, True)], VESSEL_KINDS)
 
     def due(self, seen) -> int:
         return int((pd.Timestamp(seen) + self.ttl).timestamp() * 1000) + 1
 
-    @staticmethod
-    def newer(old: list | None, new: list) -> list:
-        return [a if pd.isna(b) else b for a, b in zip(old or [None] * len(new), new, strict=True)]
 
-    @staticmethod
-    def row(key: tuple, held: list, expired: bool) -> pd.DataFrame:
-        place, static, name, times = held
-        values = [key[0], times[0], times[1], *(place or [None] * 6), *(static or [None] * 3), name[0] if name else None, expired]
-        return pd.DataFrame({c: VesselState.column(kind, x) for (c, kind), x in zip(VESSEL_KINDS, values, strict=True)})
+def frame(vessels: list[tuple], kinds: dict[str, str]) -> pd.DataFrame:
+    """(mmsi, what is held, expired) as rows; columns are made with their types, as casts of a frame cost more than all else."""
 
-    @staticmethod
-    def column(kind: str, value):
-        """A column of one value: made with its type, as casts of a frame cost more than all else."""
+    def column(kind: str, values: list):
         if kind == "int":
-            return pd.array([None if pd.isna(value) else int(value)], "Int32")
+            return pd.array(values, "Int32")
         if kind == "double":
-            return np.array([np.nan if value is None else value], "float64")
-        return np.array([pd.Timestamp(value).to_datetime64()], "datetime64[us]") if kind == "timestamp" else [value]
+            return np.array(values, "float64")  # None becomes nan
+        return np.array([pd.Timestamp(x).to_datetime64() for x in values], "datetime64[us]") if kind == "timestamp" else values
 
+    ids, held, expired = zip(*vessels, strict=True)
+    columns = {"mmsi": ids, "expired": expired} | dict(zip(HELD, zip(*held, strict=True), strict=True))
+    return pd.DataFrame({c: column(kind, list(columns[c])) for c, kind in kinds.items()})
 
-def vessels(messages: DataFrame, ttl_s: int = V.VESSEL_TTL_S, delay: str = "10 minutes") -> DataFrame:
+
+def vessels(messages: DataFrame, ttl_s: int = V.VESSEL_TTL_S, delay: str = "10 minutes", groups: int | None = VESSEL_GROUPS) -> DataFrame:
     """A row for each vessel (mmsi) that a batch changed, and one with `expired` when it ends. Messages at 0, 0 are left out. In a
-    batch messages count in order of (ts, id)."""
-    real = messages.filter(~((F.coalesce("lat", F.lit(1)) == 0) & (F.coalesce("lon", F.lit(1)) == 0))).filter("mmsi is not null and ts is not null")
-    return real.withWatermark("ts", delay).groupBy("mmsi").transformWithStateInPandas(VesselState(ttl_s), VESSEL_OUT, "Update", "EventTime")
+    batch messages count in order of (ts, id).
+
+    groups: vessels share a state and a timeout by so many hashes of their mmsi, so a batch calls Python once a group; a group's state is written
+    whole when one of its vessels says something. None: each vessel is a call with states of its own (VesselState), which costs some
+    milliseconds a vessel and batch."""
+    real = messages.filter(~((F.coalesce("lat", F.lit(1)) == 0) & (F.coalesce("lon", F.lit(1)) == 0))).filter("mmsi is not null and ts is not null").withWatermark("ts", delay)
+    if groups is None:
+        return real.groupBy("mmsi").transformWithStateInPandas(VesselState(ttl_s), VESSEL_OUT, "Update", "EventTime")
+    ttl = ttl_s * 1_000_000
+    due = lambda v: (v[11] + ttl) // 1000 + 1
+    kinds = dict(c.split() for c in GROUP_OUT.split(", "))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, *columns = state.get if state.exists else [[] for _ in range(1 + len(HELD))]
+        held = {mmsi: list(v) for mmsi, *v in zip(ids, *columns, strict=True)}
+        out = []
+        if not state.hasTimedOut:
+            rows = in_order(x.drop(columns="ts").rename(columns={"us": "ts"}) for x in batches)
+            hear(held, rows, ttl)
+            out += [(mmsi, held[mmsi], False) for mmsi in dict.fromkeys(rows["mmsi"])]
+        now = state.getCurrentWatermarkMs()
+        ended = [mmsi for mmsi, v in held.items() if due(v) <= now]
+        out += [(mmsi, [None] * 10 + held.pop(mmsi)[10:], True) for mmsi in ended]
+        if held:
+            state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+            state.setTimeoutTimestamp(min(map(due, held.values())))
+        else:
+            state.remove()
+        if out:
+            yield frame(out, kinds)
+
+    dealt = real.withColumns({"us": F.unix_micros("ts"), "part": F.pmod(F.xxhash64("mmsi"), F.lit(groups))})
+    rows = dealt.groupBy("part").applyInPandasWithState(step, GROUP_OUT, GROUP_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.select(*[F.timestamp_micros(c).alias(c) if kind == "timestamp" else c for c, kind in VESSEL_KINDS.items()])
 
 
 ARRIVAL = "polls long, failed long, late long, arrivals long, last_ts timestamp, last_id long, held long, arrived_at timestamp"
