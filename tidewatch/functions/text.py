@@ -44,18 +44,23 @@ def any_of(text: Column, phrases) -> Column:
 
 def is_noise(text: Column, severity: Column | None = None) -> Column:
     """Too short, a noise phrase, a short comment, or of measured low severity. An unmeasured severity never decides."""
-    noise = once(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), lambda s: once(F.lower(s), lambda low: _noisy(s, low)))
+    noise = once(F.btrim(F.coalesce(text, F.lit("")), F.lit(V.WHITE)), lambda s: once(F.lower(s), lambda low: once(_words_at_most(s, V.SHORT_WORDS + 1), lambda n: _noisy(s, low, n))))
     return noise if severity is None else noise | low_severity(severity)
 
 
-def _noisy(stripped: Column, low: Column) -> Column:
-    words = F.split(stripped, r"(?U)\s+")
+def _words_at_most(stripped: Column, most: int) -> Column:
+    """How many words a text has, counted up to most (one or more); its beginning is looked at first."""
+    count = lambda x: F.size(F.split(x, r"(?U)\s+", most))
+    return F.when(count(F.substring(stripped, 1, 16 * most)) >= most, most).otherwise(count(stripped))
+
+
+def _noisy(stripped: Column, low: Column, words: Column) -> Column:
     first = F.regexp_replace(F.regexp_extract(low, r"(?U)^(\S+)", 1), "[.,!?]+$", "")
     two = F.regexp_replace(F.regexp_replace(F.regexp_extract(low, r"(?U)^(\S+(?:\s+\S+)?)", 1), r"(?U)\s+", " "), "[.,!?]+$", "")
     starts = F.lit(False)
     for s in V.COMMENTARY_STARTERS:
         starts = starts | (first == s) | two.startswith(s)
-    return (F.length(stripped) < V.MIN_CHARS) | (F.size(words) < V.MIN_WORDS) | any_of(low, V.NOISE_PHRASES) | ((F.size(words) <= V.SHORT_WORDS) & starts)
+    return (F.length(stripped) < V.MIN_CHARS) | (words < V.MIN_WORDS) | any_of(low, V.NOISE_PHRASES) | ((words <= V.SHORT_WORDS) & starts)
 
 
 def low_severity(severity: Column) -> Column:

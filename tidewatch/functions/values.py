@@ -18,6 +18,9 @@ NOISE_PHRASES = (
     "https://t.me/joinchat", "https://t.me/+", "t.me/joinchat", "this is a test", "testing 1 2 3", "hello world",
 )
 
+# White space of Unicode, what \s means to patterns with (?U).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Beginnings of short comments.
 COMMENTARY_STARTERS = ("wait", "is he", "is she", "is this", "are they", "can you", "do you", "does anyone", "lol", "omg", "wow,", "wtf", "smh")
 

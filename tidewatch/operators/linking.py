@@ -57,22 +57,21 @@ def similar_pairs(messages: DataFrame, probes: DataFrame | None = None, texts: D
     messages that look for earlier ones (all). texts: id and text of all messages (more do no harm), where they lie apart.
 
     A pair first meets by the sizes of its sets, then by their signs (two bytes a word, no word of which two sets share lies in
-    places of one sign alone), and only pairs that both let pass by the words, which are then read out of the texts again."""
+    places of one sign alone), and only pairs that both let pass by the words, which are then read once more out of these texts alone."""
     texts = messages if texts is None else texts
-    words = texts.select("id", T.word_set(F.col("text")).alias("words"))
-    signs = cut(words.filter(F.size("words") > 0).select("id", F.size("words").alias("n"), T.places_of(F.col("words")).alias("sign")))
+    words_of = lambda texts: texts.select("id", T.word_set(F.col("text")).alias("words"))
+    signs = cut(words_of(texts).filter(F.size("words") > 0).select("id", F.size("words").alias("n"), T.places_of(F.col("words")).alias("sign")))
     a, b = F.col("n"), F.col("m")
     # The shared part is at most the smaller set: 5 shared > 2 (n + m - shared) needs 7 min(n, m) > 2 (n + m).
     enough = lambda shared: 7 * shared > 2 * (a + b)
-    other = signs.select("id", F.col("n").alias("m"), F.col("sign").alias("other"))
-    pairs = near(messages if probes is None else probes, messages, **how).join(signs.select(F.col("id").alias("probe_id"), "n"), "probe_id").join(other, "id").filter(enough(F.least(a, b)))
-    met = pairs.join(signs.select(F.col("id").alias("probe_id"), "sign"), "probe_id")
+    pairs = near(messages if probes is None else probes, messages, **how).join(signs.select(F.col("id").alias("probe_id"), "n"), "probe_id").join(signs.select("id", F.col("n").alias("m")), "id").filter(enough(F.least(a, b)))
+    met = pairs.join(signs.select("id", F.col("sign").alias("other")), "id").join(signs.select(F.col("id").alias("probe_id"), "sign"), "probe_id")
     # A place that only one set has holds a word that only this set has.
     shared = F.size(F.array_intersect("sign", "other"))
     most = F.least(a - F.size("sign"), b - F.size("other")) + shared
     close = cut(met.filter(enough(most)).select("probe_id", "id", "ts"))
     looked = small(close.select(F.explode(F.array("probe_id", "id")).alias("id")).distinct(), PAIRS_BROADCAST)
-    sets = words.join(looked, "id", "left_semi")
+    sets = cut(words_of(texts.join(looked, "id", "left_semi")))
     both = close.join(sets.select(F.col("id").alias("probe_id"), F.col("words").alias("a")), "probe_id").join(sets.withColumnRenamed("words", "b"), "id")
     both = both.withColumn("n", F.size("a")).withColumn("m", F.size("b"))
     return both.filter(enough(F.size(F.array_intersect("a", "b")))).select("probe_id", "id", "ts")

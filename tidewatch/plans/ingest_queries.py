@@ -42,13 +42,13 @@ def run(spark: SparkSession, sf_dir: str) -> ingest.Store:
 
 
 def ingested_events(spark, d):
-    events = run(spark, d).events()
+    events = run(spark, d).events(text=False)
     return events.select(F.col("message_id").alias("event_id"), "report_count", "severity", "n_channels", "reliability", "channels")
 
 
 def ingest_checkpoints(spark, d):
     store = run(spark, d)
-    filed = store.reports().groupBy("channel").agg(F.count("*").alias("reports"), F.countDistinct("event_id").alias("events"))
+    filed = store.reports(text=False).groupBy("channel").agg(F.count("*").alias("reports"), F.countDistinct("event_id").alias("events"))
     far = store.checkpoints().withColumnRenamed("channel", "own")
     return filed.join(far, F.col("channel").eqNullSafe(F.col("own")), "left").select("channel", "reports", "events", "last_message_id")
 
