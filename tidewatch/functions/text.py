@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterable
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tidewatch.functions import values as V
 
@@ -42,25 +48,52 @@ def any_of(text: Column, phrases) -> Column:
     return out
 
 
+def one_of(text: Column, phrases: Iterable[str]) -> Column:
+    """What any_of says, by one automaton over the text in Python instead of a search for each phrase."""
+    pattern = "|".join(map(re.escape, phrases))
+
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    found.__annotations__ = {"texts": pa.Array, "return": pa.Array}  # Spark reads types, not their names
+    return F.arrow_udf(found, BooleanType())(text)
+
+
 def is_noise(text: Column, severity: Column | None = None) -> Column:
     """Too short, a noise phrase, a short comment, or of measured low severity. An unmeasured severity never decides."""
-    noise = once(F.btrim(F.coalesce(text, F.lit("")), F.lit(V.WHITE)), lambda s: once(F.lower(s), lambda low: once(_words_at_most(s, V.SHORT_WORDS + 1), lambda n: _noisy(s, low, n))))
+    noise = once(stripped(text), lambda s: once(F.lower(s), lambda low: once(_words_at_most(s, V.SHORT_WORDS + 1), lambda n: _short(s, n) | any_of(low, V.NOISE_PHRASES) | _comment(low, n))))
     return noise if severity is None else noise | low_severity(severity)
 
 
+def without_noise(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose text is no noise, as is_noise has it, with all phrases looked for at once: for many long texts."""
+    low = F.lower(stripped(F.col(text)))
+    brief = once(stripped(F.col(text)), lambda s: once(_words_at_most(s, V.SHORT_WORDS + 1), lambda n: _short(s, n) | _comment(F.lower(s), n)))
+    return rows.filter(~brief).filter(~one_of(low, V.NOISE_PHRASES))
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends; null as empty."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(V.WHITE))
+
+
 def _words_at_most(stripped: Column, most: int) -> Column:
     """How many words a text has, counted up to most (one or more); its beginning is looked at first."""
     count = lambda x: F.size(F.split(x, r"(?U)\s+", most))
     return F.when(count(F.substring(stripped, 1, 16 * most)) >= most, most).otherwise(count(stripped))
 
 
-def _noisy(stripped: Column, low: Column, words: Column) -> Column:
+def _short(stripped: Column, words: Column) -> Column:
+    return (F.length(stripped) < V.MIN_CHARS) | (words < V.MIN_WORDS)
+
+
+def _comment(low: Column, words: Column) -> Column:
     first = F.regexp_replace(F.regexp_extract(low, r"(?U)^(\S+)", 1), "[.,!?]+$", "")
     two = F.regexp_replace(F.regexp_replace(F.regexp_extract(low, r"(?U)^(\S+(?:\s+\S+)?)", 1), r"(?U)\s+", " "), "[.,!?]+$", "")
     starts = F.lit(False)
     for s in V.COMMENTARY_STARTERS:
         starts = starts | (first == s) | two.startswith(s)
-    return (F.length(stripped) < V.MIN_CHARS) | (words < V.MIN_WORDS) | any_of(low, V.NOISE_PHRASES) | ((words <= V.SHORT_WORDS) & starts)
+    return (words <= V.SHORT_WORDS) & starts
 
 
 def low_severity(severity: Column) -> Column:

@@ -24,7 +24,7 @@ def guarded(messages: DataFrame, keys: list[str], delay: str = "30 minutes") ->
 
 def gated(messages: DataFrame) -> DataFrame:
     """Messages with a time and a text that are not noise."""
-    return messages.filter("ts is not null and text is not null and text <> ''").filter(~T.is_noise(F.col("text")))
+    return T.without_noise(messages.filter("ts is not null and text is not null and text <> ''"))
 
 
 def counted(events: DataFrame, key: str, size: str, slide: str | None = None, delay: str = "15 minutes") -> DataFrame:
