@@ -60,7 +60,7 @@ def similar_pairs(messages: DataFrame, probes: DataFrame | None = None, texts: D
     places of one sign alone), and only pairs that both let pass by the words, which are then read once more out of these texts alone."""
     texts = messages if texts is None else texts
     words_of = lambda texts: texts.select("id", T.word_set(F.col("text")).alias("words"))
-    signs = cut(words_of(texts).filter(F.size("words") > 0).select("id", F.size("words").alias("n"), T.places_of(F.col("words")).alias("sign")))
+    signs = cut(words_of(texts).select("id", F.size("words").alias("n"), T.places_of(F.col("words")).alias("sign"))).filter("n > 0")  # a filter before would find the words twice
     a, b = F.col("n"), F.col("m")
     # The shared part is at most the smaller set: 5 shared > 2 (n + m - shared) needs 7 min(n, m) > 2 (n + m).
     enough = lambda shared: 7 * shared > 2 * (a + b)
